@@ -387,7 +387,7 @@ def load(path: str) -> WordBpe:
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and decoded text of every row of ``docs`` (doc_id, text)."""
     path = path or vocabulary_path()
-    shared.small_batches(docs.sparkSession)
+    shared.prepare(docs.sparkSession)
 
     def run(batches):
         bpe = load(path)
@@ -406,7 +406,7 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """As ``encode_decode``, with SHA-256 digests in place of ids and text; they are made where the ids are."""
     path = path or vocabulary_path()
-    shared.small_batches(docs.sparkSession)
+    shared.prepare(docs.sparkSession)
 
     def run(batches):
         bpe = load(path)

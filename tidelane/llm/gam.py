@@ -76,7 +76,7 @@ def features(texts: list[str]) -> np.ndarray:
 
 def feature_table(docs: DataFrame) -> DataFrame:
     """doc_id and ``x``, the features of every row of ``docs`` (doc_id, text), written once."""
-    shared.small_batches(docs.sparkSession)
+    shared.prepare(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -228,6 +228,33 @@ def classify(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, held_fol
     return scored.select("doc_id", F.coalesce(fold(folds) == held_fold, F.lit(False)).alias("held_out"), "score")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, folds: int = FOLDS, held_fold: int = HELD_FOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
+    spark = docs.sparkSession
+    shared.prepare(spark)
+    known = labels.where(F.col("quality").isin(0, 1) & (fold(folds) != held_fold)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"))
+    ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # at most fit_rows rows of two numbers
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def measure(batches):
+        for batch in batches:
+            x = features(batch.column(1).to_pylist()).astype(np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(NAMES)), pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2)], names=["doc_id", "x", "y"])
+
+    chosen = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.col("y").cast("double")).mapInArrow(measure, "doc_id long, x array<float>, y double").collect()
+    chosen.sort(key=lambda r: (r.doc_id, r.x))
+    model = fit(np.array([r.x for r in chosen], np.float64).reshape(-1, len(NAMES)), np.array([r.y for r in chosen], np.float64))
+
+    def run(batches):
+        for batch in batches:
+            x = features([t or "" for t in batch.column(at).to_pylist()]).astype(np.float32).astype(np.float64)
+            yield batch.filter(pa.array(score(model, x) >= threshold))
+
+    at = docs.columns.index("text")
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classify(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
     return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

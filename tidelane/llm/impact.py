@@ -131,7 +131,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, scale: int = SCALE, best: i
             columns = list(zip(*found, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], schema=names)
 
-    shared.small_batches(spark)
+    shared.prepare(spark)
     near = meet.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best).select("query_id", "rank", "vec_id", "score")

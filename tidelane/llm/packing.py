@@ -69,7 +69,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 def pieces_of(docs: DataFrame, path: str | None = None, *, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """The pieces of every row of ``docs`` (doc_id, text), with the CRC of their ids."""
     path = path or bpe.vocabulary_path()
-    shared.small_batches(docs.sparkSession)
+    shared.prepare(docs.sparkSession)
     end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def run(batches):

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelane.llm import shared
+
 #: Texts in a chunk; grows slowly with the table (see ``_layout``), so that what chunks send to buckets stays worth a row.
 CHUNK_ROWS = 256
 CHUNKS_A_PARTITION = 16
@@ -247,6 +249,7 @@ def deduplicate(docs: DataFrame, method: Method, finish: Callable, schema: str,
 
     ``docs`` needs doc_id and text (no nulls in text); other columns reach ``finish`` in the table.
     """
+    shared.prepare(docs.sparkSession)
     chunks, partitions, buckets = layout or _layout(docs)
     where = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks))
     texts = docs.withColumn("chunk", where).repartition(partitions, "chunk")

@@ -55,16 +55,17 @@ def _repeat_words(words: Column, hashes: Column, packed: Column) -> Column:
     return F.sort_array(F.when(mixed, slow).otherwise(found))
 
 
-def figures(docs: DataFrame) -> DataFrame:
-    """doc_id and the figures of every row of ``docs`` (doc_id, text) that the rules look at."""
+def figures(docs: DataFrame, keep: bool = False) -> DataFrame:
+    """doc_id and the figures of every row of ``docs`` (doc_id, text) that the rules look at; the row itself in ``row`` on demand."""
     spaces = r"[\x20\x09-\x0D]+"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    row = [F.struct(*docs.columns).alias("row")] if keep else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *row)
     inner = F.btrim("text", F.lit(SPACES))
     rows = rows.withColumn("words", F.when(F.length(inner) == 0, F.array().cast("array<string>")).otherwise(F.split(inner, spaces)))
     rows = rows.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0))
     n = F.size("words")
     rows = rows.select(
-        "doc_id", "words", n.cast("long").alias("n_words"),
+        "doc_id", *(["row"] if keep else []), "words", n.cast("long").alias("n_words"),
         _without(F.col("text"), SPACES).cast("long").alias("word_chars"),
         (F.length("text") - _without(F.col("text"), "#*$%&|<>")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -143,17 +144,35 @@ def estimate(patterns: DataFrame, names: list[str], *, rounds: int = ROUNDS, set
     return model
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def learn(found: DataFrame) -> dict:
+    """The rates that the votes on these figures, of all texts that pass the base rule, give by themselves."""
+    rules = votes()
+    voted = found.where(~base_failed()).select(*[v.alias(f"v_{k}") for k, v in rules.items()])
+    counted = voted.groupBy(*voted.columns).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return estimate(shared.materialize(counted.coalesce(1), "patterns"), list(rules))
+
+
+def verdict(found: DataFrame, model: dict, keep_at: float = KEEP_AT) -> DataFrame:
+    """Adds posterior, base_failed and kept to figures."""
+    rules = votes()
+    judged = found.withColumns({f"v_{k}": v for k, v in rules.items()}).withColumn("posterior", posterior(model)).withColumn("base_failed", base_failed())
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep_at)).drop(*[f"v_{k}" for k in rules])
+
+
 def judge(docs: DataFrame, *, keep_at: float = KEEP_AT) -> DataFrame:
     """Figures, base_failed, posterior and kept of every row of ``docs`` (doc_id, text)."""
-    rules = votes()
     found = shared.materialize(figures(docs), "figures")
-    voted = found.withColumns({f"v_{k}": v for k, v in rules.items()})
-    names = [f"v_{k}" for k in rules]
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    counted = voted.where(~failed).groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    model = estimate(shared.materialize(counted.coalesce(1), "patterns"), list(rules))
-    judged = voted.withColumn("posterior", posterior(model)).withColumn("base_failed", failed)
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep_at)).drop(*names)
+    return verdict(found, learn(found), keep_at)
+
+
+def keep_good(docs: DataFrame, *, keep_at: float = KEEP_AT) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns; they are written once beside their figures."""
+    found = shared.materialize(figures(docs, keep=True), "figures")
+    return verdict(found, learn(found), keep_at).where("kept").select("row.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,12 +42,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Lower (never raise) the rows of an Arrow batch, so that a batch of long texts fits a worker."""
+def prepare(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Lower (never raise) the rows of an Arrow batch, so that a batch of long texts fits a worker, and let workers
+    import this package where PYTHONPATH doesn't have it: it then goes to them as a zip file, once a session."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    root, context = Path(__file__).resolve().parents[2], spark.sparkContext
+    if str(root) not in os.environ.get("PYTHONPATH", "").split(os.pathsep) and not getattr(context, "_tidelane_shipped", False):
+        path = Path(tempfile.mkdtemp(prefix="tidelane-"), "tidelane.zip")  # tasks may fetch it at any time
+        with zipfile.ZipFile(path, "w") as z:
+            for source in sorted(Path(root, "tidelane").rglob("*.py")):
+                z.write(source, source.relative_to(root))
+        context.addPyFile(str(path))
+        atexit.register(shutil.rmtree, path.parent, ignore_errors=True)
+        context._tidelane_shipped = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

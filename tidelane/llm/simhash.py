@@ -78,7 +78,7 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, *, words: int = WORDS, seed: int = SEED) -> DataFrame:
     """doc_id and 64-bit fingerprint ``fp`` (as a signed long) of every row of ``docs`` (doc_id, text)."""
-    shared.small_batches(docs.sparkSession)
+    shared.prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,6 +181,18 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, words: int = WORDS
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
+#: The table of dropped ids is broadcast up to this many rows (8 bytes each), else joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without the documents whose group has one with a smaller id. Rows without an id stay: none names them."""
+    found = near_duplicates(docs, **options)
+    gone = shared.materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(shared.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

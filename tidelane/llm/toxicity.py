@@ -296,7 +296,7 @@ def score(model: dict, texts: list[str]) -> np.ndarray:
 def classify(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, held_fold: int = HELD_FOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out and score of every row of ``docs`` (doc_id, text); learns ``labels`` (doc_id, toxic)."""
     spark = docs.sparkSession
-    shared.small_batches(spark)
+    shared.prepare(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = labels.where(F.col("toxic").isin(0, 1) & (gam.fold(folds) != held_fold)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("y"))
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # at most fit_rows rows of two numbers

@@ -145,7 +145,7 @@ def write_archive(pages: DataFrame, root: str, *, min_payload: int = 0, date: st
     and the others revisit it. The manifest has a line per part, so it grows with tasks, not with pages.
     """
     spark = pages.sparkSession
-    shared.small_batches(spark)
+    shared.prepare(spark)
     rows = pages.select("page_id", "url", surt(F.col("url")).alias("key"), F.coalesce("html", F.lit("")).alias("html"))
     digest = F.sha1(F.col("html").cast("binary"))
     same = (

@@ -23,6 +23,7 @@ Hashes are 64 bits wide: anchors only choose what is compared, stretches count a
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -34,11 +35,11 @@ from pyspark.sql import functions as F
 from tidelane.llm import shared
 
 #: Texts in a chunk; grows slowly with the table (see ``_layout``), so that what chunks send to buckets stays worth a row.
-CHUNK_ROWS = 256
-CHUNKS_A_PARTITION = 16
-LEAST_BUCKETS = 24
-#: Packed anchors in a bucket, about, and chunks from which on an anchor is hot.
-BUCKET_ROWS = 20_000
+CHUNK_ROWS = 128
+CHUNKS_A_PARTITION = 32
+LEAST_BUCKETS = 64
+#: Documents for which there is a bucket, and chunks from which on an anchor is hot.
+BUCKET_ROWS = 1000
 HOT_CHUNKS = 500
 #: Units that a bucket sorts at once (whole anchors; one that has more is sorted by itself).
 SORT_UNITS = 400_000
@@ -58,7 +59,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of ODD and of its inverse, up to the n-th at least."""
     if len(_POWERS[0]) <= n:
         for k, base in enumerate((ODD, INVERSE)):
-            _POWERS[k] = np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(2 * n + 16, base, np.uint64))])
+            _POWERS[k] = np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n + n // 4 + 16, base, np.uint64))])
     return _POWERS[0], _POWERS[1]
 
 
@@ -296,7 +297,7 @@ def deduplicate(docs: DataFrame, method: Method, finish: Callable, schema: str,
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 part = f[cuts[b] : cuts[b + 1]]
                 data, lengths = chunk.content(s["start"][part], s["run"][part])
-                row = (b, s["group"][part].tobytes(), s["doc"][part].tobytes(), s["run"][part].astype(np.int32).tobytes(), lengths.astype(np.int32).tobytes(), data)
+                row = (b, s["group"][part].tobytes(), s["doc"][part].tobytes(), s["run"][part].astype(np.int32).tobytes(), lengths.astype(np.int32).tobytes(), zlib.compress(data, 1))
                 for column, x in zip(columns, row, strict=True):
                     column.append(x)
         names, types = ("bucket", "groups", "docs", "runs", "lengths", "data"), (pa.int64(), *[pa.binary()] * 5)
@@ -308,7 +309,7 @@ def deduplicate(docs: DataFrame, method: Method, finish: Callable, schema: str,
         groups, docs_, runs = read("groups", np.uint64), read("docs", np.int64), read("runs", np.int32)
         group, doc, run = np.concatenate(groups), np.concatenate(docs_), np.concatenate(runs).astype(np.int64)
         lengths = np.concatenate(read("lengths", np.int32)).astype(np.int64)
-        data = np.frombuffer(b"".join(table["data"].to_pylist()), np.uint8)
+        data = np.frombuffer(b"".join([zlib.decompress(x) for x in table["data"].to_pylist()]), np.uint8)
         if method.words:
             units, lengths = _words_of(data, lengths, run + method.width - 1)
         else:

@@ -23,6 +23,8 @@ Hashes are 64 bits wide: anchors only choose what is compared, stretches count a
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -70,6 +72,24 @@ def range_hash(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def hash_in_blocks(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int = 1 << 20) -> np.ndarray:
+    """``range_hash`` for ranges that follow each other, some units at a time."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + size, side="right")))
+        base = starts[at]
+        out[at:stop] = range_hash(units[base : ends[stop - 1]], starts[at:stop] - base, ends[at:stop] - base)
+        at = stop
+    return out
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 @dataclass(frozen=True)
 class Method:
     """Units of the texts, and how equal windows are found among stretches."""
@@ -98,7 +118,7 @@ class Chunk:
             full = [t for t in self.texts if t]
             self.data = np.frombuffer(b" ".join(full), np.uint8)
             self.word_start, self.word_end = word_bounds(self.data) if full else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            self.units = range_hash(self.data, self.word_start, self.word_end)
+            self.units = hash_in_blocks(self.data, self.word_start, self.word_end)
             self.counts = np.fromiter((t.count(b" ") + 1 if t else 0 for t in self.texts), np.int64, len(texts))
         else:
             self.data = self.units = np.frombuffer(b"".join(texts), np.uint8)
@@ -198,7 +218,7 @@ def window_ids(units: np.ndarray, begin: np.ndarray, windows: np.ndarray, width:
 def _smallest(method: Method, group: np.ndarray, doc: np.ndarray, run: np.ndarray, units: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The smallest doc_id of each window's sequence, for all windows of the stretches of a bucket in order."""
     begin = np.cumsum(lengths) - lengths
-    key = range_hash(units, begin, begin + lengths)
+    key = hash_in_blocks(units, begin, begin + lengths)
     order = np.lexsort((doc, run, key, group))
     g, k, r, d = group[order], key[order], run[order], doc[order]
     new = np.concatenate([[True], (g[1:] != g[:-1]) | (k[1:] != k[:-1]) | (r[1:] != r[:-1])])
@@ -316,6 +336,8 @@ def deduplicate(docs: DataFrame, method: Method, finish: Callable, schema: str,
             units = data
         least = _smallest(method, group, doc, run, units, lengths)
         removed = least < np.repeat(doc, run)
+        del units, data, least
+        give_back()
         sizes = [int(r.sum()) for r in runs]
         cuts = np.cumsum([0, *sizes])
         bits = [np.packbits(removed[a:b]).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -364,4 +386,4 @@ def _words_of(data: np.ndarray, lengths: np.ndarray, words: np.ndarray) -> tuple
     space = np.flatnonzero(data == 32)
     starts = np.sort(np.concatenate([ends - lengths, space + 1]))
     stops = np.sort(np.concatenate([ends, space]))
-    return range_hash(data, starts, stops), words
+    return hash_in_blocks(data, starts, stops), words

@@ -30,15 +30,20 @@ def softmax(z: Column) -> Column:
     return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
 
 
+def _times(w: Column):
+    return lambda v: v * w
+
+
 def weighted(scales: list[str], weights: list[Column]) -> Column:
     """Weighted mean of the scales' arrays, weights renormalised."""
     total = weights[0]
     for w in weights[1:]:
         total = total + w
-    out = F.transform(F.col(scales[0]), lambda v: v * weights[0])
-    for s, w in zip(scales[1:], weights[1:], strict=True):
-        out = F.zip_with(out, F.col(s), lambda a, b, w=w: a + b * w)
-    return F.transform(out, lambda v: v / total)
+    scaled = [F.transform(F.col(s), _times(w / total)) for s, w in zip(scales, weights, strict=True)]
+    out = scaled[0]
+    for x in scaled[1:]:
+        out = F.zip_with(out, x, lambda a, b: a + b)
+    return out
 
 
 def average(scales: list[str]) -> Column:

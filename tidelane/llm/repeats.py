@@ -152,7 +152,8 @@ class Chunk:
             self.anchor, self.start, self.run, self.owner = np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
             return
         cut = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])]))
-        self.anchor, self.start, self.owner = value[cut], at[cut], owner[cut]
+        # Smallest hashes crowd near 0; mixed again, one to one, they spread evenly over the buckets.
+        self.anchor, self.start, self.owner = mix(value[cut] ^ ODD), at[cut], owner[cut]
         self.run = np.diff(np.concatenate([cut, [len(at)]]))
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:

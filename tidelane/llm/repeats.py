@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from tidelane.llm import shared
 
 #: Texts in a chunk; grows slowly with the table (see ``_layout``), so that what chunks send to buckets stays worth a row.
-CHUNK_ROWS = 128
-CHUNKS_A_PARTITION = 32
-LEAST_BUCKETS = 64
+CHUNK_ROWS = 512
+CHUNKS_A_PARTITION = 8
+LEAST_BUCKETS = 24
 #: Documents for which there is a bucket, and chunks from which on an anchor is hot.
-BUCKET_ROWS = 1000
+BUCKET_ROWS = 8000
 HOT_CHUNKS = 500
 #: Units that a bucket sorts at once (whole anchors; one that has more is sorted by itself).
 SORT_UNITS = 400_000

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelane.operators.fusion import let
+
 
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
@@ -16,7 +18,7 @@ def mean(x: Column) -> Column:
 
 def std(x: Column) -> Column:
     """Population deviation."""
-    return F.sqrt(mean(F.transform(x, lambda v: (v - mean(x)) * (v - mean(x)))))
+    return F.sqrt(let(mean(x), lambda m: mean(F.transform(x, lambda v: (v - m) * (v - m)))))
 
 
 def percentile(x: Column, q: float) -> Column:

@@ -25,9 +25,14 @@ def margin(p: Column) -> Column:
     return top(p) - top(p, 2)
 
 
+def let(x: Column, f) -> Column:
+    """``f`` of ``x``, which is evaluated once however often ``f`` uses it inside lambdas."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def softmax(z: Column) -> Column:
-    e = F.transform(z, lambda v: F.exp(v - F.array_max(z)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
+    return let(F.array_max(z), lambda m: let(F.transform(z, lambda v: F.exp(v - m)), lambda e: let(total(e), lambda s: F.transform(e, lambda v: v / s))))
 
 
 def _times(w: Column):

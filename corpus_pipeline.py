@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelane.llm import gam, packing, rules, shared, simhash, suffixes
+from tidelane.llm import gam, packing, rules, shared, similar, suffixes
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,8 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group. Five-word shingles, as for all stages on them."""
-    return simhash.keep_one(docs, words=5)
+    """The document with the smallest id of each group linked by five-word shingle similarity of 0.8 or more."""
+    return similar.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

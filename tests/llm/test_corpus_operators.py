@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
-from tidelane.llm import bpe, gam, impact, packing, repeats, rules, simhash, suffix_trees, suffixes, toxicity, warc
+from tidelane.llm import bpe, gam, impact, packing, repeats, rules, similar, simhash, suffix_trees, suffixes, toxicity, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = "rather long " * 30_000
@@ -139,6 +139,72 @@ def test_keep_one(spark, docs):
     assert kept == {r.component_id for r in simhash.near_duplicates(docs).collect()}
 
 
+def slow_sets(text, words=5):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(" ".join(w[i : i + words]) for i in range(len(w) - words + 1)) or frozenset([" ".join(w)] if w else [])
+
+
+def slow_groups(rows, similarity=0.8):
+    """Smallest id of each row's group, by comparing all pairs of sets."""
+    sets, root = [slow_sets(t) for _, t in rows], list(range(len(rows)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or (min(len(a), len(b)) >= similarity * max(len(a), len(b)) and len(a & b) >= similarity * len(a | b)):
+                root[top(i)] = top(j)
+    of = [top(i) for i in range(len(rows))]
+    least = {c: min((d for (d, _), x in zip(rows, of, strict=True) if x == c and d is not None), default=None) for c in of}
+    return [least[c] for c in of]
+
+
+def edited_copies():
+    """Texts of 60 to 500 words with copies of 1 to 12 changed words, and a passage that many unrelated ones share."""
+    rnd, out = random.Random(5), []
+    word = lambda: f"w{rnd.randrange(3000)}"
+    passage = [word() for _ in range(60)]
+    for n in (60, 100, 200, 500) * 5:
+        base = [word() for _ in range(n)]
+        out.append(" ".join(base))
+        for changes in (1, 2, 3, 5, 8, 12):
+            copy = list(base)
+            for _ in range(changes):
+                copy[rnd.randrange(n)] = word()
+            out.append(" ".join(copy))
+    out += [" ".join([word() for _ in range(10)] + passage + [word() for _ in range(k % 30)]) for k in range(40)]
+    return list(enumerate(out))
+
+
+def test_similar_matches_brute_force(spark, docs, odd, empty):
+    copies = spark.createDataFrame(edited_copies(), "doc_id long, text string")
+    for df in (copies, docs, odd):
+        rows = texts(df)
+        want = Counter((d, c) for (d, _), c in zip(rows, slow_groups(rows), strict=True))
+        assert Counter((r.doc_id, r.component_id) for r in similar.near_duplicates(df).collect()) == want
+    assert similar.keep_one(empty).count() == 0
+
+
+def test_pipeline_drops_edited_copies(spark):
+    import corpus_pipeline
+
+    rows = edited_copies()
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL)
+    assert {r.doc_id for r in kept.collect()} == set(slow_groups(rows))
+
+
+def test_proposed_pairs_do_not_grow_with_the_square():
+    """A component of 2000 nodes and 3 others on one key: only pairs of different roots are proposed, each once."""
+    nodes, sizes = np.arange(2003), np.full(2003, 100)
+    roots = np.where(nodes < 2000, 0, nodes)
+    pairs = [p for a, b in similar.proposed(nodes, sizes, sizes, roots, 0.8, 0) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(pairs) == len(set(pairs)) == 3 * 2000 + 3
+
+
 # 3 and 9
 
 

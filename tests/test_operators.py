@@ -179,3 +179,16 @@ def test_live_sessions(spark, tmp_path):
     q.stop()
     out = live.current(spark.table("live")).first()
     assert out.class_idx == 1 and out.warm_up == 0.5 and live.latest(spark.table("live")).count() == 1
+
+
+def test_bootstrap_query_draws_all_resamples(spark):
+    from tests.conftest import SMALL
+    from tidelane.operators import evaluate
+    from tidelane.plans import base, tabular
+
+    gold, pred = base.gold_and_pred(spark, SMALL)
+    per_user = evaluate.per_user(pred, gold, evaluate.matches(pred, gold, base.KEY), base.KEY)
+    x = np.sort([r[0] for r in per_user.select("f1").where("f1 IS NOT NULL").collect()])
+    means = [x[np.random.default_rng([42, i]).integers(0, len(x), len(x))].mean() for i in range(10_000)]
+    got = tabular.bootstrap_ci(spark, SMALL).first()
+    assert (got["low"], got["high"]) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])), abs=1e-12)

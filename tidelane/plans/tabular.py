@@ -161,7 +161,7 @@ def paired_effect(spark, sf):
 @query()
 def bootstrap_ci(spark, sf):
     gold, pred = base.gold_and_pred(spark, sf)
-    return stats.bootstrap_ci(evaluate.per_user(pred, gold, evaluate.matches(pred, gold, KEY), KEY), "f1", resamples=2000)
+    return stats.bootstrap_ci(evaluate.per_user(pred, gold, evaluate.matches(pred, gold, KEY), KEY), "f1")
 
 
 @query("SELECT round(sum(n * (mu - o) * (mu - o)) / sum(n * v), 6) AS ratio FROM (SELECT event_type, count(*) AS n, avg(value) AS mu, var_pop(value) AS v FROM events GROUP BY 1), (SELECT avg(value) AS o FROM events)")

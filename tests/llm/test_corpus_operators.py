@@ -457,6 +457,13 @@ def test_windows_cover_texts():
         assert {i for o, s, m in zip(owner, start, length, strict=True) if o == k for i in range(s, s + m)} == set(range(n))
 
 
+def test_passages_of_half_a_window_lie_whole_in_one():
+    for n in range(1, 200):
+        _, start, length = toxicity.windows_of(np.array([n]))
+        size = min(n, toxicity.WINDOW // 2 + 1)
+        assert all(((start <= s) & (s + size <= start + length)).any() for s in range(n - size + 1))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidelane.llm import gam, shared
 
-FIT_ROWS, WINDOW, STRIDE = 4000, 32, 24
+FIT_ROWS, WINDOW, STRIDE = 4000, 32, 16
 WORD_BUCKETS, GRAM_BUCKETS, WORD_DIM, GRAM_DIM, HIDDEN = 1 << 15, 1 << 15, 6, 6, 6
 #: Small samples get more epochs than EPOCHS: as many as LEAST_STEPS steps take.
 EPOCHS, LEAST_STEPS, BATCH, RATE = 6, 200, 64, 0.01

@@ -192,3 +192,19 @@ def test_bootstrap_query_draws_all_resamples(spark):
     means = [x[np.random.default_rng([42, i]).integers(0, len(x), len(x))].mean() for i in range(10_000)]
     got = tabular.bootstrap_ci(spark, SMALL).first()
     assert (got["low"], got["high"]) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])), abs=1e-12)
+
+
+def test_align_linear_over_whole_inputs(spark):
+    from tests.conftest import SMALL
+    from tidelane.plans import base
+
+    ev = base.events(spark, SMALL).select(base.KEY, "t_ms", "event_type", "value").dropDuplicates([base.KEY, "t_ms"]).localCheckpoint()
+    got = intervals.align_linear(ev.where("event_type = 'view'"), ev.where("event_type <> 'view'"), base.KEY, "t_ms", "value", "aligned")
+    rows, want = ev.collect(), {}
+    for g in rows:
+        if g.event_type == "view":
+            s = sorted((r.t_ms, r.value) for r in rows if r[0] == g[0] and r.event_type != "view")
+            want[g[0], g.t_ms] = np.interp(g.t_ms, *zip(*s, strict=True)) if s else None
+    found = {(r[0], r.t_ms): r.aligned for r in got.collect()}
+    assert found.keys() == want.keys() and len(want) > 100
+    assert all((found[k] is None) == (want[k] is None) and (want[k] is None or found[k] == pytest.approx(want[k], abs=1e-9)) for k in want)

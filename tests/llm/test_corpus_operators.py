@@ -291,6 +291,23 @@ def test_top_k(spark):
     assert impact.top_k(few, few.where("vec_id = 0")).count() == 2 and impact.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e5, 1e7, 6e8])
+def test_top_k_of_large_components(spark, size):
+    """Components beyond 32 bits, scores beyond 2^53 and near ties: brute force in Python's integers."""
+    r = np.random.default_rng(1)
+    x = np.round(r.normal(0, size, (120, 8)))
+    x[60:] = x[:60] + r.integers(-1, 2, (60, 8)) / 256
+    x[::10] = np.round(r.normal(0, 1e4, (12, 8)))  # the queries: so scores fit a long
+    df = spark.createDataFrame([(i, [float(e) for e in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    v = [[int(e) for e in np.floor(256 * row)] for row in x]
+    want = set()
+    for q in range(0, 120, 10):
+        s = [sum(a * b for a, b in zip(v[q], w, strict=True)) for w in v]
+        order = sorted((i for i in range(120) if i != q), key=lambda i: (-s[i], i))[:5]
+        want |= {(q, k + 1, i, s[i]) for k, i in enumerate(order)}
+    assert {tuple(r) for r in impact.top_k(df, df.where("vec_id % 10 = 0")).collect()} == want
+
+
 # 5 and 8
 
 

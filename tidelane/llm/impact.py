@@ -12,7 +12,8 @@ of meetings is the only product formed. Each meeting returns at most k rows a qu
 
 Defined cases: vectors that are null, empty or have a null or non-finite component, and rows without an id, take no
 part. Vectors of different lengths never meet. Repeated rows are each candidates; a query's own row is left out by its
-id. Ties go to the smaller id. Fewer candidates than k give fewer rows.
+id. Ties go to the smaller id. Fewer candidates than k give fewer rows. A score among the best that no long can hold is
+an error.
 """
 
 from __future__ import annotations
@@ -62,6 +63,9 @@ def search(index: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndar
     levels = len(index["ends"]) // dims
     weights = queries.astype(np.float64)
     length = np.sqrt((weights**2).sum(axis=1))
+    total = np.sqrt((index["vectors"].astype(np.float64) ** 2).sum(axis=1))
+    #: More than the sums' rounding errors, which grow with the norms.
+    error = (dims + levels + 8) * 2.0**-52 * length[:, None] * total + 1e-6
     score = np.zeros((len(query_ids), n))
     out: list[tuple[int, int, int]] = []
     live = np.arange(len(query_ids))
@@ -69,8 +73,9 @@ def search(index: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndar
 
     def finish(q: int, members: np.ndarray) -> None:
         members = members[ids[members] != query_ids[q]]
-        exact = index["vectors"][members] @ queries[q]
-        for m in np.lexsort((ids[members], -exact))[:best].tolist():
+        kind = np.int64 if length[q] * total.max(initial=0) < 2.0**62 else object  # beyond that, longs could wrap
+        exact = index["vectors"][members].astype(kind) @ queries[q].astype(kind)
+        for m in sorted(range(len(members)), key=lambda m: (-exact[m], ids[members[m]]))[:best] if kind is object else np.lexsort((ids[members], -exact))[:best].tolist():
             out.append((int(query_ids[q]), int(ids[members[m]]), int(exact[m])))
 
     start = 0
@@ -81,7 +86,7 @@ def search(index: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndar
             plane[index["vec"][start:end], d] = index["value"][start:end]
             start = end
         score[live] += weights[live] @ plane.T
-        slack = length[live, None] * index["norm"][level] + 1e-6
+        slack = length[live, None] * index["norm"][level] + error[live]
         s = score[live]
         lower = s - slack
         if own is not None:
@@ -105,7 +110,7 @@ def search(index: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndar
 def _blobs(frame):
     """One row with the group's ids and vectors, as little-endian 64-bit integers."""
     frame = frame.sort_values("vec_id", kind="stable")
-    return pd.DataFrame({"box": [int(frame["box"].iloc[0])], "width": [int(frame["width"].iloc[0])], "ids": [frame["vec_id"].to_numpy("<i8").tobytes()], "data": [np.stack(frame["v"].to_list()).astype("<i4").tobytes()]})
+    return pd.DataFrame({"box": [int(frame["box"].iloc[0])], "width": [int(frame["width"].iloc[0])], "ids": [frame["vec_id"].to_numpy("<i8").tobytes()], "data": [np.stack(frame["v"].to_list()).astype("<i8").tobytes()]})
 
 
 BLOBS = "box long, width int, ids binary, data binary"
@@ -126,8 +131,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, scale: int = SCALE, best: i
         kept, made = None, None
         for width, ids, data, q_ids, q_data in shared.rows_of(batches):
             if kept != ids:
-                kept, made = ids, build(np.frombuffer(ids, "<i8"), np.frombuffer(data, "<i4").reshape(-1, width).astype(np.int64))
-            found = search(made, np.frombuffer(q_ids, "<i8"), np.frombuffer(q_data, "<i4").reshape(-1, width).astype(np.int64), best)
+                kept, made = ids, build(np.frombuffer(ids, "<i8"), np.frombuffer(data, "<i8").reshape(-1, width))
+            found = search(made, np.frombuffer(q_ids, "<i8"), np.frombuffer(q_data, "<i8").reshape(-1, width), best)
             columns = list(zip(*found, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], schema=names)
 

@@ -356,13 +356,84 @@ def test_orders_agree():
         windows = r.integers(1, 40, 12)
         lengths = windows + 9
         text, begin = r.integers(0, alphabet, lengths.sum()).astype(np.uint8), np.cumsum(lengths) - lengths
-        at = repeats.window_ids(text, begin, windows, 10)
+        at = repeats.spread(begin, windows)
         want = [text[a : a + 10].tobytes() for a in at]
         for order in (suffixes.order, suffix_trees.deep_nodes):
             names = order(text, begin, windows, 10)
             assert len(set(zip(names.tolist(), want, strict=True))) == len(set(want)) == len(set(names.tolist()))
 
 
+def test_hashes_do_not_decide(spark, monkeypatch):
+    """Thue-Morse words and their complements collide under polynomial hashes modulo 2^64; nothing may go for that. Nor
+    may it where every hash of a stretch is the same."""
+    bit, flipped = "a", "b"
+    for _ in range(10):
+        bit, flipped = bit + flipped, flipped + bit
+    rest = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"{bit} {rest}"), (2, f"{flipped} {rest}"), (3, f"x{bit} {rest} y{flipped}"), (4, f"{bit} {rest}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for module, words in ((suffixes, False), (suffix_trees, True)):
+        got = module.digests(df).collect()
+        assert Counter(tuple(r) for r in got) == slow_repeats(rows, words)
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 0, 3: 0, 4: 50}
+    monkeypatch.setattr(repeats, "mix", lambda x: x & np.uint64(0))  # one anchor, one group, one proposal
+    texts_ = [t.encode() for _, t in rows]
+    for module, words in ((suffixes, False), (suffix_trees, True)):
+        chunk = repeats.Chunk(module.METHOD, [1, 2, 3, 4], texts_)
+        s = chunk.stretches(np.ones(len(chunk.anchors()[0]), np.uint8), 1)
+        f = s["first"]
+        data = chunk.content(s["start"][f], s["run"][f])
+        units = repeats.word_codes(data)[0] if words else np.frombuffer(data, np.uint8)
+        bits = repeats.removed_windows(module.METHOD, s["group"][f], s["doc"][f], s["run"][f], units)
+        covered = chunk.covered(s, bits)
+        want = {r[0]: r[2] for r in slow_repeats(rows, words)}
+        assert {k + 1: int(covered[e - c : e].sum()) for k, (c, e) in enumerate(zip(chunk.counts, chunk.ends, strict=True))} == want
+
+
+def test_repeats_of_odd_and_repeated_rows(spark, odd):
+    """Very long texts, nulls, clashing columns, and one row that is there 3000 times."""
+    for rows in (ODD + [(11, LONG + "end")], [(5, "a passage " * 40)] * 3000 + [(4, "b " + "a passage " * 40), (6, "a passage " * 30)]):
+        df = spark.createDataFrame([(d, t, 1, "u") for d, t in rows], "doc_id long, text string, chunk long, others string")
+        for module, words in ((suffixes, False), (suffix_trees, True)):
+            assert Counter(tuple(r) for r in module.digests(df).collect()) == slow_repeats(rows, words)
+    assert suffixes.remove_repeats(odd.limit(0)).count() == 0
+
+
+def test_maximal_repeats_are_read_off_the_tree():
+    r = np.random.default_rng(4)
+
+    def brute(found, least):
+        occurs, out = {}, []
+        for i, t in enumerate(found):
+            for a in range(len(t)):
+                for b in range(a + least, len(t) + 1):
+                    occurs.setdefault(tuple(t[a:b]), []).append((i, a))
+        for k, at in occurs.items():
+            left = {found[i][a - 1] if a else ("start", i) for i, a in at}
+            right = {found[i][a + len(k)] if a + len(k) < len(found[i]) else ("end", i) for i, a in at}
+            if len(at) > 1 and len(left) > 1 and len(right) > 1:
+                out.append((len(k), sorted(at)))
+        return sorted(out)
+
+    for _ in range(60):
+        found = [r.integers(0, 3, r.integers(0, 15)).tolist() for _ in range(r.integers(1, 4))]
+        assert sorted(suffix_trees.maximal_repeats([np.array(t, np.int64) for t in found], 2)) == brute(found, 2)
+
+
+@pytest.mark.parametrize("most", [1, 3, 50, 10_000])
+def test_prefix_groups_fit(most):
+    """Groups have one prefix and at most so many suffixes, unless they agree to the limit; no suffix that has a partner is lost."""
+    r = np.random.default_rng(6)
+    units = np.concatenate([r.integers(0, 4, 500), np.zeros(80, np.int64), r.integers(0, 4, 20)])
+    places, seen = np.arange(len(units) - 12), []
+    for at, sizes, depths in suffix_trees.prefix_groups(units, places, 12, most):
+        for a, n, d in zip(np.cumsum(sizes) - sizes, sizes, depths, strict=True):
+            assert len({tuple(units[p : p + d]) for p in at[a : a + n]}) == 1 and (n <= most or d == 12)
+        seen += at.tolist()
+    windows = Counter(tuple(units[p : p + 12]) for p in places)
+    assert len(seen) == len(set(seen)) and {p for p in places if windows[tuple(units[p : p + 12])] > 1} <= set(seen)
+
+
 def test_remove_repeats_keeps_columns(spark, odd):
     text = "this passage is long enough to be found again in another row of the table, surely "
     df = odd.limit(3).unionByName(spark.createDataFrame([(50, text + "one"), (51, text + "two")], "doc_id long, text string"), allowMissingColumns=True)

@@ -14,18 +14,21 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch at most. Texts may be long, and a batch is what a Python worker holds at once.
-ARROW_ROWS = 500
+#: Rows and bytes of an Arrow batch at most. Texts may be long, and a batch is what a Python worker holds at once.
+ARROW_ROWS, ARROW_BYTES = 500, 4_000_000
 
 #: The white space that separates words, as bytes: space and 0x09 to 0x0D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a master on one machine gets one of its
+    own where that is unset."""
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().getOrElse(None)
     if not base:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(f"/tmp/tidelane-{context.applicationId}")
         base = context._jsc.sc().getCheckpointDir().get()
     return str(base).rstrip("/")
@@ -43,12 +46,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Lower (never raise) the rows of an Arrow batch, so that a batch of long texts fits a worker, and let workers
-    import this package where PYTHONPATH doesn't have it: it then goes to them as a zip file, once a session."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    """Lower (never raise) the rows and bytes of an Arrow batch, so that a batch of long texts fits a worker, and let
+    workers import this package where PYTHONPATH doesn't have it: it then goes to them as a zip file, once a session.
+
+    Plans read the setting when they run, so it stays lowered for the session.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = str(spark.conf.get(key)).removesuffix("b")
+        if not now.isdigit() or int(now) <= 0 or int(now) > most:
+            spark.conf.set(key, str(most))
     root, context = Path(__file__).resolve().parents[2], spark.sparkContext
     if str(root) not in os.environ.get("PYTHONPATH", "").split(os.pathsep) and not getattr(context, "_tidelane_shipped", False):
         path = Path(tempfile.mkdtemp(prefix="tidelane-"), "tidelane.zip")  # tasks may fetch it at any time

@@ -32,8 +32,9 @@ from tidelane.llm import shared
 VOCABULARY = "word_bpe_49k.json"
 #: Words of more bytes than this are merged by the library.
 MAX_WORD = 48
-#: Chunks that a worker remembers.
-CACHE_ENTRIES = 400_000
+#: Chunks, and their characters, that a worker remembers before it begins anew; pairs of tokens that it remembers.
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 8_000_000
+KNOWN_PAIRS = 300_000
 #: Characters for which Python's lower() and regex classes agree with the library's, and which are in normal form C.
 PLAIN = re.compile("[\x21-\x7e\xa1-\xac\xae-\xffĀ-įı-ňŊ-ž–—‘’“”…€]+")
 PLAIN_TEXT = re.compile(f"[ \t\n\r{PLAIN.pattern[1:-2]}]*")
@@ -57,7 +58,8 @@ def byte_characters() -> list[str]:
 
 
 class PairTable:
-    """Vectorised map from (left, right) to the merged token, by open addressing."""
+    """Vectorised map from pairs to numbers, by open addressing: from (left, right) to the merged token, from (node, byte)
+    to the node below. -1 where there is none."""
 
     def __init__(self, left: np.ndarray, right: np.ndarray, merged: np.ndarray):
         self.bits = int(np.ceil(np.log2(max(4, len(left) * 5))))
@@ -129,7 +131,7 @@ class WordBpe:
         self.known_keys, self.known_ok = np.array([-1], np.int64), np.array([False])
         self.cache: dict[str, bytes] = {}
         self.decoded: dict[str, bytes] = {}
-        self.cache_entries, self.speculate = cache_entries, speculate
+        self.cache_entries, self.speculate, self.held = cache_entries, speculate, 0
         self.counts = {"words": 0, "failed": 0, "library": 0}
 
     def _grow_trie(self, spelled: list[tuple[bytes, bool, int]]) -> None:
@@ -153,10 +155,8 @@ class WordBpe:
                         final.append(-1)
                     node = nxt
                 ids[node] = i
-        self.child = np.full((len(plain), 256), -1, np.int32)
         at = np.array([*children], np.int64).reshape(-1, 2)
-        self.child[at[:, 0], at[:, 1]] = np.fromiter(children.values(), np.int32, len(children))
-        self.child = self.child.reshape(-1)
+        self.child = PairTable(at[:, 0], at[:, 1], np.fromiter(children.values(), np.int32, len(children)))
         self.node_plain, self.node_final = np.array(plain, np.int32), np.array(final, np.int32)
 
     def _symbols(self, words: list[bytes], last: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +220,7 @@ class WordBpe:
             who, node, depth = np.arange(len(live)), np.zeros(len(live), np.int64), 0
             while len(who):
                 p = at[who] + depth
-                node = self.child[(node << 8) | data[p]].astype(np.int64)
+                node = self.child.get(node, data[p])
                 depth += 1
                 ended = p + 1 == ends[live[who]]
                 token = np.where(ended, self.node_final[node], self.node_plain[node])
@@ -269,7 +269,7 @@ class WordBpe:
         if new.any():
             fresh = distinct[new]
             ok[new] = self._apart((fresh >> 20).astype(np.int32), (fresh & 0xFFFFF).astype(np.int32))
-            keep = len(self.known_keys) < 2_000_000
+            keep = len(self.known_keys) < KNOWN_PAIRS
             merged = np.concatenate([self.known_keys, fresh]) if keep else fresh
             order = np.argsort(merged, kind="stable")
             self.known_ok = (np.concatenate([self.known_ok, ok[new]]) if keep else ok[new])[order]
@@ -347,9 +347,10 @@ class WordBpe:
         split = [self._split(t) for t in texts]
         new = set().union(*split).difference(self.cache) if split else set()
         if new:
-            if len(self.cache) + len(new) > self.cache_entries:
-                self.cache, self.decoded = {}, {}
+            if len(self.cache) + len(new) > self.cache_entries or self.held > CACHE_CHARS:
+                self.cache, self.decoded, self.held = {}, {}, 0
                 new = set().union(*split)
+            self.held += sum(map(len, new))
             self.learn(new)
         return split
 

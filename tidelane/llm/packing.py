@@ -112,10 +112,9 @@ def _packer(round_: int, capacity: int, slack: int, carry: int):
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, slack: int = SLACK, group_items: int = GROUP_ITEMS, fan_in: int = FAN_IN, carry: int = CARRY) -> DataFrame:
     """Adds sequence_id and offset to ``pieces`` (as of ``pieces_of``)."""
     pieces = shared.materialize(pieces, "pieces")
-    spark = pieces.sparkSession
     short = pieces.where(F.col("length") < capacity)
     groups = max(1, -(-short.count() // group_items))
-    box = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))
+    box = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))  # by row, so repeated rows spread too
     first = (
         short.withColumn("box", box).groupBy("box")
         .applyInPandas(_packer(0, capacity, slack, carry), f"{PIECE}, box long, offset long, fill long, open boolean, bin long")

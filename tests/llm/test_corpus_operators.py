@@ -201,7 +201,7 @@ def test_proposed_pairs_do_not_grow_with_the_square():
     """A component of 2000 nodes and 3 others on one key: only pairs of different roots are proposed, each once."""
     nodes, sizes = np.arange(2003), np.full(2003, 100)
     roots = np.where(nodes < 2000, 0, nodes)
-    pairs = [p for a, b in similar.proposed(nodes, sizes, sizes, roots, 0.8, 0) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    pairs = [p for a, b in similar.proposed(nodes, sizes, sizes, roots, np.zeros((2003, 2), np.int64), 0.8, 0) for p in zip(a.tolist(), b.tolist(), strict=True)]
     assert len(pairs) == len(set(pairs)) == 3 * 2000 + 3
 
 

@@ -31,14 +31,16 @@ from pyspark.sql import functions as F
 from tidelane.llm import shared, simhash
 
 WORDS, SIMILARITY = 5, 0.8
-#: One node in SAMPLE is asked for common shingles; those in LEAST or more of them count, COMMON of them at most.
+#: One set in SAMPLE is asked for common shingles; those in LEAST or more of them count, COMMON of them at most. They only
+#: order prefixes: any order gives the same pairs.
 SAMPLE, LEAST, COMMON = 16, 3, 200_000
-#: Tables of node or row numbers are broadcast up to this many rows (16 bytes each), else joined by shuffle.
+#: Tables of nodes with a few numbers (40 bytes at most) are broadcast up to this many rows, else joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Rounds that only compare with leaders. They bound the work, not the result: the last round has all pairs left.
 LEADERS = 2
-#: Places of a sketch: how many of a set's shingles (255 at most) fall in each.
+#: Places of a sketch: how many of a set's shingles (255 at most) fall in each. A posting has only whether that is odd.
 PLACES = 128
+ODD = [f"odd{k}" for k in range(PLACES // 64)]
 EPS = 1e-9
 
 
@@ -47,34 +49,60 @@ def least_shared(n, similarity: float):
     return np.ceil(similarity * n - EPS).astype(np.int64)
 
 
-def shingle_sets(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
-    """row, doc_id, fingerprint ``fp``, set's hash ``node``, its ``size``, ``sketch`` and sorted 64-bit ``hashes``."""
+def shingle_sets(docs: DataFrame, *, words: int = WORDS, sample: int = 1) -> DataFrame:
+    """row, doc_id, fingerprint ``fp``, set's hash ``node``, its ``size``, ``sketch`` and sorted 64-bit ``hashes``; the last
+    for one node in ``sample`` only."""
     shared.prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, sets, nodes, sketches = [], [], [], []
+            hashes, sets, sizes, nodes, sketches = [], [], [], [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 hashes.append(np.array(simhash.shingle_hashes(text.lower(), words), np.uint64))
                 distinct = np.unique(hashes[-1])
-                sets.append(distinct.tobytes())
+                data = distinct.tobytes()
                 sketches.append(np.minimum(np.bincount((distinct >> np.uint64(17)).astype(np.int64) % PLACES, minlength=PLACES), 255).astype(np.uint8).tobytes())
-                nodes.append(simhash.xxhash.xxh64_intdigest(sets[-1]))
+                sizes.append(len(distinct))
+                nodes.append(simhash.xxhash.xxh64_intdigest(data))
+                sets.append(data if nodes[-1] % sample == 0 else None)
             flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
             prints = simhash.majority(flat, np.array([len(h) for h in hashes], np.int64))
-            columns = [pa.array(prints.view(np.int64)), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array([len(s) // 8 for s in sets], pa.int64()), pa.array(sketches, pa.binary()), pa.array(sets, pa.binary())]
+            columns = [pa.array(prints.view(np.int64)), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(sets, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["row", "doc_id", "fp", "node", "size", "sketch", "hashes"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, "row long, doc_id long, fp long, node long, size long, sketch binary, hashes binary")
 
 
+class Sets:
+    """The distinct shingle sets of a table's documents. Sets are several times as large as what is kept of them, so they
+    are made anew from the texts of the documents that are asked for."""
+
+    def __init__(self, docs: DataFrame, words: int):
+        self.docs, self.words = docs, words
+        self.every = shared.materialize(shingle_sets(docs, words=words, sample=SAMPLE), "sets")
+        grouped = self.every.groupBy("node").agg(F.min_by(F.struct("doc_id"), "row").alias("who"), F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+        #: One row a set: a document that has it, the smallest id of those, fingerprint, size, sketch.
+        self.nodes = shared.materialize(grouped.withColumn("who", F.col("who.doc_id")), "nodes")
+
+    def sample(self) -> DataFrame:
+        """Hashes of the sets in the sample; copies may be there more than once."""
+        return self.every.where("hashes IS NOT NULL AND size > 0").select("hashes")
+
+    def of(self, nodes: DataFrame | None = None) -> DataFrame:
+        """node and hashes of the given nodes (of all that aren't empty without); rows may repeat where documents' ids do."""
+        nodes = (self.nodes if nodes is None else self.nodes.join(_small(nodes), "node", "left_semi")).where("size > 0")
+        asked = _small(shared.materialize(nodes.select("who", F.col("node").alias("asked")), "asked"))
+        texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked.select("who"), F.col("doc_id").eqNullSafe(F.col("who")), "left_semi")
+        return shingle_sets(texts, words=self.words).select("node", "hashes").join(asked.select("asked"), F.col("node") == F.col("asked"), "left_semi")
+
+
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def common_shingles(sets: DataFrame, sample: int = SAMPLE, least: int = LEAST, most: int = COMMON) -> np.ndarray:
-    """Shingles that are common in a sample of ``sets``, from the less to the more common."""
+def common_shingles(hashes: DataFrame, least: int = LEAST, most: int = COMMON) -> np.ndarray:
+    """Shingles that are common in a sample's sets, from the less to the more common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,40 +110,53 @@ def common_shingles(sets: DataFrame, sample: int = SAMPLE, least: int = LEAST, m
             value, n = np.unique(flat, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n)], names=["key", "n"])
 
-    asked = sets.where(F.pmod("node", F.lit(sample)) == 0).select("hashes")
-    counts = asked.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counts = hashes.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     rows = counts.orderBy(F.desc("n"), "key").limit(most).collect()
     return np.array([r.key for r in reversed(rows)], np.int64).view(np.uint64)
 
 
-def shared_prefixes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """key, node, size and ``rest`` (shingles from this one on) of the prefix shingles that two nodes or more have."""
-    common = common_shingles(sets)
+def shared_prefixes(sets: Sets, similarity: float = SIMILARITY) -> DataFrame:
+    """key, node, size, ``rest`` (shingles from this one on) and sketch's parities of the prefix shingles that two nodes or
+    more have. Only keys, nodes and rests are shuffled by key; what else a node has joins those that are left."""
+    common = common_shingles(sets.sample())
     order = np.argsort(common)
-    shipped = sets.sparkSession.sparkContext.broadcast((common[order], order))
+    shipped = sets.docs.sparkSession.sparkContext.broadcast((common[order], order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, place = shipped.value
         for batch in batches:
-            keys, rest, sizes = [], [], batch.column(1).to_numpy()
-            for data in batch.column(2).to_pylist():
+            keys, rest = [], []
+            for data in batch.column(1).to_pylist():
                 h = np.frombuffer(data, np.uint64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     h = h[np.argsort(np.where(known[at] == h, place[at] + 1, 0), kind="stable")]
                 keys.append(h[: len(h) - int(least_shared(len(h), similarity)) + 1])
                 rest.append(len(h) - np.arange(len(keys[-1])))
-            n = [len(k) for k in keys]
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.repeat(sizes, n)), pa.array(np.concatenate(rest) if rest else sizes)], names=["key", "node", "size", "rest"])
+            nodes = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(nodes), pa.array(np.concatenate(rest) if rest else nodes)], names=["key", "node", "rest"])
+
+    def parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odd = parities(batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(odd[:, k]) for k in range(len(ODD)))], names=["node", "size", *ODD])
+
+    postings = sets.of().mapInArrow(run, "key long, node long, rest long")
+    met = postings.groupBy("key").agg(F.collect_set(F.struct("node", F.col("rest").cast("int").alias("rest"))).alias("members")).where(F.size("members") > 1)
+    facts = sets.nodes.where("size > 0").select("node", "size", "sketch").mapInArrow(parity, f"node long, size long, {', '.join(f'{c} long' for c in ODD)}")
+    facts = _small(shared.materialize(facts, "facts"))
+    return shared.materialize(met.select("key", F.explode("members").alias("m")).select("key", "m.*").join(facts, "node"), "prefixes")
 
-    postings = sets.select("node", "size", "hashes").mapInArrow(run, "key long, node long, size long, rest long")
-    met = postings.groupBy("key").agg(F.collect_list(F.struct("node", F.col("size").cast("int").alias("size"), F.col("rest").cast("int").alias("rest"))).alias("members")).where(F.size("members") > 1)
-    return shared.materialize(met.select("key", F.explode("members").alias("m")).select("key", "m.*"), "prefixes")
 
+def parities(sketches: list[bytes]) -> np.ndarray:
+    """Whether a sketch's places have odd counts, as longs. Two sets differ in at least as many shingles as in parities."""
+    flat = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, PLACES)
+    return np.packbits((flat & 1) * (flat < 255), axis=1).view(np.int64)
 
-def proposed(nodes: np.ndarray, sizes: np.ndarray, rest: np.ndarray, roots: np.ndarray, similarity: float, leader: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one key's nodes with different roots, sizes and rests that allow the similarity.
+
+def proposed(nodes: np.ndarray, sizes: np.ndarray, rest: np.ndarray, roots: np.ndarray, odd: np.ndarray, similarity: float, leader: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one key's nodes with different roots, with sizes, rests and parities that allow the similarity.
 
     With a ``leader`` number, each node meets only one of the largest component, another one for each number. With 0 all
     pairs meet; members of the largest component are met by the others, so the work is bounded by the pairs left.
@@ -130,6 +171,7 @@ def proposed(nodes: np.ndarray, sizes: np.ndarray, rest: np.ndarray, roots: np.n
     for i in asking:
         fits = np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]) - EPS
         fits &= np.minimum(rest, rest[i]) >= similarity / (1 + similarity) * (sizes + sizes[i]) - EPS
+        fits &= np.bitwise_count((odd ^ odd[i]).view(np.uint64)).sum(axis=1) <= (1 - similarity) / (1 + similarity) * (sizes + sizes[i]) + EPS
         meets = fits & (which != which[i])
         if not leader:
             meets &= largest | (place > i)
@@ -145,7 +187,8 @@ def pairs_by_prefix(prefixes: DataFrame, roots: DataFrame, similarity: float, le
             a, b, held = [], [], 0
             for members in batch.column(0):
                 flat = members.values
-                for x, y in proposed(*(flat.field(k).to_numpy() for k in range(4)), similarity, leader):
+                columns = [flat.field(k).to_numpy() for k in range(4 + len(ODD))]
+                for x, y in proposed(*columns[:4], np.stack(columns[4:], axis=1), similarity, leader):
                     a.append(x)
                     b.append(y)
                     held += len(x)
@@ -159,7 +202,7 @@ def pairs_by_prefix(prefixes: DataFrame, roots: DataFrame, similarity: float, le
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     named = prefixes.join(_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    groups = named.groupBy("key").agg(F.collect_list(F.struct("node", "size", "rest", "root")).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
+    groups = named.groupBy("key").agg(F.collect_list(F.struct("node", "size", "rest", "root", *ODD)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
     return groups.where("low < high").select("members").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -183,11 +226,11 @@ def possible(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return _with_both(pairs, sets, ["size", "sketch"]).mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def verified(pairs: DataFrame, sets: Sets, similarity: float = SIMILARITY) -> DataFrame:
     """The ``pairs`` (a, b) whose sets have the similarity."""
-    pairs = shared.materialize(possible(pairs, sets, similarity), "pairs")
+    pairs = shared.materialize(possible(pairs, sets.nodes.where("size > 0"), similarity), "pairs")
     asked = shared.materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
-    found = sets.join(_small(asked), "node", "left_semi").select("node", "hashes")
+    found = sets.of(asked).dropDuplicates(["node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,25 +246,22 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
 
 def near_duplicates(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """row, doc_id, node and component_id (smallest reachable doc_id) of every row of ``docs``."""
-    every = shared.materialize(shingle_sets(docs, words=words), "sets")
-    rows = every.select("row", "doc_id", "fp", "node")
-    first = shared.materialize(rows.groupBy("node").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.min("fp").alias("fp")), "nodes")
-    copies = rows.join(_small(first.where("n > 1").select("node", "first")), "node").where("row <> first").select("row")
-    sets = every.join(_small(shared.materialize(copies, "copies")), "row", "left_anti").where("size > 0")
-
-    by_print = first.groupBy("fp").agg(F.min("node").alias("head"))
+    sets = Sets(docs, words)
+    by_print = sets.nodes.groupBy("fp").agg(F.min("node").alias("head"))
     heads = by_print.select("fp", "head")
-    equal = first.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    near = simhash.links(by_print).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("p")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("q")), "b")
+    equal = sets.nodes.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    # Of a fingerprint's links one is tried here; the rounds below find what that leaves apart.
+    near = simhash.links(by_print).groupBy("b").agg(F.min("a").alias("a"))
+    near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("p")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("q")), "b")
     edges = verified(equal.unionByName(near.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))), sets, similarity)
     prefixes = shared_prefixes(sets, similarity)
     for leader in (*range(1, LEADERS + 1), 0):
         roots = shared.materialize(simhash.components(edges), "roots")
         edges = edges.unionByName(verified(pairs_by_prefix(prefixes, roots, similarity, leader), sets, similarity))
     roots = simhash.components(edges)
-    named = first.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = sets.nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(least, "root").select("node", "component_id"), "node").select("row", "doc_id", "node", "component_id")
+    return sets.every.select("row", "doc_id", "node").join(named.join(least, "root").select("node", "component_id"), "node").select("row", "doc_id", "node", "component_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

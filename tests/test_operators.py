@@ -1,11 +1,13 @@
 """Hand-derived vectors and properties of the operators."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidelane.config import FULL, RAW, split_path
-from tidelane.operators import clean, decode, fusion, intervals, segments, sequence, stats
+from tidelane.operators import clean, decode, features, fusion, intervals, segments, sequence, stats
 from tidelane.plans import pipeline
 from tidelane.sources import readers, writers
 from tidelane.streaming import live
@@ -208,3 +210,71 @@ def test_align_linear_over_whole_inputs(spark):
     found = {(r[0], r.t_ms): r.aligned for r in got.collect()}
     assert found.keys() == want.keys() and len(want) > 100
     assert all((found[k] is None) == (want[k] is None) and (want[k] is None or found[k] == pytest.approx(want[k], abs=1e-9)) for k in want)
+
+
+def test_discovery_csv_history_and_cache(spark, tmp_path):
+    from tidelane.sources import writers
+
+    (tmp_path / "src" / "raw").mkdir(parents=True)
+    for name, text in (("readme.txt", "x"), ("raw/a.txt", "1"), ("raw/b.txt", "2"), ("raw/about.txt", "3"), ("raw/s1.csv", "t,x,y,label\n1,0.5,2,3\n2,bad,2,3\n3,1,4,1\n")):
+        (tmp_path / "src" / name).write_text(text)
+    names = lambda files: [f.rsplit("/", 1)[1] for f in files]
+    top = str(tmp_path / "src")
+    assert names(readers.discover(spark, top, ("none", "raw"))) == ["a.txt", "b.txt"]
+    assert names(readers.discover(spark, top, (), ("b.txt",))) == ["b.txt"] and readers.discover(spark, top + "none") == []
+    got = readers.headered_csv(spark, top + "/raw/s1.csv", {"ax": "x", "ay": "y"}, "label").orderBy("label").collect()
+    assert [(r.user_id, r.ax, r.ay, r.label) for r in got] == [("s1", 1.0, 4.0, 1), ("s1", 0.5, 2.0, 3)]
+    with pytest.raises(ValueError, match="missing"):
+        readers.headered_csv(spark, top + "/raw/s1.csv", {"ax": "z"}, "label")
+    path = str(tmp_path / "history")
+    for epoch, loss in ((0, 1.0), (1, 0.5), (1, 0.4)):
+        kept = writers.append_history(spark.createDataFrame([(epoch, loss)], "epoch int, loss double"), path)
+    assert {(r.epoch, r.loss) for r in kept.collect()} == {(0, 1.0), (1, 0.4)}
+    w = spark.createDataFrame([(1, [1.0]), (2, [2.0]), (1, [3.0])], "user_id int, x array<double>")
+    assert sorted(map(tuple, writers.cache_windows(w, str(tmp_path / "cache"), "user_id", 2).collect())) == sorted(map(tuple, w.collect()))
+    spark.createDataFrame([(1, "p", 0.5), (1, "p", 0.7), (1, "q", 0.1)], "user_id int, policy string, f1 double").write.option("header", True).csv(str(tmp_path / "res"))
+    assert [(r.p, r.q) for r in readers.result_table(spark, str(tmp_path / "res")).collect()] == [(pytest.approx(0.6), 0.1)]
+
+
+def test_jitter_keeps_span_and_order(spark):
+    df = spark.createDataFrame([(k, 100.0 * i) for k in (1, 2) for i in range(50)] + [(3, 7.0)], "k int, t double")
+    out = {k: [r.t for r in clean.jitter(df, "k", ["t"], "t", 0.9).where(f"k = {k}").orderBy("t").collect()] for k in (1, 2, 3)}
+    assert out[3] == [7.0] and out[1] != out[2]
+    for k in (1, 2):
+        t = out[k]
+        assert t[0] == 0 and t[-1] == pytest.approx(4900) and all(b > a for a, b in zip(t, t[1:], strict=False)) and t != [100.0 * i for i in range(50)]
+
+
+def test_mixup_and_augment(spark):
+    df = spark.createDataFrame([(i, i % 3, [float(i)] * 4) for i in range(300)], "id int, y int, x array<double>")
+    rows = features.mixup(df, "x", "y", "id", groups=4).collect()
+    assert len(rows) == 300 and all(0 <= r.weight <= 1 for r in rows) and sum(r.weight < 0.1 or r.weight > 0.9 for r in rows) > 100
+    assert sum(abs(r.x[0] - r.id) > 1e-9 for r in rows) > 200
+    again = features.augment(df, "x", "id").collect()
+    assert again == features.augment(df, "x", "id").collect() and sum(r.x == [float(r.id)] * 4 for r in again) > 30
+
+
+def test_running_totals_and_repeated_points(spark):
+    rows = [(v, v % 5 + 1) for v in random.Random(2).sample(range(10_000), 500)]
+    got = {r.v: r.n_below for r in sequence.running_totals(spark.createDataFrame(rows, "v int, n int"), "v", ["n"], 8).collect()}
+    assert got == {v: sum(n for u, n in rows if u < v) for v, _ in rows}
+    points = spark.createDataFrame([(1, 5), (1, 5), (1, 50)], "k int, t long")
+    labels = spark.createDataFrame([(1, 0, 10, 3, 0)], "k int, start_ms long, end_ms long, state int, row_no long")
+    assert sorted(r.label for r in intervals.label_points(points, labels, "k", "t", []).collect()) == [0, 3, 3]
+
+
+def test_candidates_meet_once_over_buckets(spark):
+    rnd = random.Random(8)
+    rows = [[(1, i, a := rnd.randrange(500), a + rnd.randrange(200)) for i in range(60)] for _ in range(2)]
+    pred, gold = (spark.createDataFrame(r, f"k int, {n} int, start_ms long, end_ms long") for r, n in zip(rows, ("pred_id", "gold_id"), strict=True))
+    got = sorted((r.pred_id, r.gold_id) for r in intervals.candidates(pred, gold, ["k"], 0.3, bucket_ms=37).collect())
+    want = sorted((p, g) for _, p, a, b in rows[0] for _, g, c, d in rows[1] if a < d and c < b and (min(b, d) - max(a, c)) > 0.3 * (max(b, d) - min(a, c)))
+    assert got == want
+
+
+def test_onnx_like_scorer(spark):
+    from tidelane.plans import records
+
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "id long, x array<double>")
+    got = records.score_windows(df, "x", lambda: lambda x: x / x.sum(axis=1, keepdims=True), "id").collect()
+    assert {r.id: r.probs for r in got} == {i: [i / (i + 1), 1 / (i + 1)] for i in range(5)}

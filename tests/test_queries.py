@@ -22,7 +22,7 @@ def duck():
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else repr(round(v, 5) + 0.0)
+        return "nan" if math.isnan(v) else repr(round(v, 9) + 0.0)
     return str(v)
 
 

@@ -25,6 +25,23 @@ def focal(p: Column, gamma: float = 2.0) -> Column:
     return -F.pow(1 - p, F.lit(gamma)) * F.ln(F.greatest(p, F.lit(1e-12)))
 
 
+def cross_entropy(p: Column, label: Column, smoothing: float = 0.1) -> Column:
+    """Of an array of class probabilities, the label's share smoothed over all classes."""
+    logs = F.transform(p, lambda v: F.ln(F.greatest(v, F.lit(1e-12))))
+    mean = F.aggregate(logs, F.lit(0.0), lambda a, b: a + b) / F.size(p)
+    return -((1 - smoothing) * F.get(logs, label) + smoothing * mean)
+
+
+def distance(x: Column, y: Column) -> Column:
+    """Euclidean, of two arrays."""
+    return F.sqrt(F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
+
+
+def triplet(near: Column, far: Column, margin: float = 1.0) -> Column:
+    """Hinge loss of the distance to the hardest equal and to the hardest other example."""
+    return F.greatest(near - far + margin, F.lit(0.0))
+
+
 def warm_up(n: Column, full: int = 800) -> Column:
     return F.least(n / F.lit(float(full)), F.lit(1.0))
 

@@ -70,7 +70,8 @@ def normalise_labels(c: Column, replace: dict[str, str]) -> Column:
 
 
 def perturb(df: DataFrame, key: str, order: list[str], x: str, kind: str, amount: float, seed: int = 0) -> DataFrame:
-    """Robustness conditions on a column: noise, dropout, clip, hold, bias, scale, burst. Random ones hash key and place."""
+    """Robustness conditions on a column: noise, dropout, clip (at a value), saturate (at a quantile of the magnitude),
+    hold, drift (a line and a sine, ``amount`` deviations high), bias, scale, burst. Random ones hash key and place."""
     w = Window.partitionBy(key).orderBy(*order)
     i = F.row_number().over(w) - 1
     df = df.withColumn("_i", i)
@@ -87,6 +88,12 @@ def perturb(df: DataFrame, key: str, order: list[str], x: str, kind: str, amount
         out = F.when((F.col("_i") < start) | (F.col("_i") >= start + n * amount), v)
     elif kind == "clip":
         out = F.least(F.lit(amount), F.greatest(F.lit(-amount), v))
+    elif kind == "saturate":  # amount: quantile of |x|, per key
+        most = F.percentile(F.abs(v), F.lit(amount)).over(Window.partitionBy(key))
+        out = F.least(most, F.greatest(-most, v))
+    elif kind == "drift":
+        at = F.try_divide(F.col("_i").cast("double"), F.count(F.lit(1)).over(Window.partitionBy(key)) - 1)
+        out = v + amount * F.stddev_pop(x).over(Window.partitionBy(key)) * (F.coalesce(at, F.lit(0.0)) + 0.5 * F.sin(2 * 3.141592653589793 * F.coalesce(at, F.lit(0.0))))
     elif kind == "hold":  # every amount-th value, held
         out = F.last(F.when(F.col("_i") % int(amount) == 0, v), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     elif kind == "bias":
@@ -96,3 +103,28 @@ def perturb(df: DataFrame, key: str, order: list[str], x: str, kind: str, amount
     else:
         raise ValueError(f"unknown condition {kind!r}")
     return df.withColumn(x, out).drop("_i")
+
+
+def jitter(df: DataFrame, key: str, order: list[str], time: str, share: float, seed: int = 0) -> DataFrame:
+    """Times with each step changed at random by up to ``share`` of the median step, no step under a fifth of that; the
+    whole span stays as it was. Draws hash key and place."""
+    w = Window.partitionBy(key).orderBy(*order)
+    whole = Window.partitionBy(key)
+    df = df.withColumn("_i", F.row_number().over(w)).withColumn("_d", F.col(time) - F.lag(time).over(w))
+    df = df.withColumn("_m", F.percentile("_d", 0.5).over(whole)).withColumn("_a", F.min(time).over(whole)).withColumn("_b", F.max(time).over(whole))
+    u = F.pmod(F.xxhash64(F.col(key), F.col("_i"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 29) - 1
+    df = df.withColumn("_c", F.coalesce(F.sum(F.when(F.col("_d").isNotNull(), F.greatest(F.col("_d") + u * share * F.col("_m"), 0.2 * F.col("_m")))).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
+    scaled = F.col("_a") + F.col("_c") * F.coalesce(F.try_divide(F.col("_b") - F.col("_a"), F.max("_c").over(whole)), F.lit(0.0))
+    return df.withColumn(time, scaled).drop("_i", "_d", "_m", "_a", "_b", "_c")
+
+
+def apply_to_series(df: DataFrame, key: str, order: list[str], column: str, change) -> DataFrame:
+    """The hook for users' own conditions: ``change`` maps a key's values (a numpy array, in order) to as many values."""
+    import numpy as np
+
+    def run(frame):
+        frame = frame.sort_values(order, kind="stable", ignore_index=True)
+        frame[column] = np.asarray(change(frame[column].to_numpy(np.float64)), np.float64)
+        return frame
+
+    return df.groupBy(key).applyInPandas(run, df.schema)

@@ -5,6 +5,8 @@ These are recurrences over a key's rows; keys are dealt to tasks, and a key's ro
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,9 +27,9 @@ def uniform_transitions(states: int, stay: float) -> np.ndarray:
     return m
 
 
-def viterbi(p: np.ndarray, m: np.ndarray, eps: float = 1e-10) -> np.ndarray:
-    """The likeliest path; equal scores go to the lowest state."""
-    logp, logm = np.log(p + eps), np.log(m + eps)
+def viterbi(p: np.ndarray, m: np.ndarray, eps: float = 1e-10, clip: bool = False) -> np.ndarray:
+    """The likeliest path; equal scores go to the lowest state. ``eps`` is added to probabilities, or bounds them below."""
+    logp, logm = (np.log(np.clip(x, eps, 1) if clip else x + eps) for x in (p, m))
     score, back = logp[0].copy(), np.zeros(p.shape, np.int64)
     for t in range(1, len(p)):
         step = score[:, None] + logm
@@ -58,13 +60,13 @@ def repair(path: np.ndarray, p: np.ndarray, least: int, passes: int = 2) -> np.n
     return path
 
 
-def with_path(df: DataFrame, key: str, order: list[str], probs: str, *, matrix: np.ndarray, least_run: int = 0, eps: float = 1e-10, name: str = "path") -> DataFrame:
+def with_path(df: DataFrame, key: str, order: list[str], probs: str, *, matrix: np.ndarray, least_run: int = 0, eps: float = 1e-10, clip: bool = False, name: str = "path") -> DataFrame:
     """Adds the decoded state of every row."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(order, kind="stable", ignore_index=True)
         p = np.stack(frame[probs].to_list()).astype(np.float64)
-        path = viterbi(p, matrix, eps)
+        path = viterbi(p, matrix, eps, clip)
         frame[name] = (repair(path, p, least_run) if least_run > 1 else path).astype(np.int32)
         return frame
 
@@ -83,7 +85,8 @@ def merge_interrupted(segments: DataFrame, key: str, gap_ms: float) -> DataFrame
             now, j = dict(rows[i]), i + 1
             weight, total = now["end_ms"] - now["start_ms"], now["confidence"] * (now["end_ms"] - now["start_ms"])
             while True:
-                found = next((k for k in range(j, len(rows)) if rows[k]["class_idx"] == now["class_idx"] and rows[k]["start_ms"] - now["end_ms"] <= gap_ms), None)
+                near = itertools.takewhile(lambda k: rows[k]["start_ms"] - now["end_ms"] <= gap_ms, range(j, len(rows)))  # noqa: B023
+                found = next((k for k in near if rows[k]["class_idx"] == now["class_idx"]), None)
                 if found is None:
                     break
                 length = rows[found]["end_ms"] - rows[found]["start_ms"]
@@ -119,11 +122,13 @@ def zero_phase(x: np.ndarray, b: np.ndarray, a: np.ndarray, zi: np.ndarray) -> n
         return x
 
     def once(y: np.ndarray) -> np.ndarray:
-        z, out = zi * y[0], np.empty_like(y)
-        for i, v in enumerate(y):
-            out[i] = o = b[0] * v + z[0]
-            z = np.concatenate([z[1:], [0.0]]) + b[1:] * v - a[1:] * o
-        return out
+        z, out = [*(zi * y[0]).tolist(), 0.0], []
+        first, rest = float(b[0]), list(zip(b[1:].tolist(), a[1:].tolist(), strict=True))
+        for v in y.tolist():
+            o = first * v + z[0]
+            out.append(o)
+            z = [z[k + 1] + p * v - q * o for k, (p, q) in enumerate(rest)] + [0.0]
+        return np.array(out)
 
     wide = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
     return once(once(wide)[::-1])[::-1][pad : len(x) + pad]

@@ -22,10 +22,11 @@ def _scored(df: DataFrame, empty_f1: float = 0.0) -> DataFrame:
     return df.withColumns({"precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn")), "f1": F.when(none, F.lit(empty_f1)).otherwise(f1)})
 
 
-def per_user(pred: DataFrame, gold: DataFrame, matched: DataFrame, key: str, empty_f1: float = 0.0) -> DataFrame:
-    """Only users with gold intervals count; without predictions their F1 is 0."""
+def per_user(pred: DataFrame, gold: DataFrame, matched: DataFrame, key: str, empty_f1: float = 0.0, users: DataFrame | None = None) -> DataFrame:
+    """Only users with gold intervals count, or those of ``users``; without gold and predictions F1 is ``empty_f1``."""
     count = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
-    spine = count(gold, "n_gold").join(count(pred, "n_pred"), key, "left").join(count(matched, "tp"), key, "left").na.fill(0)
+    golds = count(gold, "n_gold")
+    spine = (golds if users is None else users.select(key).distinct().join(golds, key, "left")).join(count(pred, "n_pred"), key, "left").join(count(matched, "tp"), key, "left").na.fill(0)
     return _scored(spine.select(key, "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gold") - F.col("tp")).alias("fn")), empty_f1)
 
 
@@ -50,3 +51,24 @@ def boundary_errors(matched: DataFrame, by: list[str]) -> DataFrame:
 def correct_rows(pred: DataFrame, matched: DataFrame, key: str) -> DataFrame:
     hit = matched.select(key, "pred_id", F.lit(1).alias("hit"))
     return pred.join(hit, [key, "pred_id"], "left").withColumn("correct", F.coalesce("hit", F.lit(0))).drop("hit")
+
+
+def eligible(found: DataFrame, least_ms: int, ignored: tuple = ()) -> DataFrame:
+    """Intervals that count in an evaluation: long enough, and of no class in ``ignored``."""
+    out = found.where(F.col("end_ms") - F.col("start_ms") >= least_ms)
+    return out.where(~F.col("class_idx").isin(*ignored)) if ignored else out
+
+
+def record_scores(pred: DataFrame, gold: DataFrame, spans: DataFrame, key: str, *, least_ms: int = 0, ignored: tuple = (), above: float = 0.5) -> DataFrame:
+    """One row: tp, fp, fn, F1, mean IoU and boundary error (s) of the matches, false and all records per hour.
+
+    ``spans`` has the recorded time of each key in ms (span_ms). Means without a match are null.
+    """
+    p, g = eligible(pred, least_ms, ignored), eligible(gold, least_ms, ignored)
+    error = F.avg((F.abs(F.col("p0") - F.col("g0")) + F.abs(F.col("p1") - F.col("g1"))) / 2) / 1000
+    hit = matches(p, g, key, above).agg(F.count(F.lit(1)).alias("tp"), F.avg("iou").alias("miou"), error.alias("boundary_mae_s"))
+    counts = [df.agg(F.count(F.lit(1)).alias(n)) for df, n in ((p, "n_pred"), (g, "n_gold"))]
+    hours = spans.agg((F.sum("span_ms") / 3.6e6).alias("hours"))
+    row = hit.join(counts[0]).join(counts[1]).join(hours)  # one row each
+    row = row.select("tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gold") - F.col("tp")).alias("fn"), "miou", "boundary_mae_s", "n_pred", "hours")
+    return row.select("tp", "fp", "fn", ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"), "miou", "boundary_mae_s", ratio(F.col("fp"), F.col("hours")).alias("fp_per_hour"), ratio(F.col("n_pred"), F.col("hours")).alias("records_per_hour"))

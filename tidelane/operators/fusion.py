@@ -108,3 +108,26 @@ FUSIONS = {
 def fuse(df: DataFrame, key: str, order: list[str], mode: str = "local_boundary") -> DataFrame:
     """Adds ``fused``; unknown modes average."""
     return FUSIONS.get(mode, FUSIONS["average"])(df, key, order)
+
+
+def ensemble(df: DataFrame, keys: list[str], probs: str = "probs") -> DataFrame:
+    """Mean probabilities of several models' rows (one per model) of each window."""
+    each = df.select(*keys, F.posexplode(probs).alias("_c", "_p")).groupBy(*keys, "_c").agg(F.avg("_p").alias("_p"))
+    return each.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_c", "_p"))), lambda s: s["_p"]).alias(probs))
+
+
+def orchestrate(df: DataFrame, key: str, order: list[str], mode: str = "local_boundary") -> DataFrame:
+    """From rows (key, order, scale, model, probs) to ``fused``: models averaged within a scale, the scale being part of the
+    grouping key; scales without a row fall away. All three are fused by ``mode``, fewer are averaged, one stays as it is."""
+    keys = [key, *order]
+    wide = ensemble(df, [*keys, "scale"]).groupBy(*keys).pivot("scale", ["p3", "p5", "p8"]).agg(F.first("probs"))
+    there = wide.agg(*[F.max(F.col(s).isNotNull()).alias(s) for s in ("p3", "p5", "p8")]).first()
+    have = [s for s in ("p3", "p5", "p8") if there[s]]
+    if len(have) == 3:
+        whole = wide.where(F.col("p3").isNotNull() & F.col("p5").isNotNull() & F.col("p8").isNotNull())
+        return fuse(whole, key, order, mode)
+    some = wide.where(" OR ".join(f"{s} IS NOT NULL" for s in have) or "false")
+    if len(have) == 2:
+        both = F.zip_with(*have, lambda a, b: (a + b) / 2)
+        return some.withColumn("fused", F.coalesce(both, *have))
+    return some.withColumn("fused", F.col(have[0]) if have else F.lit(None).cast("array<double>"))

@@ -14,9 +14,9 @@ def label_points(points: DataFrame, labels: DataFrame, key: str, time: str, poin
     """
     touched = F.explode(F.sequence(F.floor(F.col("start_ms") / bucket_ms), F.floor(F.col("end_ms") / bucket_ms)))
     cut = labels.where("start_ms <= end_ms").select(F.col(key).alias("_k"), "start_ms", "end_ms", F.col(state).alias("_state"), "row_no", touched.alias("_b"))
-    held = points.withColumn("_pb", F.floor(F.col(time) / bucket_ms))
+    held = points.withColumn("_pb", F.floor(F.col(time) / bucket_ms)).withColumn("_row", F.monotonically_increasing_id())  # repeated points stay apart
     joined = held.join(cut, (held[key] == cut["_k"]) & (held["_pb"] == cut["_b"]) & (F.col(time) >= F.col("start_ms")) & (F.col(time) <= F.col("end_ms")), "left")
-    return joined.groupBy(*points.columns).agg(F.coalesce(F.max_by("_state", "row_no"), F.lit(background)).cast("int").alias("label"))
+    return joined.groupBy(*points.columns, "_row").agg(F.coalesce(F.max_by("_state", "row_no"), F.lit(background)).cast("int").alias("label")).drop("_row")
 
 
 def slices(points: DataFrame, labels: DataFrame, key: str, time: str, *, bucket_ms: int = 86_400_000) -> DataFrame:
@@ -35,11 +35,15 @@ def iou(a0, a1, b0, b1) -> Column:
     return F.when(hull > 0, inside / hull).otherwise(0.0)
 
 
-def candidates(pred: DataFrame, gold: DataFrame, keys: list[str], above: float = 0.5) -> DataFrame:
-    """Pairs of predicted and gold intervals (pred_id, gold_id) with the same keys and an IoU over ``above``."""
-    p = pred.select(*keys, "pred_id", F.col("start_ms").alias("p0"), F.col("end_ms").alias("p1"))
-    g = gold.select(*keys, "gold_id", F.col("start_ms").alias("g0"), F.col("end_ms").alias("g1"))
-    pairs = p.join(g, keys).where((F.col("p0") < F.col("g1")) & (F.col("g0") < F.col("p1")))
+def candidates(pred: DataFrame, gold: DataFrame, keys: list[str], above: float = 0.5, *, bucket_ms: int = 86_400_000) -> DataFrame:
+    """Pairs of predicted and gold intervals (pred_id, gold_id) with the same keys and an IoU over ``above``.
+
+    Both are copied to the time buckets they touch; a pair counts in the first bucket that both touch.
+    """
+    bucket = lambda c: F.floor(F.col(c) / bucket_ms)
+    p = pred.select(*keys, "pred_id", F.col("start_ms").alias("p0"), F.col("end_ms").alias("p1")).where("p0 <= p1").withColumn("_b", F.explode(F.sequence(bucket("p0"), bucket("p1"))))
+    g = gold.select(*keys, "gold_id", F.col("start_ms").alias("g0"), F.col("end_ms").alias("g1")).where("g0 <= g1").withColumn("_b", F.explode(F.sequence(bucket("g0"), bucket("g1"))))
+    pairs = p.join(g, [*keys, "_b"]).where((F.col("p0") < F.col("g1")) & (F.col("g0") < F.col("p1")) & (F.col("_b") == F.greatest(bucket("p0"), bucket("g0")))).drop("_b")
     return pairs.withColumn("iou", iou(F.col("p0"), F.col("p1"), F.col("g0"), F.col("g1"))).where(F.col("iou") > above)
 
 
@@ -84,3 +88,13 @@ def band(points: DataFrame, centers: DataFrame, key: str, time: str, center: str
     near = centers.withColumnRenamed(key, "_k").withColumn("_b", F.explode(F.sequence(F.floor((F.col(center) - half_ms) / width), F.floor((F.col(center) + half_ms) / width))))
     held = points.withColumn("_pb", F.floor(F.col(time) / width))
     return held.join(near, (held[key] == near["_k"]) & (held["_pb"] == near["_b"]) & (F.abs(F.col(time) - F.col(center)) <= half_ms)).drop("_k", "_b", "_pb")
+
+
+def around_middle(points: DataFrame, found: DataFrame, key: str, time: str, *, half_ms: int = 2500, rows: int = 500) -> DataFrame:
+    """Of each interval (``seg_id`` within a key) the points within ``half_ms`` of its middle; where there are none, its
+    first ``rows`` points."""
+    inside = slices(points, found, key, time)
+    middle = (F.col("start_ms") + F.col("end_ms")) / 2
+    w = Window.partitionBy(key, "seg_id")
+    near = inside.withColumn("_near", F.abs(F.col(time) - middle) <= half_ms).withColumn("_any", F.max("_near").over(w)).withColumn("_k", F.row_number().over(w.orderBy(time)))
+    return near.where(F.col("_near") | (~F.col("_any") & (F.col("_k") <= rows))).drop("_near", "_any", "_k")

@@ -134,3 +134,39 @@ def interpolate(df: DataFrame, key: str, order: list[str], x: str, name: str) ->
 def hold(x, key, order) -> Column:
     """The last known value at or before a row."""
     return F.last(x, ignorenulls=True).over(_w(key, order).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def renormalised(columns: list[str]) -> dict[str, Column]:
+    """Class columns over their sum; the same share for all where that isn't above 0."""
+    total = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))
+    return {c: F.when(total <= 0, 1.0 / len(columns)).otherwise(F.try_divide(F.col(c), total)) for c in columns}
+
+
+def smoothed_shares(df: DataFrame, key, order, columns: list[str], *, average: int = 1, median: int = 1) -> DataFrame:
+    """Class columns by moving average, then by running median, edges repeated; each followed by renormalising."""
+    for width, f in ((average, lambda c, n: moving_average(c, key, order, n)), (median, lambda c, n: median_filter(c, key, order, n, "edge"))):
+        if width > 1:
+            df = df.withColumns({c: f(c, width) for c in columns})
+            df = df.withColumns(renormalised(columns))
+    return df
+
+
+def synthetic_time(key, order, step_ms: int = 10) -> Column:
+    """Arrival place times the nominal step, for samples whose own times can't be used."""
+    return place(key, order) * step_ms
+
+
+def running_totals(df: DataFrame, by: str, columns: list[str], ranges: int = 64) -> DataFrame:
+    """Adds <column>_below, the sum over all rows with a smaller ``by``. Rows have distinct ``by``.
+
+    Values are cut into ranges at approximate quantiles (one small row); sums run within a range and begin at the total of
+    the ranges before it, so no task has all values.
+    """
+    cuts = df.agg(F.percentile_approx(by, F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), 10_000).alias("_cuts"))
+    ranged = df.join(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col(by)))).drop("_cuts")
+    totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_{c}") for c in columns])  # a row a range
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_range", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in columns])
+    within = Window.partitionBy("_range").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(starts), "_range")
+    return out.withColumns({f"{c}_below": F.col(f"_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for c in columns}).drop("_range", *[f"_{c}" for c in columns])

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelane.operators import sequence
+
 EDGE = 1e-6
 
 
@@ -30,8 +32,7 @@ def calibration_summary(df: DataFrame, p: str, y: str, bins: int = 5) -> DataFra
 def rank_auroc(df: DataFrame, score: str, y: str) -> DataFrame:
     """Mann-Whitney AUROC with average ranks; 0 with one class only. Ranks are sums over distinct scores, in ranges."""
     by = df.groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("pos"))
-    w = Window.orderBy(score)  # one row per distinct score
-    ranked = by.withColumn("below", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    ranked = sequence.running_totals(by, score, ["n"]).withColumnRenamed("n_below", "below")
     total = ranked.agg(F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2.0)).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     return total.select(F.when((F.col("p") == 0) | (F.col("q") == 0), 0.0).otherwise((F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * F.col("q"))).alias("auroc"))
 
@@ -48,9 +49,10 @@ def js_distance(df: DataFrame, side: str, category: str) -> DataFrame:
 def ks_statistic(df: DataFrame, side: str, x: str) -> DataFrame:
     """Largest distance of the two empirical distributions."""
     counts = df.groupBy(x).agg(*[F.sum((F.col(side) == s).cast("double")).alias(s) for s in ("a", "b")])
-    w, total = Window.orderBy(x).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    gap = F.abs(F.sum("a").over(w) / F.sum("a").over(total) - F.sum("b").over(w) / F.sum("b").over(total))
-    return counts.select(gap.alias("gap")).agg(F.max("gap").alias("ks"))
+    whole = counts.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    up = sequence.running_totals(counts, x, ["a", "b"]).join(F.broadcast(whole))  # one row
+    gap = F.abs((F.col("a_below") + F.col("a")) / F.col("na") - (F.col("b_below") + F.col("b")) / F.col("nb"))
+    return up.select(gap.alias("gap")).agg(F.max("gap").alias("ks"))
 
 
 def ks_p_value(statistic: float, n: int, m: int) -> float:
@@ -65,9 +67,8 @@ def paired_effect(df: DataFrame, a: str, b: str) -> DataFrame:
     diff = df.select((F.col(a) - F.col(b)).alias("d"))
     whole = diff.agg(F.count("d").alias("n"), F.avg("d").alias("mean_diff"), F.coalesce(F.stddev_samp("d"), F.lit(0.0)).alias("sd"))
     by = diff.where("d <> 0").groupBy(F.abs("d").alias("m")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("d") > 0).cast("long")).alias("up"))
-    w = Window.orderBy("m")
-    rank = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") + (F.col("n") + 1) / 2.0
-    plus = by.select((rank * F.col("up")).alias("r")).agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("w_plus"))
+    rank = F.col("n_below") + (F.col("n") + 1) / 2.0
+    plus = sequence.running_totals(by, "m", ["n"]).select((rank * F.col("up")).alias("r")).agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("w_plus"))
     d = F.when(F.col("sd") < 1e-12, 0.0).otherwise(F.col("mean_diff") / F.col("sd"))
     return whole.join(F.broadcast(plus)).select("n", "mean_diff", d.alias("cohen_d"), "w_plus")
 

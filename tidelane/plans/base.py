@@ -50,8 +50,16 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = events(spark, sf_dir).withColumn("p", F.col("value") / 1000)
-    return segments.from_states(ev, KEY, ORDER, "state", "p", "t_ms", PAD_MS).drop("start_idx", "end_idx")
+    """Segments of the raw runs; the mean value over 1000 stands for the confidence (divided once, as the twin does)."""
+    found = segments.from_states(events(spark, sf_dir), KEY, ORDER, "state", "value", "t_ms", PAD_MS).drop("start_idx", "end_idx")
+    return found.withColumn("confidence", F.col("confidence") / 1000)
+
+
+def six(c) -> F.Column:
+    """Six digits, ties away from zero, decided on the binary value times 10^6; F.round decides on its decimal spelling.
+    Means of two-digit values over 1000 lie on such ties often."""
+    x = F.col(c) if isinstance(c, str) else c
+    return F.signum(x) * F.floor(F.abs(x) * 1e6 + 0.5) / 1e6
 
 
 def _closed_runs(ev: DataFrame, state: str, name: str) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelane.operators import segments, sequence
-from tidelane.plans import base, experiments, ordered, tabular
+from tidelane.plans import base, experiments, ordered, records, tabular
 
-_MODULES = (ordered, tabular, experiments)
+_MODULES = (ordered, tabular, experiments, records)
 
 
 def flagship(spark, sf_dir):

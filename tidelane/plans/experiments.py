@@ -112,7 +112,7 @@ def split_separated_selection(spark, sf):
 
 @query("""WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings)
 SELECT vec_id, round(list_avg(x), 6) AS mean, round(list_stddev_pop(x), 6) AS std, round(list_min(x), 6) AS lo, round(list_max(x), 6) AS hi, round(list_median(x), 6) AS median,
- round(list_avg(list_transform(x, lambda v: v * v)), 6) AS energy, round(list_sum(list_transform(generate_series(2, 64), lambda i: abs(sign(x[i]) - sign(x[i - 1])))) / 126.0, 6) AS zcr FROM x""")
+ round(list_avg(list_transform(x, lambda v: v * v)), 6) AS energy, round(list_sum(list_transform(generate_series(2, 64), lambda i: abs(sign(x[i] - list_avg(x)) - sign(x[i - 1] - list_avg(x))))) / 128.0, 6) AS zcr FROM x""")
 def handcrafted_features(spark, sf):
     e = base.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     f = features.channel(F.col("x"))

@@ -140,7 +140,7 @@ QUERIES["fusion_confident_conflict"] = lambda spark, sf: _fused(spark, sf, "conf
 
 @query(f"WITH {base.SEGD} SELECT user_id, class_idx, start_ms, end_ms, round(confidence, 6) AS confidence, duration_sec FROM segd")
 def run_segments(spark, sf):
-    return base.run_segments(spark, sf).select("user_id", "class_idx", "start_ms", "end_ms", F.round("confidence", 6).alias("confidence"), "duration_sec")
+    return base.run_segments(spark, sf).select("user_id", "class_idx", "start_ms", "end_ms", base.six("confidence").alias("confidence"), "duration_sec")
 
 
 _MERGED = base.SEG + """, mb AS (SELECT *, CASE WHEN lag(class_idx) OVER w = class_idx AND start_ms - lag(end_ms) OVER w < 172800000 THEN 0 ELSE 1 END AS brk FROM seg WINDOW w AS (PARTITION BY user_id ORDER BY start_ms, class_idx, end_ms)),
@@ -151,14 +151,14 @@ merged AS (SELECT user_id, any_value(class_idx) AS class_idx, min(start_ms) AS s
 @query(f"WITH {_MERGED} SELECT user_id, class_idx, start_ms, end_ms, round(confidence, 6) AS confidence, n_merged FROM merged")
 def merge_same_class(spark, sf):
     m = segments.merge_same_class(base.run_segments(spark, sf), KEY, 172_800_000)
-    return m.select("user_id", "class_idx", "start_ms", "end_ms", F.round("confidence", 6).alias("confidence"), "n_merged")
+    return m.select("user_id", "class_idx", "start_ms", "end_ms", base.six("confidence").alias("confidence"), "n_merged")
 
 
 @query(f"""WITH {_MERGED}, a AS (SELECT *, row_number() OVER (PARTITION BY user_id, class_idx ORDER BY confidence DESC, start_ms, end_ms) AS c FROM merged),
 b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY c > 1, confidence DESC, start_ms, end_ms) AS r FROM a) SELECT user_id, class_idx, start_ms, end_ms, round(confidence, 6) AS confidence FROM b WHERE r <= 3""")
 def topk_class_diverse(spark, sf):
     m = segments.merge_same_class(base.run_segments(spark, sf), KEY, 172_800_000)
-    return segments.top_k_diverse(m, KEY, 3).select("user_id", "class_idx", "start_ms", "end_ms", F.round("confidence", 6).alias("confidence"))
+    return segments.top_k_diverse(m, KEY, 3).select("user_id", "class_idx", "start_ms", "end_ms", base.six("confidence").alias("confidence"))
 
 
 @query(f"""WITH {_MERGED}, b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, end_ms - start_ms DESC, start_ms, class_idx) AS r FROM merged) SELECT user_id, class_idx, start_ms, end_ms FROM b WHERE r <= 5""")
@@ -176,7 +176,7 @@ f AS (SELECT user_id, k, [{{'s': start_ms, 'c': class_idx, 'e': end_ms, 'p': con
  FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1),
 z AS (SELECT user_id, unnest(arg_max(kept, k)) AS r FROM f GROUP BY user_id) SELECT user_id, r.c AS class_idx, r.s AS start_ms, r.e AS end_ms, round(r.p, 6) AS confidence FROM z""")
 def resolve_overlaps(spark, sf):
-    return segments.resolve_overlaps(base.run_segments(spark, sf), KEY).select("user_id", "class_idx", "start_ms", "end_ms", F.round("confidence", 6).alias("confidence"))
+    return segments.resolve_overlaps(base.run_segments(spark, sf), KEY).select("user_id", "class_idx", "start_ms", "end_ms", base.six("confidence").alias("confidence"))
 
 
 @query()
@@ -188,7 +188,7 @@ def viterbi_path(spark, sf):
 @query()
 def trl_viterbi_path(spark, sf):
     p = posteriors(spark, sf).select("user_id", "event_id", "t_ms", "p5")
-    return decode.with_path(p, KEY, ORDER, "p5", matrix=decode.uniform_transitions(5, 0.9), eps=1e-12, least_run=3).select("user_id", "event_id", "path")
+    return decode.with_path(p, KEY, ORDER, "p5", matrix=decode.uniform_transitions(5, 0.9), eps=1e-12, clip=True, least_run=3).select("user_id", "event_id", "path")
 
 
 @query()
@@ -199,7 +199,7 @@ def lowpass_filtfilt(spark, sf):
 
 @query()
 def merge_interrupted(spark, sf):
-    return decode.merge_interrupted(base.run_segments(spark, sf), KEY, 86_400_000.0).select("user_id", "class_idx", "start_ms", "end_ms", F.round("confidence", 6).alias("confidence"))
+    return decode.merge_interrupted(base.run_segments(spark, sf), KEY, 86_400_000.0).select("user_id", "class_idx", "start_ms", "end_ms", base.six("confidence").alias("confidence"))
 
 
 @query("WITH r AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, event_id FROM r WHERE k <= 10")

@@ -174,7 +174,7 @@ def user_summary(spark, sf):
     s = base.run_segments(spark, sf)
     users = base.events(spark, sf).select("user_id").distinct()
     out = users.join(s, "user_id", "left").groupBy("user_id").agg(F.count("start_ms").alias("n"), F.coalesce(F.sum("duration_sec"), F.lit(0.0)).alias("active_s"), F.avg("confidence").alias("mean_conf"), F.percentile("confidence", 0.1).alias("p10"), F.percentile("confidence", 0.9).alias("p90"), F.median("duration_sec").alias("median_dur"))
-    return out.select("user_id", "n", *[r6(c).alias(c) for c in out.columns[2:]])
+    return out.select("user_id", "n", *[base.six(c).alias(c) for c in out.columns[2:]])
 
 
 @query("SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'error') AS error, count(*) FILTER (WHERE event_type = 'purchase') AS purchase, count(*) FILTER (WHERE event_type = 'signup') AS signup, count(*) FILTER (WHERE event_type = 'view') AS view FROM events GROUP BY 1 ORDER BY count(*) DESC, user_id LIMIT 30")

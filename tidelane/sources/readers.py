@@ -184,3 +184,38 @@ def normaliser(spark: SparkSession, path: str) -> DataFrame:
     """mean and std (not under 1e-6) from JSON."""
     doc = spark.read.option("multiLine", True).schema("mean array<double>, std array<double>").json(path)
     return doc.select("mean", F.transform("std", lambda s: F.greatest(s, F.lit(1e-6))).alias("std"))
+
+
+def discover(spark: SparkSession, folder: str, preferred: tuple[str, ...] = (), names: tuple[str, ...] = (), suffix: str = ".txt") -> list[str]:
+    """Files of a source: below the first of the ``preferred`` folders that is there, those of ``names``, else all with the
+    suffix but read-me files. A listing by Spark's file system, in order."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(folder)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return []
+    root = next((p for p in (hadoop.Path(top, x) for x in preferred) if fs.exists(p)), top)
+    listing, found = fs.listFiles(root, True), []
+    while listing.hasNext():
+        found.append(listing.next().getPath())
+    named = sorted(p.toString() for p in found if p.getName() in names)
+    return named or sorted(p.toString() for p in found if p.getName().endswith(suffix) and not p.getName().lower().startswith(("readme", "about")))
+
+
+def headered_csv(spark: SparkSession, path: str, columns: dict[str, str], label: str, order: str | None = None) -> DataFrame:
+    """Signals (new name by column) and an integer label of CSV files with a header; other columns aren't read."""
+    df = spark.read.option("header", True).csv(path)
+    missing(df.columns, (*columns.values(), label))
+    out = df.select(stem(F.col("_metadata.file_name")).alias("user_id"), *[F.col(c).try_cast("double").alias(n) for n, c in columns.items()], F.col(label).try_cast("int").alias("label"), *([F.col(order)] if order else []))
+    return out.na.drop(subset=[*columns, "label"])
+
+
+def result_table(spark: SparkSession, path: str, key: str = "user_id", policy: str = "policy", score: str = "f1") -> DataFrame:
+    """A CSV or JSON table of results as one row a key with a column for each policy (its mean score)."""
+    df = spark.read.json(path) if path.rstrip("/").endswith("json") else spark.read.option("header", True).csv(path)
+    missing(df.columns, (key, policy, score))
+    return wide_scores(df.withColumn(score, F.col(score).try_cast("double")), key, policy, score)
+
+
+def wide_scores(df: DataFrame, key: str, policy: str, score: str, policies: list[str] | None = None) -> DataFrame:
+    return df.groupBy(key).pivot(policy, policies).agg(F.avg(score))

@@ -39,3 +39,16 @@ def as_json(df: DataFrame, acc_digits: int = 3, other_digits: int = 2) -> DataFr
 def append_missing(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     """``df`` and those rows of ``other`` whose key it lacks."""
     return df.unionByName(other.join(df.select(key).distinct(), key, "left_anti"))
+
+
+def cache_windows(df: DataFrame, path: str, key: str, files: int = 64) -> DataFrame:
+    """Windows written once, keys together, and read back: training passes read columns instead of building windows."""
+    df.repartition(files, key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def append_history(row: DataFrame, path: str) -> DataFrame:
+    """Adds an epoch's figures to the history at ``path``; returns the newest row of each epoch, so repeats replace."""
+    row.withColumn("written", F.current_timestamp()).write.mode("append").parquet(path)
+    every = row.sparkSession.read.parquet(path)
+    return every.groupBy("epoch").agg(*[F.max_by(c, "written").alias(c) for c in row.columns if c != "epoch"])

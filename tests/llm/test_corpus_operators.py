@@ -465,6 +465,8 @@ def test_rules(spark, docs, odd, empty, monkeypatch):
     check(docs)
     check(odd)
     assert rules.judge(empty).count() == 0
+    monkeypatch.setattr(rules, "POSITION_BITS", 4)  # places of texts over 15 words don't fit
+    check(docs)
     monkeypatch.setattr(rules, "POSITION_BITS", 58)  # six bits of hash: the sort in full has to decide
     check(docs)
 
@@ -505,6 +507,38 @@ def test_quality_held_out():
     assert ((gam.score(model, x[2000:]) > 0.5) == y[2000:]).mean() > 0.9
 
 
+def auc(rows, truth, column="score"):
+    at = np.array([r[column] for r in rows])
+    y = np.array([truth[r.doc_id] for r in rows])
+    ranks = np.argsort(np.argsort(at)) + 1
+    return (ranks[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
+
+
+def test_classifiers_on_held_out_labels(spark):
+    """Rows of the held fold were never learnt from; the quality model also rejects and keeps what it should."""
+    docs, labels = (spark.read.parquet(SMALL.replace("0.001", "0.1") + f"/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r for r in labels.collect()}
+    some = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    quality = [r for r in gam.classify(some, labels).collect() if r.held_out]
+    y = {k: r.quality for k, r in truth.items()}
+    assert len(quality) > 500 and auc(quality, y) > 0.99
+    assert np.mean([(r.score >= gam.THRESHOLD) == y[r.doc_id] for r in quality]) > 0.97
+    kept = {r.doc_id for r in gam.keep_good(some, labels).select("doc_id").collect()}
+    assert np.mean([(r.doc_id in kept) == (r.score >= gam.THRESHOLD) for r in quality]) == 1
+    y = {k: r.toxic for k, r in truth.items()}
+    toxic = [r for r in toxicity.classify(some, labels).collect() if r.held_out]
+    assert auc(toxic, y) > 0.95
+    found = [r for r in toxic if y[r.doc_id] == 1]
+    assert np.mean([r.score >= toxicity.THRESHOLD for r in found]) > 0.8 and np.mean([r.score < toxicity.THRESHOLD for r in toxic if y[r.doc_id] == 0]) > 0.97
+
+
+def test_repeated_labelled_rows_count_once(spark):
+    rows = [(1, "good words here " * 30)] * 2000 + [(i, f"text number {i} " * 20) for i in range(2, 40)]
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    for module in (gam, toxicity):
+        assert module.classify(df, labels).count() == len(rows)
+
+
 def test_toxicity_learns_and_gradients():
     rnd = random.Random(0)
     words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(200)]

@@ -74,20 +74,6 @@ def features(texts: list[str]) -> np.ndarray:
     return rows
 
 
-def feature_table(docs: DataFrame) -> DataFrame:
-    """doc_id and ``x``, the features of every row of ``docs`` (doc_id, text), written once."""
-    shared.prepare(docs.sparkSession)
-
-    def run(batches):
-        for batch in batches:
-            x = features(batch.column(1).to_pylist()).astype(np.float32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(NAMES)), pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "x"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return shared.materialize(rows.mapInArrow(run, "doc_id long, x array<float>"), "features")
-
-
 def _cuts(values: np.ndarray, bins: int) -> np.ndarray:
     return np.unique(np.quantile(values, np.linspace(0, 1, bins + 1)[1:-1])) if len(values) else np.zeros(0)
 
@@ -211,29 +197,17 @@ def fold(folds: int) -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, held_fold: int = HELD_FOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, held_out and score of every row of ``docs`` (doc_id, text); learns ``labels`` (doc_id, quality)."""
-    table = feature_table(docs)
-    known = labels.where(F.col("quality").isin(0, 1) & (fold(folds) != held_fold)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"))
-    chosen = table.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("x", "y").collect()
-    x = np.array([r.x for r in chosen], np.float64).reshape(-1, len(NAMES))
-    model = fit(x, np.array([r.y for r in chosen], np.float64))
-
-    def run(batches):
-        for batch in batches:
-            values = np.asarray(batch.column(1).flatten()).reshape(-1, len(NAMES)).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(model, values))], names=["doc_id", "score"])
-
-    scored = table.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", F.coalesce(fold(folds) == held_fold, F.lit(False)).alias("held_out"), "score")
+def fit_rows_of(labels: DataFrame, column: str, folds: int, held_fold: int, rows: int) -> DataFrame:
+    """doc_id and label ``y`` of at most ``rows`` labelled rows outside the held fold, those with the smallest hashed ids.
+    Several labels of an id count as the smallest."""
+    known = labels.where(F.col(column).isin(0, 1) & (fold(folds) != held_fold)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(column).alias("y"))
+    return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, folds: int = FOLDS, held_fold: int = HELD_FOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
-    spark = docs.sparkSession
-    shared.prepare(spark)
-    known = labels.where(F.col("quality").isin(0, 1) & (fold(folds) != held_fold)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"))
-    ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # at most fit_rows rows of two numbers
+def train(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, held_fold: int = HELD_FOLD, fit_rows: int = FIT_ROWS) -> dict:
+    """The model. Only figures of the chosen rows reach the driver, one text an id (the smallest)."""
+    shared.prepare(docs.sparkSession)
+    ids = fit_rows_of(labels, "quality", folds, held_fold, fit_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def measure(batches):
@@ -242,16 +216,37 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOL
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(NAMES)), pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2)], names=["doc_id", "x", "y"])
 
-    chosen = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.col("y").cast("double")).mapInArrow(measure, "doc_id long, x array<float>, y double").collect()
-    chosen.sort(key=lambda r: (r.doc_id, r.x))
-    model = fit(np.array([r.x for r in chosen], np.float64).reshape(-1, len(NAMES)), np.array([r.y for r in chosen], np.float64))
+    measured = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.col("y").cast("double")).mapInArrow(measure, "doc_id long, x array<float>, y double")
+    chosen = measured.groupBy("doc_id").agg(F.min("x").alias("x"), F.min("y").alias("y")).collect()
+    chosen.sort(key=lambda r: r.doc_id)
+    return fit(np.array([r.x for r in chosen], np.float64).reshape(-1, len(NAMES)), np.array([r.y for r in chosen], np.float64))
+
+
+def _scores(model: dict, texts: list) -> np.ndarray:
+    return score(model, features([t or "" for t in texts]).astype(np.float32).astype(np.float64))
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, held_fold: int = HELD_FOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """doc_id, held_out and score of every row of ``docs`` (doc_id, text); learns ``labels`` (doc_id, quality)."""
+    model = train(docs, labels, folds=folds, held_fold=held_fold, fit_rows=fit_rows)
 
     def run(batches):
         for batch in batches:
-            x = features([t or "" for t in batch.column(at).to_pylist()]).astype(np.float32).astype(np.float64)
-            yield batch.filter(pa.array(score(model, x) >= threshold))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model, batch.column(1).to_pylist()))], names=["doc_id", "score"])
 
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return scored.select("doc_id", F.coalesce(fold(folds) == held_fold, F.lit(False)).alias("held_out"), "score")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, folds: int = FOLDS, held_fold: int = HELD_FOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns; by the model that ``classify`` has."""
+    model = train(docs, labels, folds=folds, held_fold=held_fold, fit_rows=fit_rows)
     at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(model, batch.column(at).to_pylist()) >= threshold))
+
     return docs.mapInArrow(run, docs.schema)
 
 

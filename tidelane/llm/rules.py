@@ -8,8 +8,8 @@ all-must-pass filtering.
 
 The figures of a text are computed in place, on arrays of its words; nothing is exploded or shuffled but the pattern
 counts. Repeated three-word windows are found by sorting longs that hold 40 bits of a window's hash and its position;
-neighbours are compared by the whole 64-bit hash, and a text in which 40 bits do not tell windows apart is sorted anew
-by hash and position in full.
+neighbours are compared by the whole 64-bit hash, and a text in which 40 bits do not tell windows apart, or whose places
+need more than 24 bits, is sorted anew by hash and position in full.
 
 Defined cases: a null text is empty, and fails the base rule like all texts of under 50 words. Repeated rows are each
 judged and counted. With no rows there are no patterns, and all rates stay at their start.
@@ -52,7 +52,7 @@ def _repeat_words(words: Column, hashes: Column, packed: Column) -> Column:
     pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     other = lambda s, j: F.coalesce(F.get(pairs, j)["h"] == s["h"], F.lit(False))
     slow = F.transform(F.filter(pairs, lambda s, j: other(s, j - 1) | other(s, j + 1)), lambda s: s["i"])
-    return F.sort_array(F.when(mixed, slow).otherwise(found))
+    return F.sort_array(F.when(mixed | (F.size(hashes) > low), slow).otherwise(found))
 
 
 def figures(docs: DataFrame, keep: bool = False) -> DataFrame:

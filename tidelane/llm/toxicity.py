@@ -298,10 +298,9 @@ def classify(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, held_fol
     spark = docs.sparkSession
     shared.prepare(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    known = labels.where(F.col("toxic").isin(0, 1) & (gam.fold(folds) != held_fold)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("y"))
-    ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # at most fit_rows rows of two numbers
-    chosen = rows.join(F.broadcast(ids), "doc_id").collect()
-    chosen.sort(key=lambda r: (r.doc_id, r.text))
+    ids = gam.fit_rows_of(labels, "toxic", folds, held_fold, fit_rows)
+    chosen = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).collect()
+    chosen.sort(key=lambda r: r.doc_id)
     shipped = spark.sparkContext.broadcast(fit([r.text for r in chosen], np.array([r.y for r in chosen], np.float64)))
 
     def run(batches):

@@ -50,8 +50,10 @@ def _repeat_words(words: Column, hashes: Column, packed: Column) -> Column:
     found = F.transform(F.filter(packed, lambda x, j: same(x, F.get(packed, j - 1)) | same(x, F.get(packed, j + 1))), place)
     mixed = F.exists(F.filter(F.transform(packed, lambda x, j: near(x, F.get(packed, j + 1)) & ~same(x, F.get(packed, j + 1))), lambda b: b), lambda b: b)
     pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    other = lambda s, j: F.coalesce(F.get(pairs, j)["h"] == s["h"], F.lit(False))
-    slow = F.transform(F.filter(pairs, lambda s, j: other(s, j - 1) | other(s, j + 1)), lambda s: s["i"])
+    other = lambda p, s, j: F.coalesce(F.get(p, j)["h"] == s["h"], F.lit(False))
+    twice = lambda p: F.filter(p, lambda s, j: other(p, s, j - 1) | other(p, s, j + 1))
+    # The sorted array is bound to a variable, else it would be sorted again for each element.
+    slow = F.element_at(F.transform(F.array(pairs), lambda p: F.transform(twice(p), lambda s: s["i"])), 1)
     return F.sort_array(F.when(mixed | (F.size(hashes) > low), slow).otherwise(found))
 
 

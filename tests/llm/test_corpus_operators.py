@@ -236,6 +236,21 @@ def test_bpe_speculation_and_small_cache(library):
         assert [i for k in range(0, 3000, 100) for i in encoder.encode(cases[k : k + 100])] == [ids_of(library, c).tobytes() for c in cases]
 
 
+def test_bpe_of_all_scripts_and_lengths(library):
+    rnd = random.Random(2)
+    scripts = ["abcdefghij", "абвгд", "αβγςΣ", "漢字仮名", "한국어", "ابتثج", "İıŞßẞ", "éè́̈", "😀👍🏽", "0½٣"]
+    words = ["".join(rnd.choice(rnd.choice(scripts)) for _ in range(rnd.randint(1, 40))) for _ in range(300)]
+    words += ["".join(rnd.choice(s) for _ in range(n)) for s in scripts for n in (49, 300, 10_000)]
+    words += ["the" * 30_000, "".join(rnd.choice("etaoin") for _ in range(90_000)), "â" * 5000, "".join(rnd.choice(scripts[3]) for _ in range(90_000))]
+    texts = [*words, *(" ".join(rnd.choices(words[:300], k=20)) for _ in range(50)), "Hello\x0bWorld", "a <|endoftext|> b", "x <|ENDOFTEXT|> é", "<|EndOfText|>", "<|endoftext|><|startoftext|>x"]
+    want = [ids_of(library, t).tobytes() for t in texts]
+    for speculate in (True, False):
+        encoder = bpe.WordBpe(bpe.vocabulary_path(), speculate=speculate)
+        assert list(encoder.encode(texts)) == want
+    for t, ids in zip(texts[-5:], want[-5:], strict=True):  # also each in a batch of its own
+        assert list(bpe.WordBpe(bpe.vocabulary_path()).encode([t])) == [ids]
+
+
 def check_packing(rows, ids, capacity):
     sequences = {}
     for r in rows:

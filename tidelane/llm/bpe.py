@@ -7,8 +7,9 @@ neighbouring pair would stay apart if its two tokens were encoded alone. Words w
 step, again for all such words at once.
 
 White space never joins a token, so a text is the concatenation of its white-space separated chunks; each worker keeps a
-bounded cache of chunks. Chunks with characters outside plain Latin text, or with a special token's spelling, are given
-to the library itself, chunk by chunk.
+bounded cache of chunks. Words of all scripts and lengths are encoded here. For chunks with characters outside plain
+Latin text the vocabulary's own normaliser and splitter say what the words are, as their Unicode tables decide that;
+special tokens are found by their spelling before.
 
 Defined cases: null texts encode as empty (no tokens, empty decoded text). Repeated rows are each encoded.
 """
@@ -16,10 +17,11 @@ Defined cases: null texts encode as empty (no tokens, empty decoded text). Repea
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,12 @@ from pyspark.sql import functions as F
 from tidelane.llm import shared
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words of more bytes than this are merged by the library.
-MAX_WORD = 48
+#: Tokens of more bytes aren't proposed; the few words that have one fail the test of pairs and are merged exactly.
+PROPOSED = 48
+#: Words are handled in matrices of at most so many cells; words of more than LONG bytes one at a time.
+CELLS, LONG = 1_000_000, 256
+#: Places of a long word at which tokens are looked for at once.
+PLACES = 1 << 18
 #: Chunks, and their characters, that a worker remembers before it begins anew; pairs of tokens that it remembers.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 8_000_000
 KNOWN_PAIRS = 300_000
@@ -112,7 +118,8 @@ class WordBpe:
             self.words[i] = token
         for token in spec["added_tokens"]:
             self.words[token["id"]] = token["content"]
-        self.specials = tuple(t["content"] for t in spec["added_tokens"])
+        self.specials = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec["added_tokens"]}
+        self.special = re.compile(f"({'|'.join(map(re.escape, sorted(self.specials, key=len, reverse=True)))})")
         left = np.array([vocab[a] for a, _ in pairs], np.int32)
         right = np.array([vocab[b] for _, b in pairs], np.int32)
         merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
@@ -120,10 +127,11 @@ class WordBpe:
             raise ValueError("the vocabulary's merges aren't numbered in order")
         self.base = int(merged[0])
         self.table = PairTable(left, right, merged)
+        self.merges = dict(zip(zip(left.tolist(), right.tolist(), strict=True), merged.tolist(), strict=True))
         self.left = np.arange(len(self.words), dtype=np.int32)
         self.right = self.left.copy()
         self.left[merged], self.right[merged] = left, right
-        of_char = {c: b for b, c in enumerate(byte_characters())}
+        self.of_char = of_char = {c: b for b, c in enumerate(byte_characters())}
         self.plain_id = np.array([vocab[c] for c in byte_characters()], np.int32)
         self.final_id = np.array([vocab[c + suffix] for c in byte_characters()], np.int32)
         spelled = [(bytes(of_char[c] for c in t.removesuffix(suffix)), t.endswith(suffix), i) for t, i in vocab.items()]
@@ -132,11 +140,11 @@ class WordBpe:
         self.cache: dict[str, bytes] = {}
         self.decoded: dict[str, bytes] = {}
         self.cache_entries, self.speculate, self.held = cache_entries, speculate, 0
-        self.counts = {"words": 0, "failed": 0, "library": 0}
+        self.counts = {"words": 0, "failed": 0}
 
     def _grow_trie(self, spelled: list[tuple[bytes, bool, int]]) -> None:
         """Only tokens that the merges themselves arrive at take part: others could never be an encoding's."""
-        short = [x for x in spelled if 0 < len(x[0]) <= MAX_WORD]
+        short = [x for x in spelled if 0 < len(x[0]) <= PROPOSED]
         children: dict[tuple[int, int], int] = {}
         plain, final = [-1], [-1]
         finals = [x for x in short if x[1]]
@@ -206,6 +214,41 @@ class WordBpe:
             symbols[live], ranks[live] = s, r
         return symbols, counts
 
+    def _merge_alone(self, symbols: list[int]) -> list[int]:
+        """Exact merging of one long word, by a heap of the pairs that can merge."""
+        n, left, right = len(symbols), self.left.tolist(), self.right.tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(m, i) for i in range(n - 1) if (m := self.merges.get((symbols[i], symbols[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            m, i = heapq.heappop(heap)
+            j = after[i]
+            if j == n or symbols[i] != left[m] or symbols[j] != right[m]:
+                continue  # one of the two has merged otherwise
+            symbols[i], symbols[j], after[i] = m, -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (m := self.merges.get((symbols[a], symbols[b]))) is not None:
+                    heapq.heappush(heap, (m, a))
+        return [x for x in symbols if x >= 0]
+
+    def _longest(self, data: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The longest token that starts at each of the places ``at`` of a word that ends at ``ends``, and its bytes."""
+        best, size = np.full(len(at), -1, np.int32), np.zeros(len(at), np.int64)
+        who, node, depth = np.arange(len(at)), np.zeros(len(at), np.int64), 0
+        while len(who):
+            p = at[who] + depth
+            node = self.child.get(node, data[p])
+            depth += 1
+            ended = p + 1 == ends[who]
+            token = np.where(ended, self.node_final[node], self.node_plain[node])
+            ok = (node >= 0) & (token >= 0)
+            best[who[ok]], size[who[ok]] = token[ok], depth
+            on = (node >= 0) & ~ended
+            who, node = who[on], node[on]
+        return best, size
+
     def _propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Greedy longest match, a token of every word at a time."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -216,18 +259,7 @@ class WordBpe:
         counts = np.zeros(len(words), np.int32)
         live, at = np.arange(len(words)), starts.copy()
         while len(live):
-            best, size = np.full(len(live), -1, np.int32), np.zeros(len(live), np.int64)
-            who, node, depth = np.arange(len(live)), np.zeros(len(live), np.int64), 0
-            while len(who):
-                p = at[who] + depth
-                node = self.child.get(node, data[p])
-                depth += 1
-                ended = p + 1 == ends[live[who]]
-                token = np.where(ended, self.node_final[node], self.node_plain[node])
-                ok = (node >= 0) & (token >= 0)
-                best[who[ok]], size[who[ok]] = token[ok], depth
-                on = (node >= 0) & ~ended
-                who, node = who[on], node[on]
+            best, size = self._longest(data, at, ends[live])
             tokens[live, counts[live]] = best
             counts[live] += 1
             at += size
@@ -235,6 +267,19 @@ class WordBpe:
             live, at = live[on], at[on]
         return tokens, counts
 
+    def _propose_alone(self, word: bytes) -> np.ndarray:
+        """Greedy longest match in one long word: the longest token at every place, then those that follow each other."""
+        data = np.frombuffer(word, np.uint8).astype(np.int64)
+        tokens, at = [], 0
+        for first in range(0, len(data), PLACES):
+            places = np.arange(first, min(first + PLACES, len(data)))
+            best, size = self._longest(data, places, np.full(len(places), len(data)))
+            best, size = best.tolist(), size.tolist()
+            while at < first + len(places):
+                tokens.append(best[at - first])
+                at += size[at - first]
+        return np.array(tokens, np.int32)
+
     def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether tokens a and b stay apart when encoded next to each other.
 
@@ -278,11 +323,8 @@ class WordBpe:
         good[row[~ok[back]]] = False
         return good
 
-    def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids (little-endian unsigned 32 bits) of words in UTF-8, of 1 to MAX_WORD bytes."""
-        if not words:
-            return []
-        self.counts["words"] += len(words)
+    def _encode_alike(self, words: list[bytes]) -> list[bytes]:
+        """Ids (little-endian unsigned 32 bits) of words of similar lengths, in UTF-8."""
         if self.speculate:
             tokens, counts = self._propose(words)
             failed = np.flatnonzero(~self._verify(tokens, counts))
@@ -297,22 +339,54 @@ class WordBpe:
         ends = (np.cumsum(counts) * 4).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def _by_library(self, chunk: str) -> bytes:
-        self.counts["library"] += 1
-        return np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+    def _encode_alone(self, word: bytes) -> bytes:
+        """Ids of one long word."""
+        tokens = self._propose_alone(word) if self.speculate else None
+        if tokens is None or not self._verify(tokens[None, :], np.array([len(tokens)])).all():
+            self.counts["failed"] += 1
+            tokens = np.array(self._merge_alone(self._symbols([word])[0][0].tolist()))
+        return tokens.astype("<u4").tobytes()
+
+    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids (little-endian unsigned 32 bits) of each word; words of like length are encoded together."""
+        spelled = sorted(((w, w.encode()) for w in words), key=lambda x: len(x[1]))
+        self.counts["words"] += len(spelled)
+        out, at = {}, 0
+        while at < len(spelled) and len(spelled[at][1]) <= LONG:
+            part = spelled[at : at + CELLS // PROPOSED]
+            while len(part) > 1 and (len(part) * len(part[-1][1]) > CELLS or len(part[-1][1]) > LONG):
+                part = part[: len(part) // 2]
+            out.update(zip((w for w, _ in part), self._encode_alike([data for _, data in part]), strict=True))
+            at += len(part)
+        for word, data in spelled[at:]:
+            out[word] = self._encode_alone(data)
+        return out
+
+    def _words(self, chunk: str) -> list[str]:
+        """A chunk's words and special tokens, by the vocabulary's rules."""
+        out: list[str] = []
+        for k, run in enumerate(self.special.split(chunk)):
+            if k % 2:
+                out.append(run)
+            elif run:
+                found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(run))
+                out.extend(bytes(map(self.of_char.__getitem__, word)).decode() for word, _ in found)
+        return out
 
     def learn(self, chunks: set[str]) -> None:
-        """Put the ids of new chunks into the cache. Capitals only stand in chunks of texts that aren't plain."""
-        plain = PLAIN.fullmatch("".join(chunks)) is not None
+        """Put the ids of new chunks into the cache."""
+        joined = "".join(chunks)
+        plain = PLAIN.fullmatch(joined) is not None and self.special.search(joined) is None
         whole: list[str] = []
         parts: dict[str, list[str]] = {}
+        other: dict[str, list[str]] = {}
         for chunk in chunks:
-            if not plain and (PLAIN.fullmatch(chunk) is None or any(s in chunk for s in self.specials)):
-                self.cache[chunk] = self._by_library(chunk)
+            if not plain and (PLAIN.fullmatch(chunk) is None or self.special.search(chunk) is not None):
+                other[chunk] = self._words(chunk)
                 continue
-            low = chunk if plain else chunk.lower()
+            low = chunk.lower()
             if low.isalpha():
-                if low is chunk or low == chunk:
+                if low == chunk:
                     whole.append(chunk)
                 else:
                     parts[chunk] = [low]
@@ -322,13 +396,9 @@ class WordBpe:
                 parts[chunk] = PIECES.findall(low)
         wanted = {p for found in parts.values() for p in found}.difference(self.cache)
         wanted.update(whole)
-        spelled = [(p, p.encode()) for p in wanted]
-        short = sorted((x for x in spelled if len(x[1]) <= MAX_WORD), key=lambda x: len(x[1]))
-        known = {p: self._by_library(p) for p, data in spelled if len(data) > MAX_WORD}
-        for k in range(0, len(short), 20_000):
-            part = short[k : k + 20_000]
-            known.update(zip((p for p, _ in part), self.encode_words([d for _, d in part]), strict=True))
-        for chunk, found in parts.items():
+        wanted.update(p for found in other.values() for p in found)
+        known = self.encode_words(wanted.difference(self.specials)) | self.specials
+        for chunk, found in (*parts.items(), *other.items()):
             ids = [known[p] if p in known else self.cache[p] for p in found]
             self.cache[chunk] = ids[0] if len(ids) == 1 else b"".join(ids)
         for chunk in whole:
@@ -336,8 +406,8 @@ class WordBpe:
 
     def _split(self, text: str) -> list[str]:
         """White-space separated chunks; in lower case where the whole text is plain."""
-        if PLAIN_TEXT.fullmatch(text) is not None and not any(s in text for s in self.specials):
-            return text.lower().split()
+        if PLAIN_TEXT.fullmatch(text) is not None and self.special.search(low := text.lower()) is None:
+            return low.split()
         if any(s in text for s in SEPARATORS):
             return [x for x in SPACE.split(text) if x]
         return text.split()

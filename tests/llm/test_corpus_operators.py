@@ -205,6 +205,33 @@ def test_proposed_pairs_do_not_grow_with_the_square():
     assert len(pairs) == len(set(pairs)) == 3 * 2000 + 3
 
 
+def test_proposed_pairs_of_many_keys_are_those_of_each(monkeypatch):
+    monkeypatch.setattr(similar, "MEETINGS", 50)
+    draw = np.random.default_rng(3)
+    lengths = np.concatenate(([0, 1, 40, 0], draw.integers(0, 7, 60)))
+    n = int(lengths.sum())
+    nodes, sizes = draw.permutation(10 * n)[:n], draw.integers(8, 14, n)
+    rest, roots, odd = sizes - draw.integers(0, 2, n), draw.integers(0, 5, n), draw.integers(0, 2, (n, 2))
+    ends = np.cumsum(lengths)
+    for leader in (0, 1, 2):
+        both = [[], []]
+        for a, b in similar.proposed(nodes, sizes, rest, roots, odd, 0.8, leader, lengths):
+            both[0] += zip(a.tolist(), b.tolist(), strict=True)
+        for s, e in zip(ends - lengths, ends, strict=True):
+            allowed = {tuple(sorted((int(nodes[i]), int(nodes[j])))) for i in range(s, e) for j in range(s, i) if roots[i] != roots[j]
+                       and min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j]) and 1.8 * min(rest[i], rest[j]) >= 0.8 * (sizes[i] + sizes[j]) - 1e-9
+                       and 9 * sum(int(x).bit_count() for x in odd[i] ^ odd[j]) <= sizes[i] + sizes[j]}
+            named = [p for a, b in similar.proposed(nodes[s:e], sizes[s:e], rest[s:e], roots[s:e], odd[s:e], 0.8, leader) for p in zip(a.tolist(), b.tolist(), strict=True)]
+            assert len(named) == len(set(named)) and set(named) <= allowed
+            if not leader:
+                count = Counter(roots[s:e].tolist())
+                common = min((r for r in count if count[r] == max(count.values())), default=None)
+                root = dict(zip(nodes[s:e].tolist(), roots[s:e].tolist(), strict=True))
+                assert {p for p in allowed if root[p[0]] != common or root[p[1]] != common} == set(named)
+            both[1] += named
+        assert sorted(both[0]) == sorted(both[1]) and both[0]
+
+
 # 3 and 9
 
 

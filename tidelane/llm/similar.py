@@ -41,6 +41,8 @@ LEADERS = 2
 #: Places of a sketch: how many of a set's shingles (255 at most) fall in each. A posting has only whether that is odd.
 PLACES = 128
 ODD = [f"odd{k}" for k in range(PLACES // 64)]
+#: Meetings of two nodes that a task looks at together.
+MEETINGS = 500_000
 EPS = 1e-9
 
 
@@ -155,28 +157,57 @@ def parities(sketches: list[bytes]) -> np.ndarray:
     return np.packbits((flat & 1) * (flat < 255), axis=1).view(np.int64)
 
 
-def proposed(nodes: np.ndarray, sizes: np.ndarray, rest: np.ndarray, roots: np.ndarray, odd: np.ndarray, similarity: float, leader: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one key's nodes with different roots, with sizes, rests and parities that allow the similarity.
+def proposed(nodes: np.ndarray, sizes: np.ndarray, rest: np.ndarray, roots: np.ndarray, odd: np.ndarray, similarity: float, leader: int, lengths: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a key's nodes with different roots, with sizes, rests and parities that allow the similarity; ``lengths``
+    are the numbers of nodes of consecutive keys (one key without).
 
-    With a ``leader`` number, each node meets only one of the largest component, another one for each number. With 0 all
-    pairs meet; members of the largest component are met by the others, so the work is bounded by the pairs left.
+    With a ``leader`` number, each node meets only one of its key's largest component, another one for each number. With 0
+    all pairs meet; members of the largest component are met by the others, so the work is bounded by the pairs left.
     """
-    distinct, which, counts = np.unique(roots, return_inverse=True, return_counts=True)
-    if len(distinct) < 2:
-        return
-    largest = which == np.argmax(counts)
+    lengths = np.array([len(nodes)]) if lengths is None else np.asarray(lengths)
+    key = np.repeat(np.arange(len(lengths)), lengths)
+    begins = np.cumsum(lengths) - lengths
+    part, part_key, counts = _components_by_key(key, roots)
+    by_size = np.lexsort((-counts, part_key))
+    largest = np.zeros(len(counts), bool)
+    largest[by_size[_firsts(part_key[by_size])]] = True
+    largest = largest[part]
     mixed = (nodes.view(np.uint64) ^ np.uint64(leader)) * np.uint64(0x9E3779B97F4A7C15)
-    asking = np.flatnonzero(largest)[[np.argmin(mixed[largest])]].tolist() if leader else np.flatnonzero(~largest).tolist()
-    place = np.arange(len(nodes))
-    for i in asking:
-        fits = np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]) - EPS
-        fits &= np.minimum(rest, rest[i]) >= similarity / (1 + similarity) * (sizes + sizes[i]) - EPS
-        fits &= np.bitwise_count((odd ^ odd[i]).view(np.uint64)).sum(axis=1) <= (1 - similarity) / (1 + similarity) * (sizes + sizes[i]) + EPS
-        meets = fits & (which != which[i])
+    if leader:
+        asking = np.flatnonzero(largest)
+        asking = asking[np.lexsort((mixed[asking], key[asking]))]
+        asking = asking[_firsts(key[asking])]
+    else:
+        asking = np.flatnonzero(~largest)
+    met = lengths[key[asking]]
+    for some in np.split(np.arange(len(asking)), np.flatnonzero(np.diff(np.cumsum(met) // MEETINGS)) + 1):
+        n = met[some]
+        i = np.repeat(asking[some], n)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n - begins[key[asking[some]]], n)
+        meets = part[i] != part[j]
         if not leader:
-            meets &= largest | (place > i)
-        other = nodes[meets]
-        yield np.minimum(other, nodes[i]), np.maximum(other, nodes[i])
+            meets &= largest[j] | (j > i)
+        i, j = i[meets], j[meets]
+        both = sizes[i] + sizes[j]
+        fits = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]) - EPS
+        fits &= np.minimum(rest[i], rest[j]) >= similarity / (1 + similarity) * both - EPS
+        fits &= np.bitwise_count((odd[i] ^ odd[j]).view(np.uint64)).sum(axis=1) <= (1 - similarity) / (1 + similarity) * both + EPS
+        i, j = nodes[i[fits]], nodes[j[fits]]
+        yield np.minimum(i, j), np.maximum(i, j)
+
+
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, as a mask."""
+    return np.concatenate((np.ones(min(len(values), 1), bool), values[1:] != values[:-1]))
+
+
+def _components_by_key(key: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of each member's (key, root), and those pairs' keys and sizes, in order of key and root."""
+    order = np.lexsort((roots, key))
+    first = _firsts(key[order]) | _firsts(roots[order])
+    part = np.empty(len(order), np.int64)
+    part[order] = np.cumsum(first) - 1
+    return part, key[order][first], np.bincount(part)
 
 
 def pairs_by_prefix(prefixes: DataFrame, roots: DataFrame, similarity: float, leader: int) -> DataFrame:
@@ -184,22 +215,13 @@ def pairs_by_prefix(prefixes: DataFrame, roots: DataFrame, similarity: float, le
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, held = [], [], 0
-            for members in batch.column(0):
-                flat = members.values
-                columns = [flat.field(k).to_numpy() for k in range(4 + len(ODD))]
-                for x, y in proposed(*columns[:4], np.stack(columns[4:], axis=1), similarity, leader):
-                    a.append(x)
-                    b.append(y)
-                    held += len(x)
-                    if held > 200_000:
-                        yield pack(a, b)
-                        a, b, held = [], [], 0
-            yield pack(a, b)
-
-    def pack(a: list, b: list) -> pa.RecordBatch:
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            members = batch.column(0)
+            flat = members.flatten()
+            columns = [flat.field(k).to_numpy() for k in range(4 + len(ODD))]
+            lengths = members.value_lengths().to_numpy()
+            for a, b in proposed(*columns[:4], np.stack(columns[4:], axis=1), similarity, leader, lengths):
+                pairs = np.unique(np.stack([a, b]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     named = prefixes.join(_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = named.groupBy("key").agg(F.collect_list(F.struct("node", "size", "rest", "root", *ODD)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))

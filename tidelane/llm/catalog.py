@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules in this package that each offer QUERIES and ORACLE_SQL.
-MODULES = ("warc", "simhash", "packing", "impact", "bpe", "gam", "rules", "toxicity", "suffixes", "suffix_trees", "audit", "lexical")
+MODULES = ("warc", "simhash", "packing", "impact", "bpe", "gam", "rules", "toxicity", "suffixes", "suffix_trees", "audit", "neighbours", "lexical")
 
 
 def _merged(attribute: str) -> dict:

@@ -204,9 +204,16 @@ def test_lexical_stops_and_stays_exact(spark):
     assert Counter(tuple(r) for r in lexical.top_documents(docs, items, best=3, piece_bytes=50_000, block_items=7).collect()) == want
 
 
+def piece_of(docs):
+    made = lexical.Builder()
+    for i, counts in docs:
+        made.add(i, counts)
+    return lexical.Piece(dict(zip(lexical.FIELDS, made.row(len(docs), sum(c.total() for _, c in docs)), strict=True)))
+
+
 def test_strata_below_the_best_are_not_visited(monkeypatch):
     docs = [(i, Counter({b"x": 50})) for i in range(60)] + [(100 + i, Counter({b"x": 1, b"y%d" % i: 500})) for i in range(500)]
-    part = lexical.Piece(dict(zip(lexical.FIELDS, lexical.piece(docs, len(docs), sum(c.total() for _, c in docs)), strict=True)))
+    part = piece_of(docs)
     seen = []
     bincount = np.bincount
     monkeypatch.setattr(lexical.np, "bincount", lambda d, *a, **k: (seen.append(len(d)), bincount(d, *a, **k))[1])
@@ -216,7 +223,7 @@ def test_strata_below_the_best_are_not_visited(monkeypatch):
 
 def test_large_weights_add_as_integers():
     docs = [(i, Counter({b"a": i + 1, b"b": 2})) for i in range(9)]
-    part = lexical.Piece(dict(zip(lexical.FIELDS, lexical.piece(docs, 9, 63), strict=True)))
+    part = piece_of(docs)
     weights = [(part.number[b"a"], 2**36 + 1), (part.number[b"b"], 3)]
     tf = [(i + 1, 2) for i in range(9)]
     m = [50 + 50 * (sum(t)) * 9 // 63 for t in tf]

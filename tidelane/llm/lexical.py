@@ -21,6 +21,7 @@ texts are read whole.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -66,20 +67,33 @@ def totals(documents: DataFrame) -> tuple[int, int]:
     return int(row[0] or 0), int(row[1] or 0)
 
 
-def piece(docs: list[tuple[int, Counter]], n: int, length: int) -> tuple[bytes, ...]:
-    """The index of (doc_id, counts of terms), as one row of INDEX."""
-    normalisers = np.array([50 + 50 * counts.total() * n // length for _, counts in docs], np.int64)
-    norms, stratum_of = np.unique(normalisers, return_inverse=True)
-    number: dict[bytes, int] = {}
-    term = np.fromiter((number.setdefault(t, len(number)) for _, counts in docs for t in counts), np.int64)
-    tf = np.fromiter((c for _, counts in docs for c in counts.values()), np.int64)
-    doc = np.repeat(np.arange(len(docs)), [len(counts) for _, counts in docs])
-    pairs, pair = np.unique(np.stack([stratum_of[doc], tf], axis=1), axis=0, return_inverse=True) if len(tf) else (np.zeros((0, 2), np.int64), tf)
-    order = np.lexsort((pair, term))
-    held = np.bincount(term, minlength=len(number))
-    starts = np.concatenate([[0], np.cumsum(held)])
-    small = lambda x: x.astype("<i4").tobytes()
-    return (b" ".join(number), small(held), starts.astype("<i8").tobytes(), small(doc[order]), small(pair.reshape(-1)[order]), small(pairs[:, 0]), pairs[:, 1].astype("<i8").tobytes(), norms.astype("<i8").tobytes(), small(stratum_of), np.array([i for i, _ in docs], "<i8").tobytes())
+class Builder:
+    """Collects documents' counts as plain integers; ``row`` gives the piece as one row of INDEX."""
+
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.term, self.tf, self.docs, self.lengths, self.widths, self.bytes = array("i"), array("q"), array("q"), array("q"), array("q"), 0
+
+    def add(self, doc_id: int, counts: Counter, size: int = 0) -> None:
+        number = self.number
+        self.term.extend([number.setdefault(t, len(number)) for t in counts])
+        self.tf.extend(counts.values())
+        self.docs.append(doc_id)
+        self.lengths.append(counts.total())
+        self.widths.append(len(counts))
+        self.bytes += size
+
+    def row(self, n: int, length: int) -> tuple[bytes, ...]:
+        norms, stratum_of = np.unique(np.array([50 + 50 * x * n // length for x in self.lengths], np.int64), return_inverse=True)
+        term, tf = np.frombuffer(self.term, np.int32), np.frombuffer(self.tf, np.int64)
+        doc = np.repeat(np.arange(len(self.docs)), np.frombuffer(self.widths, np.int64))
+        pairs, pair = np.unique(np.stack([stratum_of[doc], tf], axis=1), axis=0, return_inverse=True)
+        pair = pair.reshape(-1)
+        order = np.lexsort((pair, term))
+        held = np.bincount(term, minlength=len(self.number))
+        small = lambda x: x.astype("<i4").tobytes()
+        starts = np.concatenate([[0], np.cumsum(held)]).astype("<i8").tobytes()
+        return (b" ".join(self.number), small(held), starts, small(doc[order]), small(pair[order]), small(pairs[:, 0]), pairs[:, 1].astype("<i8").tobytes(), norms.astype("<i8").tobytes(), small(stratum_of), np.frombuffer(self.docs, np.int64).astype("<i8").tobytes())
 
 
 def build(documents: DataFrame, n: int, length: int, piece_bytes: int = PIECE_BYTES) -> DataFrame:
@@ -87,17 +101,16 @@ def build(documents: DataFrame, n: int, length: int, piece_bytes: int = PIECE_BY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(f, pa.binary()) for f in FIELDS])
-        row = lambda docs: pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in piece(docs, n, length)], schema=schema)
-        docs, size = [], 0
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in made.row(n, length)], schema=schema)
+        made = Builder()
         for doc_id, text in shared.rows_of(batches):
-            if docs and size + len(text) > piece_bytes:
-                yield row(docs)
-                docs, size = [], 0
+            if made.docs and made.bytes + len(text) > piece_bytes:
+                yield row()
+                made = Builder()
             if counts := Counter(terms_of(text)):
-                docs.append((doc_id, counts))
-                size += len(text)
-        if docs:
-            yield row(docs)
+                made.add(doc_id, counts, len(text))
+        if made.docs:
+            yield row()
 
     shared.prepare(documents.sparkSession)
     return _texts(documents, "doc_id").mapInArrow(run, INDEX)
@@ -117,16 +130,15 @@ def item_terms(items: DataFrame) -> DataFrame:
 def meet(index: DataFrame, blocks: DataFrame, pieces: int, small: bool) -> DataFrame:
     """Each index piece beside each block: through a broadcast, or by slots that blocks are copied to."""
     slots = 1 if small else max(1, pieces)
-    slot = F.lit(0) if small else F.pmod(F.xxhash64("docs"), F.lit(slots)).cast("int")
     copies = blocks.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    return index.withColumn("slot", slot).join(F.broadcast(copies) if small else copies, "slot").drop("slot")
+    return index.withColumn("slot", F.pmod(F.xxhash64("held"), F.lit(slots)).cast("int")).join(F.broadcast(copies) if small else copies, "slot").drop("slot")
 
 
 class Piece:
     """An index piece as arrays."""
 
     def __init__(self, row: dict[str, bytes]):
-        self.number = {t: i for i, t in enumerate(row["vocabulary"].split(b" "))} if row["docs"] else {}
+        self.number = {t: i for i, t in enumerate(row["vocabulary"].split(b" "))}
         for name, kind in (("starts", "<i8"), ("doc", "<i4"), ("pair", "<i4"), ("pair_stratum", "<i4"), ("pair_tf", "<i8"), ("norms", "<i8"), ("stratum_of", "<i4"), ("docs", "<i8")):
             setattr(self, name, np.frombuffer(row[name], kind).astype(np.int64))
         #: Once for each tf of a stratum.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelane import shipping
+
 
 def alias_column(df: DataFrame, wrong: str, right: str) -> DataFrame:
     """Renames ``wrong`` to ``right`` only where ``right`` is missing."""
@@ -127,4 +129,5 @@ def apply_to_series(df: DataFrame, key: str, order: list[str], column: str, chan
         frame[column] = np.asarray(change(frame[column].to_numpy(np.float64)), np.float64)
         return frame
 
+    shipping.ship(df.sparkSession)
     return df.groupBy(key).applyInPandas(run, df.schema)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelane import shipping
 from tidelane.operators.fusion import let
 
 
@@ -100,6 +101,7 @@ def handcrafted(df: DataFrame, channels: list[str], rate: float = 100.0) -> Data
     """The 64 figures of a window of six channels, three of acceleration and three of turn rate: eight of each channel;
     mean, deviation and largest of either norm; either's mean summed magnitude; correlations of the acceleration's axes;
     dominant frequency, its amplitude and three bands of the acceleration's norm."""
+    shipping.ship(df.sparkSession)
     columns = {}
     for c in channels:
         x = F.col(c)

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelane import shipping
+
 
 def label_points(points: DataFrame, labels: DataFrame, key: str, time: str, point_id: list[str], *, state: str = "state", background: int = 0, bucket_ms: int = 86_400_000) -> DataFrame:
     """The class of the last label row (by ``row_no``) whose closed interval holds each point; else ``background``.
@@ -67,6 +69,7 @@ def greedy_match(pairs: DataFrame, key: str, *, ties: str = "asc") -> DataFrame:
         return frame[keep]
 
     contested = marked.where("_n > 1").drop("_n")
+    shipping.ship(alone.sparkSession)
     return alone.unionByName(contested.groupBy(key).applyInPandas(choose, contested.schema))
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelane import shipping
 from tidelane.functions import scalars
 from tidelane.operators import clean, evaluate, features, fusion, intervals, sequence
 from tidelane.plans import base, ordered
@@ -57,6 +58,7 @@ def score_windows(df: DataFrame, x: str, scorer: Callable[[], Callable[[np.ndarr
             p = np.asarray(model(np.stack(batch.column(1).to_pylist()) if batch.num_rows else np.zeros((0, 1))), np.float64).reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(p), pa.list_(pa.float64()))], names=[key, "probs"])
 
+    shipping.ship(df.sparkSession)
     return df.select(key, x).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, probs array<double>")
 
 

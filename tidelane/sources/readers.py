@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelane import shipping
 from tidelane.functions.scalars import stem
 from tidelane.operators import clean
 
@@ -117,6 +118,7 @@ def zipped_texts(spark: SparkSession, folder: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["user_id", "text"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder)
+    shipping.ship(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, "user_id string, text string")
 
 

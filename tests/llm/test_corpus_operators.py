@@ -350,6 +350,25 @@ def test_top_k_of_large_components(spark, size):
     assert {tuple(r) for r in impact.top_k(df, df.where("vec_id % 10 = 0")).collect()} == want
 
 
+def test_top_k_refuses_what_no_long_holds(spark):
+    for rows, why in (([(0, [1 / 256, 0.0]), (1, [1e300, 0.0]), (2, [1e200, 0.0])], "component too large"), ([(0, [1e15]), (1, [1e15])], "score too large")):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match=why):
+            impact.top_k(df, df.where("vec_id = 0")).collect()
+    edge = spark.createDataFrame([(0, [1 / 256, 0.0]), (1, [2.0**54, 0.0]), (2, [-(2.0**54), 1.0])], "vec_id long, embedding array<double>")
+    assert [r.score for r in impact.top_k(edge, edge.where("vec_id = 0")).orderBy("rank").collect()] == [2**62, -(2**62)]
+
+
+@pytest.mark.parametrize("keep", [similar.keep_one, simhash.keep_one])
+def test_keep_one_of_odd_rows_and_clashing_names(spark, odd, empty, keep):
+    wide = odd.withColumn("gone_id", F.lit(1)).withColumn("GONE_ID_", F.lit("x"))
+    got = keep(wide)
+    assert got.columns == wide.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert (None, "no id here at all") in kept and kept.count((6, "Same text here, twice.")) == 2 and (7, LONG) in kept
+    assert keep(empty.withColumn("gone_id", F.lit(1))).count() == 0
+
+
 # 5 and 8
 
 

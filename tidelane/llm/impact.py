@@ -5,15 +5,16 @@ values) from the highest to the lowest, the postings with that impact: segments
 segments of one impact are processed for a block of queries before any of a lower one, so partial scores grow by ever
 smaller steps. After each impact a vector's score can still change by at most the product of the query's norm and the
 norm of the vector's unprocessed components (kept with the shard); a query stops only once that proves which vectors can
-be among its best, and those are scored exactly. A query whose bound never suffices ends with exact scores of all.
+be among its best, and those are scored exactly. A query whose bound never suffices ends with exact scores of all. A level's postings are added for all live queries at once, as one dense product of the
+block's queries with the level's plane: with dense vectors that is what fills the levels anyway.
 
 Vectors are dealt into shards and queries into blocks, both of bounded size; every block meets every shard, the number
 of meetings is the only product formed. Each meeting returns at most k rows a query.
 
 Defined cases: vectors that are null, empty or have a null or non-finite component, and rows without an id, take no
 part. Vectors of different lengths never meet. Repeated rows are each candidates; a query's own row is left out by its
-id. Ties go to the smaller id. Fewer candidates than k give fewer rows. A score among the best that no long can hold is
-an error.
+id. Ties go to the smaller id. Fewer candidates than k give fewer rows. A component that no long can hold after scaling,
+or such a score among the best, is an error that names it: neither is ever cut to the largest long.
 """
 
 from __future__ import annotations
@@ -34,12 +35,17 @@ LEVELS = (0.5, 0.35, 0.25, 0.18, 0.12, 0.06, 0.0)
 RESCORE = 64
 
 
+def _whole(e, scale: int):
+    """The scaled component, rounded down, as a long; an error beyond."""
+    return F.when(F.abs(e) < F.lit(2.0**63 / scale), F.floor(e * F.lit(float(scale))).cast("long")).otherwise(F.raise_error(F.concat(F.lit("component too large for a long: "), e.cast("string"))).cast("long"))
+
+
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id and integer vector ``v`` of the rows of ``vectors`` (vec_id, embedding) that take part."""
     x = F.transform("embedding", lambda e: e.cast("double"))
     fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     finite = F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    return vectors.where(fine & F.coalesce(finite, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * F.lit(float(scale))).cast("long")).alias("v"))
+    return vectors.where(fine & F.coalesce(finite, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: _whole(e, scale)).alias("v"))
 
 
 def build(ids: np.ndarray, vectors: np.ndarray, levels: tuple[float, ...] = LEVELS) -> dict[str, np.ndarray]:
@@ -76,6 +82,8 @@ def search(index: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndar
         kind = np.int64 if length[q] * total.max(initial=0) < 2.0**62 else object  # beyond that, longs could wrap
         exact = index["vectors"][members].astype(kind) @ queries[q].astype(kind)
         for m in sorted(range(len(members)), key=lambda m: (-exact[m], ids[members[m]]))[:best] if kind is object else np.lexsort((ids[members], -exact))[:best].tolist():
+            if not -(2**63) <= int(exact[m]) < 2**63:
+                raise ValueError(f"score too large for a long: query {query_ids[q]}, vector {ids[members[m]]}")
             out.append((int(query_ids[q]), int(ids[members[m]]), int(exact[m])))
 
     start = 0
@@ -119,6 +127,7 @@ BLOBS = "box long, width int, ids binary, data binary"
 def top_k(vectors: DataFrame, queries: DataFrame, *, scale: int = SCALE, best: int = BEST, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id and score of the ``best`` inner products of each query with all other vectors."""
     spark = vectors.sparkSession
+    shared.prepare(spark)  # before the first Python function is built
     rows, asked = quantised(vectors, scale), quantised(queries, scale)
     shards, blocks = (max(1, -(-x.count() // n)) for x, n in ((rows, shard_rows), (asked, block_rows)))
     boxed = lambda x, n: x.withColumn("box", F.pmod(F.xxhash64("vec_id"), F.lit(n))).withColumn("width", F.size("v")).groupBy("box", "width").applyInPandas(_blobs, BLOBS)
@@ -136,7 +145,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, scale: int = SCALE, best: i
             columns = list(zip(*found, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], schema=names)
 
-    shared.prepare(spark)
     near = meet.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best).select("query_id", "rank", "vec_id", "score")

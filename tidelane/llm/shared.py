@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelane.shipping import ship
+
 #: Rows and bytes of an Arrow batch at most. Texts may be long, and a batch is what a Python worker holds at once.
 ARROW_ROWS, ARROW_BYTES = 500, 4_000_000
 
@@ -47,7 +43,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def prepare(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Lower (never raise) the rows and bytes of an Arrow batch, so that a batch of long texts fits a worker, and let
-    workers import this package where PYTHONPATH doesn't have it: it then goes to them as a zip file, once a session.
+    workers import this package (see ``tidelane.shipping``).
 
     Plans read the setting when they run, so it stays lowered for the session.
     """
@@ -55,21 +51,21 @@ def prepare(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         now = str(spark.conf.get(key)).removesuffix("b")
         if not now.isdigit() or int(now) <= 0 or int(now) > most:
             spark.conf.set(key, str(most))
-    root, context = Path(__file__).resolve().parents[2], spark.sparkContext
-    if str(root) not in os.environ.get("PYTHONPATH", "").split(os.pathsep) and not getattr(context, "_tidelane_shipped", False):
-        path = Path(tempfile.mkdtemp(prefix="tidelane-"), "tidelane.zip")  # tasks may fetch it at any time
-        with zipfile.ZipFile(path, "w") as z:
-            for source in sorted(Path(root, "tidelane").rglob("*.py")):
-                z.write(source, source.relative_to(root))
-        context.addPyFile(str(path))
-        atexit.register(shutil.rmtree, path.parent, ignore_errors=True)
-        context._tidelane_shipped = True
+    ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def new_column(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def byte_column(column: pa.Array) -> tuple[pa.Buffer | None, list[int]]:
     """Buffer and offsets of a string column without nulls, for work on the raw UTF-8."""
     offsets = memoryview(column.buffers()[1]).cast("i")[column.offset : column.offset + len(column) + 1]

@@ -186,9 +186,10 @@ BROADCAST_ROWS = 200_000
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents whose group has one with a smaller id. Rows without an id stay: none names them."""
     found = near_duplicates(docs, **options)
-    gone = shared.materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    named = shared.new_column(docs, "gone_id")
+    gone = shared.materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias(named)).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone[named], "left_anti")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -289,5 +289,7 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, similarity: float =
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents whose group has one with a smaller id. Rows without an id stay: none names them."""
     found = near_duplicates(docs, **options)
-    gone = shared.materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(_small(gone), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    named = shared.new_column(docs, "gone_id")
+    gone = shared.materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias(named)).distinct(), "gone")
+    gone = _small(gone)
+    return docs.join(gone, docs["doc_id"] == gone[named], "left_anti")

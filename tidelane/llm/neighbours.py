@@ -87,16 +87,17 @@ def nodes_of(vectors: DataFrame, best: int = BEST) -> DataFrame:
     return rows.select("node", "ids", "dims", "v").mapInArrow(run, "node long, ids array<long>, dims int, code binary, v array<double>")
 
 
-def _leaves(nodes: DataFrame, count: int, tables: int, leaf: int) -> DataFrame:
-    """Nodes in the leaves of each table: rows of (dims, members)."""
-    bits = max(0, int(np.ceil(np.log2(max(1, count) / leaf))))
+def _leaves(nodes: DataFrame, counts: dict[int, int], tables: int, leaf: int) -> DataFrame:
+    """Nodes in the leaves of each table: rows of (dims, members). ``counts`` are the nodes of each vector length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dims, part in _by_dims(batches):
-            x = decode(_fixed(part.column("code")))
+            x, bits = decode(_fixed(part.column("code"))), max(0, int(np.ceil(np.log2(counts[dims] / leaf))))
+            mixed = (part.column("node").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            at_random = (mixed % np.uint64(-(-counts[dims] // leaf))).astype(np.int64)
             for t in range(tables + 1):
                 sides = np.random.default_rng([t, dims]).standard_normal((dims, bits))
-                at = ((x @ sides) > 0) @ (1 << np.arange(bits, dtype=np.int64)) if t < tables and bits else np.zeros(len(x), np.int64)
+                at = ((x @ sides) > 0) @ (1 << np.arange(bits, dtype=np.int64)) if t < tables else at_random
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(at, pa.int64()), part.column("dims"), part.column("node"), part.column("code")], names=["t", "leaf", "dims", "node", "code"])
 
     dealt = nodes.select("node", "dims", "code").mapInArrow(run, "t int, leaf long, dims int, node long, code binary")
@@ -177,8 +178,10 @@ def _met(groups: DataFrame) -> DataFrame:
 def build(nodes: DataFrame, *, links: int = LINKS, tables: int = TABLES, leaf: int = LEAF, rounds: int = ROUNDS, delta: float = DELTA) -> DataFrame:
     """The neighbour graph of written ``nodes``: (node, near), near holding (d, b, fresh) by rising squared distance."""
     shared.prepare(nodes.sparkSession)
-    count = nodes.count()
-    graph = shared.materialize(_merged(_nearest_in_leaves(_leaves(nodes, count, tables, leaf), links).withColumn("fresh", F.lit(True)), links), "neighbours-start")
+    # A row a vector length: k lengths take at least k * k / 2 components, so these are few.
+    counts = {r.dims: r["count"] for r in nodes.groupBy("dims").count().collect()}
+    count = sum(counts.values())
+    graph = shared.materialize(_merged(_nearest_in_leaves(_leaves(nodes, counts, tables, leaf), links).withColumn("fresh", F.lit(True)), links), "neighbours-start")
     for _ in range(rounds):
         full = F.when(F.size("near") >= links, F.element_at("near", -1)["d"].cast("double")).otherwise(F.lit(float("inf")))
         known = nodes.select("node", "dims", "code").join(graph.select("node", full.alias("limit")), "node")

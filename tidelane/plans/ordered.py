@@ -179,27 +179,93 @@ def resolve_overlaps(spark, sf):
     return segments.resolve_overlaps(base.run_segments(spark, sf), KEY).select("user_id", "class_idx", "start_ms", "end_ms", base.six("confidence").alias("confidence"))
 
 
-@query()
+def _viterbi_sql(matrix, logs: str, eps: float, clip: bool) -> str:
+    """CTEs down to ``vit``: user_id, i, event_id, p5 and path, a row of the recursion at a time."""
+    moves = decode.fixed_logs(matrix, eps, clip).tolist()
+    step = f"list_transform([1, 2, 3, 4, 5], lambda k: s[k] + ({moves})[k][j])"
+    return f"""x AS (SELECT user_id, event_id, i, n, p5, list_transform(p5, lambda v: CAST(floor(ln({logs}) * 4294967296 + 0.5) AS BIGINT)) AS lp FROM sc),
+f AS (SELECT user_id, i, n, lp AS s, CAST([] AS BIGINT[]) AS b FROM x WHERE i = 0
+ UNION ALL SELECT x.user_id, x.i, x.n, list_transform([1, 2, 3, 4, 5], lambda j: list_max({step}) + lp[j]), list_transform([1, 2, 3, 4, 5], lambda j: list_position({step}, list_max({step})) - 1)
+ FROM f JOIN x ON x.user_id = f.user_id AND x.i = f.i + 1),
+g AS (SELECT user_id, i, list_position(s, list_max(s)) - 1 AS path, b FROM f WHERE i = n - 1 UNION ALL SELECT f.user_id, f.i, g.b[g.path + 1], f.b FROM g JOIN f ON f.user_id = g.user_id AND f.i = g.i - 1),
+vit AS (SELECT x.user_id, x.i, x.event_id, p5, CAST(path AS INTEGER) AS path FROM g JOIN x ON x.user_id = g.user_id AND x.i = g.i)"""
+
+
+def _repair_sql(of: str, name: str, least: int) -> str:
+    mean = lambda label: f"round(q[{label} + 1] / n, 9)"
+    return f"""{name}c AS (SELECT *, CASE WHEN path = lag(path) OVER (PARTITION BY user_id ORDER BY i) THEN 0 ELSE 1 END AS c FROM {of}), {name}r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY i) AS run FROM {name}c),
+{name}g AS (SELECT user_id, run, any_value(path) AS path, count(*) AS n, [{', '.join(f'sum(p5[{k}])' for k in range(1, 6))}] AS q FROM {name}r GROUP BY user_id, run),
+{name}w AS (SELECT *, lag(path) OVER w AS a, lead(path) OVER w AS z FROM {name}g WINDOW w AS (PARTITION BY user_id ORDER BY run)),
+{name}n AS (SELECT user_id, run, CASE WHEN n >= {least} OR (a IS NULL AND z IS NULL) THEN path WHEN a IS NULL THEN z WHEN z IS NULL OR a = z THEN a WHEN {mean('a')} >= {mean('z')} THEN a ELSE z END AS path FROM {name}w),
+{name} AS (SELECT r.user_id, r.i, r.event_id, r.p5, k.path FROM {name}r r JOIN {name}n k ON r.user_id = k.user_id AND r.run = k.run)"""
+
+
+@query(f"WITH RECURSIVE {_SCALES}, {_viterbi_sql(decode.transitions(5), 'v + 1e-10', 1e-10, False)} SELECT user_id, event_id, path FROM vit")
 def viterbi_path(spark, sf):
     p = posteriors(spark, sf).select("user_id", "event_id", "t_ms", "p5")
     return decode.with_path(p, KEY, ORDER, "p5", matrix=decode.transitions(5)).select("user_id", "event_id", "path")
 
 
-@query()
+@query(f"WITH RECURSIVE {_SCALES}, {_viterbi_sql(decode.uniform_transitions(5, 0.9), 'greatest(1e-12, least(1, v))', 1e-12, True)}, {_repair_sql('vit', 'ra', 3)}, {_repair_sql('ra', 'rb', 3)} SELECT user_id, event_id, path FROM rb")
 def trl_viterbi_path(spark, sf):
     p = posteriors(spark, sf).select("user_id", "event_id", "t_ms", "p5")
     return decode.with_path(p, KEY, ORDER, "p5", matrix=decode.uniform_transitions(5, 0.9), eps=1e-12, clip=True, least_run=3).select("user_id", "event_id", "path")
 
 
-@query()
+def _lowpass_sql(least_rows: int) -> str:
+    """The filter's recurrence a value at a time, forwards over the padded values and back again."""
+    b, a, zi = (x.tolist() for x in decode.butterworth())
+    start = lambda v: "[" + ", ".join(f"{z!r}::DOUBLE * {v}" for z in zi) + "]"
+    y = f"({b[0]!r}::DOUBLE * w[t + 1] + z[1])"
+    step = "[" + ", ".join((f"z[{k + 1}] + " if k < 4 else "") + f"{b[k]!r}::DOUBLE * w[t + 1] - ({a[k]!r}::DOUBLE) * {y}" for k in range(1, 5)) + "]"
+    once = lambda name, of: f"""{name} AS (SELECT user_id, w, 0 AS t, {start('w[1]')} AS z, CAST([] AS DOUBLE[]) AS o FROM {of}
+ UNION ALL SELECT user_id, w, t + 1, {step}, list_append(o, {y}) FROM {name} WHERE t < len(w))"""
+    return f"""WITH RECURSIVE {base.IX}, l AS (SELECT user_id, list(value ORDER BY i) AS v, count(*) AS n FROM ix GROUP BY user_id HAVING count(*) > {least_rows}),
+e AS (SELECT user_id, list_concat(list_transform(generate_series(16, 2, -1), lambda k: 2 * v[1] - v[k]), list_concat(v, list_transform(generate_series(1, 15), lambda k: 2 * v[n] - v[n - k]))) AS w FROM l),
+{once('fw', 'e')}, h AS (SELECT user_id, list_reverse(o) AS w FROM fw WHERE t = len(w)), {once('bw', 'h')}, r AS (SELECT user_id, list_reverse(o) AS o FROM bw WHERE t = len(w))
+SELECT ix.user_id, event_id, round(CASE WHEN o IS NULL THEN value ELSE o[i + 16] END, 6) AS filtered FROM ix LEFT JOIN r ON ix.user_id = r.user_id"""
+
+
+@query(_lowpass_sql(50))
 def lowpass_filtfilt(spark, sf):
     ev = base.events(spark, sf).select("user_id", "event_id", "t_ms", "value")
     return decode.lowpass(ev, KEY, ORDER, ["value"], least_rows=50).select("user_id", "event_id", F.round("value", 6).alias("filtered"))
 
 
-@query()
+_PULL = "CASE WHEN state < 3 THEN value / 10000 ELSE value / 100 END"
+
+
+@query(f"""WITH RECURSIVE {base.IX}, a AS (SELECT user_id, event_id, i, t_ms, {_PULL} + sin(radians(state * 0.01::DOUBLE)) AS ax, value / 5000 - sin(radians(value / 100)) * cos(radians(state * 0.01::DOUBLE)) AS ay FROM ix),
+r AS (SELECT user_id, CAST(-1 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS last, 0.0::DOUBLE AS s1, 0.0::DOUBLE AS s2, 0 AS q, 0.0::DOUBLE AS v1, 0.0::DOUBLE AS v2, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y FROM (SELECT DISTINCT user_id FROM ix)
+ UNION ALL SELECT user_id, i, t_ms, p1, p2, k, w1, w2, x + w1 * dt, y + w2 * dt FROM (
+  SELECT *, CASE WHEN k >= 3 THEN 0 ELSE v1 + p1 * 9.80665::DOUBLE * dt END AS w1, CASE WHEN k >= 3 THEN 0 ELSE v2 + p2 * 9.80665::DOUBLE * dt END AS w2 FROM (
+   SELECT *, CASE WHEN greatest(abs(p1), abs(p2)) < 0.06::DOUBLE THEN q + 1 ELSE 0 END AS k FROM (
+    SELECT a.user_id, a.i, a.t_ms, 0.8::DOUBLE * ax + 0.2::DOUBLE * s1 AS p1, 0.8::DOUBLE * ay + 0.2::DOUBLE * s2 AS p2, q, v1, v2, x, y, CASE WHEN last IS NULL THEN 0 ELSE least(greatest(t_ms - last, 5), 100) / 1000.0::DOUBLE END AS dt
+    FROM r JOIN a ON a.user_id = r.user_id AND a.i = r.i + 1))))
+SELECT a.user_id, a.event_id, round(x, 6) AS x, round(y, 6) AS y FROM r JOIN a ON a.user_id = r.user_id AND a.i = r.i""")
+def dead_reckoning(spark, sf):
+    """Events as samples: values as pulls (small ones, still frames, for the first three states), states as pitch."""
+    pull = F.when(F.col("state") < 3, F.col("value") / 10000).otherwise(F.col("value") / 100)
+    ev = base.events(spark, sf).select("user_id", "event_id", "t_ms", pull.alias("ax"), (F.col("value") / 5000).alias("ay"), (F.col("state") * 0.01).alias("pitch"), (F.col("value") / 100).alias("roll"))
+    return decode.dead_reckoning(ev, KEY, ORDER, alpha=0.8, still=0.06, still_frames=3).select("user_id", "event_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(f"""WITH RECURSIVE {_SCALES}, q AS (SELECT *, list_position(p5, list_max(p5)) - 1 AS path FROM sc), c AS (SELECT *, CASE WHEN path = lag(path) OVER (PARTITION BY user_id ORDER BY i) THEN 0 ELSE 1 END AS c FROM q),
+d AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY i) AS run FROM c),
+s AS (SELECT user_id, any_value(path) AS class_idx, min(t_ms) - 21600000 AS a, max(t_ms) + 21600000 AS z, min(i) AS ia, max(i) + 1 AS iz, avg(list_max(p5)) AS p FROM d GROUP BY user_id, run HAVING any_value(path) > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY a, ia) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM s),
+t AS (SELECT *, CASE WHEN n > 2 AND lead(a) OVER w - z <= 86400000 THEN lead(k) OVER w END AS nx FROM o WINDOW w AS (PARTITION BY user_id, class_idx ORDER BY a, ia)),
+r AS (SELECT user_id, k, k AS head, nx FROM t WHERE k = 1 UNION ALL SELECT t.user_id, t.k, CASE WHEN r.nx IS NULL THEN t.k ELSE r.head END, t.nx FROM r JOIN t ON t.user_id = r.user_id AND t.k = coalesce(r.nx, r.k + 1)),
+g AS (SELECT r.user_id, head, count(*) AS n, min_by(class_idx, t.k) AS class_idx, min_by(a, t.k) AS a, max_by(z, t.k) AS z, min_by(ia, t.k) AS ia, max_by(iz, t.k) AS iz, min_by(p, t.k) AS p FROM r JOIN t ON t.user_id = r.user_id AND t.k = r.k GROUP BY r.user_id, head),
+m AS (SELECT g.user_id, g.head, avg(p5[class_idx + 1]) AS c FROM g JOIN q ON q.user_id = g.user_id AND q.i >= g.ia AND q.i < g.iz GROUP BY g.user_id, g.head)
+SELECT g.user_id, class_idx, a AS start_ms, z AS end_ms, CAST(ia AS BIGINT) AS start_idx, CAST(iz AS BIGINT) AS end_idx, round(CASE WHEN n > 1 THEN c ELSE p END, 6) AS confidence FROM g JOIN m ON m.user_id = g.user_id AND m.head = g.head""")
 def merge_interrupted(spark, sf):
-    return decode.merge_interrupted(base.run_segments(spark, sf), KEY, 86_400_000.0).select("user_id", "class_idx", "start_ms", "end_ms", base.six("confidence").alias("confidence"))
+    """Runs of the likeliest state, merged across interruptions, with the mean probability over all that lies between."""
+    p = posteriors(spark, sf).withColumn("path", fusion.argmax(F.col("p5"))).withColumn("prob", F.array_max("p5"))
+    found = segments.from_states(p, KEY, ORDER, "path", "prob", "t_ms", base.PAD_MS).withColumn("end_idx", F.col("end_idx") + 1)
+    steps = p.select(KEY, sequence.place(KEY, ORDER).cast("long").alias("_i"), "p5")
+    merged = decode.merge_interrupted(found, KEY, 86_400_000, steps, "p5")
+    return merged.select("user_id", "class_idx", "start_ms", "end_ms", "start_idx", "end_idx", F.round("confidence", 6).alias("confidence"))
 
 
 @query("WITH r AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, event_id FROM r WHERE k <= 10")

@@ -1,14 +1,14 @@
-"""What the corpus operators share: the cluster's common folder, written intermediates, Arrow batches."""
+"""What the corpus operators share: written intermediates (see ``tidelane.storage``), Arrow batches."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelane.shipping import ship
+from tidelane.storage import materialize, new_folder, shared_dir  # noqa: F401
 
 #: Rows and bytes of an Arrow batch at most. Texts may be long, and a batch is what a Python worker holds at once.
 ARROW_ROWS, ARROW_BYTES = 500, 4_000_000
@@ -17,30 +17,6 @@ ARROW_ROWS, ARROW_BYTES = 500, 4_000_000
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a master on one machine gets one of its
-    own where that is unset."""
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not base:
-        if not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(f"/tmp/tidelane-{context.applicationId}")
-        base = context._jsc.sc().getCheckpointDir().get()
-    return str(base).rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidelane/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def prepare(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Lower (never raise) the rows and bytes of an Arrow batch, so that a batch of long texts fits a worker, and let
     workers import this package (see ``tidelane.shipping``).

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -200,6 +200,21 @@ def with_path(df: DataFrame, key: str, order: list[str], probs: str, *, matrix:
     return repaired(out, key, order, name, probs, len(matrix), least_run) if least_run > 1 else out
 
 
+def repaired_runs(runs: DataFrame, key: str, states: int, least: Column, passes: int = 2, more: dict[str, Column] | None = None) -> DataFrame:
+    """Of a table of runs (key, _run, _label, _n rows, _sums of probabilities) those after ``repaired``; ``more`` says how
+    other columns of joined runs come together."""
+    w = Window.partitionBy(key).orderBy("_run")
+    for _ in range(passes):
+        before, after = F.lag("_label").over(w), F.lead("_label").over(w)
+        mean = lambda label: F.round(F.get("_sums", label) / F.col("_n"), 9)
+        given = F.when(before.isNull(), after).when(after.isNull() | (before == after), before).when(mean(before) >= mean(after), before).otherwise(after)
+        runs = runs.withColumn("_given", given).withColumn("_label", F.when((F.col("_n") < least) & F.col("_given").isNotNull(), F.col("_given")).otherwise(F.col("_label"))).drop("_given")
+        joined = sequence.runs(runs, key, ["_run"], "_label").groupBy(key, F.col("run_id").alias("_group"))
+        total = F.array(*[F.sum(F.get("_sums", F.lit(k))) for k in range(states)])
+        runs = joined.agg(F.first("_label").alias("_label"), F.sum("_n").alias("_n"), total.alias("_sums"), *[v.alias(n) for n, v in (more or {}).items()]).withColumnRenamed("_group", "_run")
+    return runs
+
+
 def repaired(df: DataFrame, key: str, order: list[str], state: str, probs: str, states: int, least: int, passes: int = 2) -> DataFrame:
     """``state`` with runs shorter than ``least`` given to their neighbours, twice: to the one that both agree on, else to
     the one of higher mean probability over the run (to nine digits; the earlier one if equal). A lone run stays.
@@ -209,55 +224,50 @@ def repaired(df: DataFrame, key: str, order: list[str], state: str, probs: str,
     rows = sequence.runs(df, key, order, state).withColumnRenamed("run_id", "_run")
     sums = F.array(*[F.sum(F.element_at(probs, k + 1).cast("double")) for k in range(states)])
     runs = rows.groupBy(key, "_run").agg(F.first(state).alias("_label"), F.count(F.lit(1)).alias("_n"), sums.alias("_sums"))
-    runs = runs.withColumn("_runs", F.array("_run"))
-    w = Window.partitionBy(key).orderBy("_run")
-    for _ in range(passes):
-        before, after = F.lag("_label").over(w), F.lead("_label").over(w)
-        mean = lambda label: F.round(F.get("_sums", label) / F.col("_n"), 9)
-        given = F.when(before.isNull(), after).when(after.isNull() | (before == after), before).when(mean(before) >= mean(after), before).otherwise(after)
-        runs = runs.withColumn("_given", given).withColumn("_label", F.when((F.col("_n") < least) & F.col("_given").isNotNull(), F.col("_given")).otherwise(F.col("_label"))).drop("_given")
-        joined = sequence.runs(runs, key, ["_run"], "_label").groupBy(key, F.col("run_id").alias("_group"))
-        total = [F.sum(F.get("_sums", F.lit(k))) for k in range(states)]
-        runs = joined.agg(F.first("_label").alias("_label"), F.sum("_n").alias("_n"), F.array(*total).alias("_sums"), F.flatten(F.collect_list("_runs")).alias("_runs")).withColumnRenamed("_group", "_run")
+    runs = repaired_runs(runs.withColumn("_runs", F.array("_run")), key, states, F.lit(least), passes, {"_runs": F.flatten(F.collect_list("_runs"))})
     named = runs.select(F.col(key).alias("_key"), F.explode("_runs").alias("_was"), "_label")
     out = rows.join(named, rows[key].eqNullSafe(named["_key"]) & (rows["_run"] == named["_was"]))
     return out.select(*[F.col("_label").cast(dict(df.dtypes)[state]).alias(c) if c == state else F.col(c) for c in df.columns])
 
 
-def merge_interrupted(segments: DataFrame, key: str, gap: float, steps: DataFrame, probs: str, *, label: str = "class_idx", start: str = "start_ms", end: str = "end_ms") -> DataFrame:
-    """From each segment on, the next of its class that starts within ``gap`` of its end swallows what is between, and so on
-    from that one; the confidence becomes the mean probability over [start_idx, end_idx). Keys of up to two segments stay.
-
-    ``segments`` has start_idx and end_idx (places in the key, the end excluded) besides its label, start, end and
-    confidence, and rising starts within a key; ``steps`` has ``_i``, the place, and ``probs``. Which segment a segment goes
-    on to depends on the two alone, so a window finds it; who is reached is read off in order, a row at a time. Means are
-    differences of running sums of whole numbers.
-    """
+def chained(segments: DataFrame, key: str, gap: Column, label: str, start: str, end: str) -> DataFrame:
+    """``segments`` with ``chunk``, the place in the key from 1, and ``_head``, that of the segment which swallows it (or is
+    it); see ``merge_interrupted``."""
     shipping.ship(segments.sparkSession)
     along, same = Window.partitionBy(key).orderBy(start, "start_idx"), Window.partitionBy(key, label).orderBy(start, "start_idx")
     placed = segments.withColumn("chunk", F.row_number().over(along).cast("long")).withColumn("first", F.col("chunk") == 1)
     near = F.lead(start).over(same) - F.col(end) <= gap
     over_two = (F.col("chunk") > 2) | F.when(F.col("first"), F.lead("chunk", 2).over(along).isNotNull()).otherwise(F.lead("chunk").over(along).isNotNull())
-    placed = placed.withColumn("to", F.when(near & over_two & F.lit(gap > 0), F.lead("chunk").over(same)))
-    kind = dict(placed.dtypes)
-    ordered = placed.select(key, "chunk", "first", "to").repartition(key).sortWithinPartitions(key, "chunk")
+    placed = placed.withColumn("to", F.when(near & over_two & (gap > 0), F.lead("chunk").over(same)))
+    ordered = placed.select("chunk", "first", "to", *[c for c in placed.columns if c not in ("chunk", "first", "to")]).repartition(key).sortWithinPartitions(key, "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = due = 0
         linked = False
         for batch in batches:
             heads = []
-            for at, first, to in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for at, first, to in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if first:
                     head, due, linked = 0, 1, False
                 if at == due:
                     head = head if linked else at
                     due, linked = (to, True) if to is not None else (at + 1, False)
                 heads.append(head)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(heads, pa.int64())], names=["_key", "_at", "_head"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.int64())], names=[*batch.schema.names, "_head"])
+
+    return ordered.mapInArrow(run, T.StructType([*ordered.schema.fields, T.StructField("_head", T.LongType())])).drop("first", "to")
+
 
-    heads = ordered.mapInArrow(run, f"_key {kind[key]}, _at long, _head long")
-    joined = placed.join(heads, placed[key].eqNullSafe(F.col("_key")) & (F.col("chunk") == F.col("_at")))
+def merge_interrupted(segments: DataFrame, key: str, gap: float, steps: DataFrame, probs: str, *, label: str = "class_idx", start: str = "start_ms", end: str = "end_ms") -> DataFrame:
+    """From each segment on, the next of its class that starts within ``gap`` of its end swallows what is between, and so on
+    from that one; the confidence becomes the mean probability over [start_idx, end_idx). Keys of up to two segments stay.
+
+    ``segments`` has start_idx and end_idx (places in the key, the end excluded) besides its label, start, end and
+    confidence, and rising starts within a key; ``steps`` has ``_i``, the place, and ``probs``. Which segment a segment goes
+    on to depends on the two alone, so a window finds it; who is reached is read off in order, a row at a time. Means are
+    differences of running sums of whole numbers.
+    """
+    joined = chained(segments, key, F.lit(gap), label, start, end)
     last = lambda c: F.max_by(c, "chunk").alias(c)
     first = lambda c: F.min_by(c, "chunk").alias(c)
     # A head's group ends with the last that it reached; what it swallowed lies before that.

@@ -1,10 +1,11 @@
-"""Post-processing by policy, and sweeps over policies on one cached table of probabilities."""
+"""Post-processing by policy, and sweeps over policies, which are rows of one plan."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelane import storage
 from tidelane.config import FULL, Policy
 from tidelane.operators import decode, evaluate, fusion, intervals, segments, sequence
 
@@ -48,7 +49,9 @@ def refine(found: DataFrame, signal: DataFrame, key: str, *, reach_ms: int = 15_
     """
     energy = signal.withColumn("_e", F.sqrt(sum((F.col(c).cast("double") ** 2 for c in ("ax", "ay", "az")), F.lit(0.0))))
     energy = energy.withColumn("_e", sequence.moving_average("_e", key, ["t_ms", "seq"], smooth)).select(key, "t_ms", "seq", "_e")
-    sides = found.withColumn("_sid", F.struct("start_ms", "end_ms", "class_idx")).select(key, "_sid", F.explode(F.array(F.struct(F.lit("s").alias("side"), F.col("start_ms").alias("center")), F.struct(F.lit("e").alias("side"), F.col("end_ms").alias("center")))).alias("_x")).select(key, "_sid", "_x.*")
+    rest = [c for c in found.columns if c not in (key, "start_ms", "end_ms", "duration_sec")]
+    sid = F.struct("start_ms", "end_ms", *rest)
+    sides = found.withColumn("_sid", sid).select(key, "_sid", F.explode(F.array(F.struct(F.lit("s").alias("side"), F.col("start_ms").alias("center")), F.struct(F.lit("e").alias("side"), F.col("end_ms").alias("center")))).alias("_x")).select(key, "_sid", "_x.*")
     near = intervals.band(energy, sides, key, "t_ms", "center", reach_ms)
     near = near.withColumn("_slice", F.struct(key, "_sid", "side"))
     near = near.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_slice"))).where(F.col("_n") > least)
@@ -56,24 +59,72 @@ def refine(found: DataFrame, signal: DataFrame, key: str, *, reach_ms: int = 15_
     best = near.groupBy(key, "_sid", "side", "center").agg(F.max_by("t_ms", F.struct(F.abs("_g"), -F.col("seq"))).alias("up"), F.min_by("t_ms", F.struct("_g", "seq")).alias("down"))
     best = best.withColumn("at", F.when(F.col("side") == "s", F.col("up")).otherwise(F.col("down"))).where(F.abs(F.col("at") - F.col("center")) < reach_ms)
     wide = best.groupBy(key, "_sid").agg(F.max(F.when(F.col("side") == "s", F.col("at"))).alias("_s"), F.max(F.when(F.col("side") == "e", F.col("at"))).alias("_t"))
-    out = found.withColumn("_sid", F.struct("start_ms", "end_ms", "class_idx")).join(wide, [key, "_sid"], "left")
+    out = found.withColumn("_sid", sid).join(wide, [key, "_sid"], "left")
     start, end = F.coalesce("_s", "start_ms"), F.coalesce("_t", "end_ms")
     out = out.withColumn("_a", F.when(start < end, start).otherwise(F.col("start_ms"))).withColumn("_b", F.when(start < end, end).otherwise(F.col("end_ms")))
-    return out.select(key, "class_idx", F.col("_a").alias("start_ms"), F.col("_b").alias("end_ms"), "confidence", ((F.col("_b") - F.col("_a")) / 1000.0).alias("duration_sec"))
+    return out.select(key, *rest, F.col("_a").alias("start_ms"), F.col("_b").alias("end_ms"), ((F.col("_b") - F.col("_a")) / 1000.0).alias("duration_sec"))
+
+
+def post_process_all(steps: DataFrame, key: str, order: list[str], classes: int, policies: list[Policy], *, signal: DataFrame | None = None, pad_ms: int = 1500) -> DataFrame:
+    """The segments of ``post_process`` under each of ``policies``, with ``ord``, the policy's place in the list.
+
+    One plan: a column for each pair of smoothing widths, all transition settings of a pair decoded at once, and from the
+    runs on policies are rows, grouped by (ord, key), whose parameters are columns.
+    """
+    pairs = list(dict.fromkeys((p.smooth, p.median) for p in policies))
+    moves = list(dict.fromkeys((p.self_stay, p.enter, p.leave, p.cross) for p in policies if p.viterbi))
+    df = steps.withColumns({f"_p{i}": F.element_at("probs", i + 1) for i in range(classes)})
+    made = []
+    for n, (smooth, median) in enumerate(pairs):
+        names = [f"_s{n}_{i}" for i in range(classes)]
+        df = df.withColumns({c: sequence.moving_average(f"_p{i}", key, order, smooth) if smooth > 1 else F.col(f"_p{i}") for i, c in enumerate(names)})
+        if median > 1:
+            df = df.withColumns({c: sequence.median_filter(c, key, order, median) for c in names})
+        made.append(F.struct(F.lit(n).alias("pair"), F.array(*names).alias("smoothed")))
+    df = df.withColumn("_i", sequence.place(key, order)).select(key, "_i", "t_ms", F.explode(F.array(*made)).alias("_x")).select(F.struct(F.col("_x.pair"), F.col(key).alias("key")).alias("_unit"), "_i", "t_ms", "_x.smoothed")
+    if moves:
+        df = decode.with_paths(df, "_unit", ["_i"], "smoothed", [decode.transitions(classes, *m) for m in moves])
+    else:
+        df = df.withColumn("paths", F.array().cast("array<int>"))
+    # Policies that share a path share its runs: one row for each path, then one for each policy of it.
+    ways = list(dict.fromkeys((pairs.index((p.smooth, p.median)), moves.index((p.self_stay, p.enter, p.leave, p.cross)) if p.viterbi else -1) for p in policies))
+    paths = F.concat(F.array(fusion.argmax(F.col("smoothed"))), "paths")
+    some = F.array(*[F.struct(F.lit(n).alias("way"), F.lit(pair).alias("pair"), F.get("_all", F.lit(move + 1)).alias("path")) for n, (pair, move) in enumerate(ways)])
+    df = df.withColumn("_all", paths).withColumn("_w", F.explode(F.filter(some, lambda w: w["pair"] == F.col("_unit.pair"))))
+    df = df.select(F.struct(F.col("_w.way"), F.col("_unit.key").alias("key")).alias("_unit"), "_i", "t_ms", F.col("_w.path").alias("path"), F.get("smoothed", F.col("_w.path")).alias("prob"))
+    found = segments.from_states(df, "_unit", ["_i"], "path", "prob", "t_ms", pad_ms).select("_unit", "class_idx", "start_ms", "end_ms", "confidence", "duration_sec")
+    rows = [F.struct(F.lit(n).alias("ord"), F.lit(ways.index((pairs.index((p.smooth, p.median)), moves.index((p.self_stay, p.enter, p.leave, p.cross)) if p.viterbi else -1))).alias("way"), F.lit(float(p.merge_gap)).alias("gap"), F.lit(p.refine and signal is not None).alias("refine"), F.lit(p.resolve).alias("resolve"), F.lit(float(p.min_duration)).alias("least"), F.lit(p.top_k).alias("top_k"), F.lit(float(p.min_confidence)).alias("sure")) for n, p in enumerate(policies)]
+    found = found.withColumn("_c", F.explode(F.filter(F.array(*rows), lambda c: c["way"] == F.col("_unit.way"))))
+    unit = F.struct("_c.ord", F.col("_unit.key").alias("key"), "_c.gap", "_c.refine", "_c.resolve", "_c.least", "_c.top_k", "_c.sure")
+    found = found.withColumn("_unit", unit).drop("_c")
+    only = lambda name, f: f(found.where(name)).unionByName(found.where(~name).select("_unit", "class_idx", "start_ms", "end_ms", "confidence", "duration_sec"))
+    if any(p.merge_gap > 0 for p in policies):
+        found = only(F.col("_unit.gap") > 0, lambda df: segments.merge_same_class(df, "_unit", F.col("_unit.gap") * 1000).drop("n_merged"))
+    if signal is not None and any(p.refine for p in policies):
+        moved = refine(found.where("_unit.refine").withColumn(key, F.col("_unit.key")), signal, key).drop(key)
+        found = moved.unionByName(found.where("NOT _unit.refine"))
+    if any(p.resolve for p in policies):
+        found = only(F.col("_unit.resolve"), lambda df: segments.resolve_overlaps(df, "_unit"))
+    found = found.where((F.col("_unit.least") <= 0) | (F.col("duration_sec") >= F.col("_unit.least")))
+    if any(p.top_k > 0 for p in policies):
+        found = only(F.col("_unit.top_k") > 0, lambda df: segments.top_k_diverse(df, "_unit", F.col("_unit.top_k")))
+    found = found.where((F.col("_unit.sure") <= 0) | (F.col("confidence") >= F.col("_unit.sure")))
+    return found.select("_unit.ord", F.col("_unit.key").alias(key), "class_idx", "start_ms", "end_ms", "confidence", "duration_sec")
 
 
 def sweep(steps: DataFrame, gold: DataFrame, key: str, order: list[str], classes: int, policies: list[Policy], **options) -> DataFrame:
-    """Mean user F1 and micro F1 of each policy; the probabilities are cached once and every policy reads them."""
-    steps = steps.persist()
-    out = None
-    for i, policy in enumerate(policies):
-        pred = post_process(steps, key, order, classes, policy, **options)
-        pred = pred.withColumn("pred_id", F.row_number().over(Window.partitionBy(key).orderBy("start_ms", "class_idx")).cast("long"))
-        users = evaluate.per_user(pred, gold, evaluate.matches(pred, gold, key), key)
-        micro = evaluate.ratio(2 * F.sum("tp"), 2 * F.sum("tp") + F.sum("fp") + F.sum("fn"))
-        row = users.agg(F.lit(i).alias("ord"), F.lit(policy.name).alias("policy"), F.avg("f1").alias("mean_f1"), micro.alias("micro_f1"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Mean user F1 and micro F1 of each policy, all of them in one plan."""
+    pred = storage.materialize(post_process_all(steps, key, order, classes, policies, **options), "sweep")
+    number = F.row_number().over(Window.partitionBy("ord", key).orderBy("start_ms", "class_idx")).cast("long")
+    pred = pred.withColumn("pred_id", F.struct("ord", number.alias("n")))
+    pairs = intervals.candidates(pred, gold, [key, "class_idx"]).withColumn("_unit", F.struct(F.col("pred_id.ord").alias("ord"), F.col(key).alias("key")))
+    hits = intervals.greedy_match(pairs, "_unit").groupBy("_unit.ord", F.col("_unit.key").alias(key)).agg(F.count(F.lit(1)).alias("tp"))
+    made = pred.groupBy("ord", key).agg(F.count(F.lit(1)).alias("n_pred"))
+    names = F.explode(F.array(*[F.struct(F.lit(n).alias("ord"), F.lit(p.name).alias("policy")) for n, p in enumerate(policies)])).alias("_p")
+    spine = gold.groupBy(key).agg(F.count(F.lit(1)).alias("n_gold")).select(key, "n_gold", names).select(key, "n_gold", "_p.*")
+    users = spine.join(made, ["ord", key], "left").join(hits, ["ord", key], "left").na.fill(0, ["n_pred", "tp"])
+    f1 = evaluate.ratio(2 * F.col("tp"), F.col("n_pred") + F.col("n_gold"))
+    return users.groupBy("ord", "policy").agg(F.avg(f1).alias("mean_f1"), evaluate.ratio(2 * F.sum("tp"), F.sum("n_pred") + F.sum("n_gold")).alias("micro_f1"))
 
 
 def best_policy(scores: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelane import shipping
+from tidelane import config, shipping
 from tidelane.functions import scalars
-from tidelane.operators import clean, evaluate, features, fusion, intervals, sequence
-from tidelane.plans import base, ordered
+from tidelane.operators import clean, evaluate, features, fusion, intervals, segments, sequence
+from tidelane.plans import base, ordered, pipeline, settings
 from tidelane.plans.base import KEY, ORDER
 from tidelane.sources import readers
 
@@ -37,13 +37,6 @@ def best_settings(scores: DataFrame, most: int) -> DataFrame:
     return scores.orderBy(F.desc("f1"), F.desc(F.coalesce("miou", F.lit(-1.0))), "records", "setting").limit(most)
 
 
-def two_stage(evaluate_: Callable[[DataFrame], DataFrame], first: DataFrame, more: DataFrame, most: int = 40) -> DataFrame:
-    """Scores of all first-stage settings, then of the ``most`` best of them with each of the ``more`` settings."""
-    one = evaluate_(first)
-    kept = best_settings(one, most).select("setting")
-    return one.withColumn("stage", F.lit(1)).unionByName(evaluate_(first.join(kept, "setting", "left_semi").drop("gap", "least").crossJoin(F.broadcast(more))).withColumn("stage", F.lit(2)))  # a few settings
-
-
 def recommended(scores: DataFrame) -> DataFrame:
     """The policy with the highest mean, then the lowest deviation, then the first in order of preference (``rank``)."""
     return scores.agg(F.max_by("policy", F.struct("mean", -F.col("std"), -F.col("rank"))).alias("policy"))
@@ -340,6 +333,40 @@ def two_stage_grid(spark, sf):
     return one.withColumn("stage", F.lit(1)).unionByName(scored(wide).withColumn("stage", F.lit(2)))
 
 
+def _recordings(spark, sf):
+    """Each user's events as a recording: steps with times from its start and a column a class, true records, length."""
+    p = ordered.posteriors(spark, sf)
+    starts = p.groupBy("user_id").agg(F.min("t_ms").alias("_t0"), F.max("t_ms").alias("_t1"))
+    steps = p.join(starts, "user_id").select("user_id", (F.col("t_ms") - F.col("_t0")).alias("t_ms"), "event_id", "state", *[F.element_at("p3", k + 1).alias(f"c{k}") for k in range(5)])
+    spans = starts.select("user_id", (F.col("_t1") - F.col("_t0")).alias("span_ms"))
+    true = segments.midpoint_runs(steps.join(spans, "user_id").withColumn("sure", F.lit(1.0)), KEY, ORDER, "state", "sure", "t_ms", "span_ms")
+    gold = true.select("user_id", F.col("run_id").alias("gold_id"), F.col("state").alias("class_idx"), F.col("start").alias("start_ms"), F.col("end").alias("end_ms"))
+    return steps, gold, spans
+
+
+HOUR = 3_600_000
+
+
+@query()
+def two_stage_full_grid(spark, sf):
+    """288 sequence settings, then the 40 best of them with 96 record settings each; all settings are rows."""
+    steps, gold, spans = _recordings(spark, sf)
+    out = settings.two_stage(steps, gold, spans, KEY, ORDER, "t_ms", [f"c{k}" for k in range(5)], "state", gaps=(0, 6 * HOUR, 24 * HOUR, 72 * HOUR), lengths=(0, HOUR, 6 * HOUR, 24 * HOUR), ignored=(4,))
+    return out.withColumns({c: r6(c) for c in ("f1", "miou", "records_per_hour", "accuracy")})
+
+
+@query()
+def policy_sweep(spark, sf):
+    """Mean and micro F1 of policies over events, all in one plan: presets, and FULL with one parameter changed at a time."""
+    p = ordered.posteriors(spark, sf)
+    gold = sequence.runs(p, KEY, ORDER, "state").groupBy(KEY, F.col("run_id").alias("gold_id")).agg(F.first("state").alias("class_idx"), (F.min("t_ms") - HOUR).alias("start_ms"), (F.max("t_ms") + HOUR).alias("end_ms")).where("class_idx > 0")
+    full = config.FULL.derive("full", merge_gap=3600.0, min_duration=3600.0, top_k=0, min_confidence=0.3, smooth=3, median=3)
+    changes = {"smooth": (0, 5), "median": (0, 5), "self_stay": (0.5, 0.9), "merge_gap": (0.0, 86_400.0), "min_duration": (0.0, 14_400.0), "top_k": (3, 10), "min_confidence": (0.0, 0.6)}
+    policies = [config.RAW, full, *[full.derive(f"{k}={v}", **{k: v}) for k, values in changes.items() for v in values]]
+    out = pipeline.sweep(p.select(KEY, "t_ms", "event_id", F.col("p3").alias("probs")), gold, KEY, ORDER, 5, policies, pad_ms=HOUR)
+    return out.select("ord", "policy", r6("mean_f1").alias("mean_f1"), r6("micro_f1").alias("micro_f1"))
+
+
 @query(f"""WITH {base.USERF}, s AS (SELECT 'all' AS policy, 1 AS rank, avg(f1) AS mean, stddev_pop(f1) AS std FROM uf UNION ALL SELECT 'twin', 2, avg(f1), stddev_pop(f1) FROM uf UNION ALL SELECT 'half', 0, avg(f1 / 2), stddev_pop(f1 / 2) FROM uf) SELECT policy FROM s ORDER BY mean DESC, std, rank LIMIT 1""")
 def recommended_policy(spark, sf):
     gold, pred = base.gold_and_pred(spark, sf)

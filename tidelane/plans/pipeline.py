@@ -116,8 +116,8 @@ def sweep(steps: DataFrame, gold: DataFrame, key: str, order: list[str], classes
     """Mean user F1 and micro F1 of each policy, all of them in one plan."""
     pred = storage.materialize(post_process_all(steps, key, order, classes, policies, **options), "sweep")
     number = F.row_number().over(Window.partitionBy("ord", key).orderBy("start_ms", "class_idx")).cast("long")
-    pred = pred.withColumn("pred_id", F.struct("ord", number.alias("n")))
-    pairs = intervals.candidates(pred, gold, [key, "class_idx"]).withColumn("_unit", F.struct(F.col("pred_id.ord").alias("ord"), F.col(key).alias("key")))
+    pred = pred.withColumn("pred_id", F.shiftleft(F.col("ord").cast("long"), 32) + number)
+    pairs = intervals.candidates(pred, gold, [key, "class_idx"]).withColumn("_unit", F.struct(F.shiftright("pred_id", 32).cast("int").alias("ord"), F.col(key).alias("key")))
     hits = intervals.greedy_match(pairs, "_unit").groupBy("_unit.ord", F.col("_unit.key").alias(key)).agg(F.count(F.lit(1)).alias("tp"))
     made = pred.groupBy("ord", key).agg(F.count(F.lit(1)).alias("n_pred"))
     names = F.explode(F.array(*[F.struct(F.lit(n).alias("ord"), F.lit(p.name).alias("policy")) for n, p in enumerate(policies)])).alias("_p")

@@ -10,7 +10,6 @@ from tidelane.config import FULL, RAW, split_path
 from tidelane.operators import clean, decode, features, fusion, intervals, segments, sequence, stats
 from tidelane.plans import pipeline
 from tidelane.sources import readers, writers
-from tidelane.streaming import live
 
 
 def series(spark, xs):
@@ -172,17 +171,6 @@ def test_line_records(spark):
     assert [(r.activity, r.label, r.t_s) for r in readers.line_records(lines).orderBy("line_no").collect()] == [("Walk", 1, 0.0), ("Jog", 0, 0.05)]
 
 
-def test_live_sessions(spark, tmp_path):
-    rows = [("d", i * 10, [0.1, 0.9] if 100 <= i < 300 else [0.95, 0.05], False) for i in range(400)]
-    spark.createDataFrame(rows, "device string, t_ms long, probs array<double>, reset boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("device string, t_ms long, probs array<double>, reset boolean").parquet(str(tmp_path / "in"))
-    q = live.sessions(stream, classes=2).writeStream.format("memory").queryName("live").outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).start()
-    q.processAllAvailable()
-    q.stop()
-    out = live.current(spark.table("live")).first()
-    assert out.class_idx == 1 and out.warm_up == 0.5 and live.latest(spark.table("live")).count() == 1
-
-
 def test_bootstrap_query_draws_all_resamples(spark):
     from tests.conftest import SMALL
     from tidelane.operators import evaluate

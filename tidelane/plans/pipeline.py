@@ -10,11 +10,8 @@ from tidelane.config import FULL, Policy
 from tidelane.operators import decode, evaluate, fusion, intervals, segments, sequence
 
 
-def post_process(steps: DataFrame, key: str, order: list[str], classes: int, policy: Policy = FULL, *, signal: DataFrame | None = None, pad_ms: int = 1500) -> DataFrame:
-    """Segments of a table of steps (key, t_ms, probs), by a policy; each of its parts can be off.
-
-    smooth -> median -> decode -> runs -> merge -> refine -> resolve -> least duration -> top-k -> least confidence.
-    """
+def decoded(steps: DataFrame, key: str, order: list[str], classes: int, policy: Policy = FULL) -> DataFrame:
+    """``steps`` with ``smoothed`` probabilities, the ``path`` and ``prob``, the path's smoothed probability."""
     names = [f"_p{i}" for i in range(classes)]
     df = steps.withColumns({n: F.element_at("probs", i + 1) for i, n in enumerate(names)})
     if policy.smooth > 1:
@@ -27,7 +24,15 @@ def post_process(steps: DataFrame, key: str, order: list[str], classes: int, pol
         df = decode.with_path(df, key, order, "smoothed", matrix=matrix)
     else:
         df = df.withColumn("path", fusion.argmax(F.col("smoothed")))
-    df = df.withColumn("prob", F.element_at("smoothed", F.col("path") + 1))
+    return df.withColumn("prob", F.element_at("smoothed", F.col("path") + 1))
+
+
+def post_process(steps: DataFrame, key: str, order: list[str], classes: int, policy: Policy = FULL, *, signal: DataFrame | None = None, pad_ms: int = 1500) -> DataFrame:
+    """Segments of a table of steps (key, t_ms, probs), by a policy; each of its parts can be off.
+
+    smooth -> median -> decode -> runs -> merge -> refine -> resolve -> least duration -> top-k -> least confidence.
+    """
+    df = decoded(steps, key, order, classes, policy)
     out = segments.from_states(df, key, order, "path", "prob", "t_ms", pad_ms).select(key, "class_idx", "start_ms", "end_ms", "confidence", "duration_sec")
     if policy.merge_gap > 0:
         out = segments.merge_same_class(out, key, policy.merge_gap * 1000).drop("n_merged")

@@ -448,6 +448,11 @@ class WordBpe:
 _LOADED: dict[str, WordBpe] = {}
 
 
+def unload() -> None:
+    """Forget this process's encoders: workers live on, and the next task may need the room for something else."""
+    _LOADED.clear()
+
+
 def load(path: str) -> WordBpe:
     """This process's encoder for a vocabulary file."""
     if path not in _LOADED:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.llm import shared
+from tidelane.llm import bpe, shared
 
 #: Texts and bytes of text in a chunk, on average at most.
 CHUNK_ROWS, CHUNK_BYTES = 512, 2_000_000
@@ -285,6 +285,7 @@ def deduplicate(docs: DataFrame, method: Method, finish: Callable, schema: str,
     texts = docs.withColumn("chunk", where).repartition(partitions, "chunk")
 
     def opened(table: pa.Table) -> Chunk:
+        bpe.unload()  # of a packing before, in the same worker
         return Chunk(method, table["doc_id"].to_pylist(), table["text"].cast(pa.large_binary()).to_pylist())
 
     def send_anchors(key, table):
@@ -295,6 +296,7 @@ def deduplicate(docs: DataFrame, method: Method, finish: Callable, schema: str,
         return pa.table({"bucket": pa.array(b, pa.int64()), "chunk": pa.array([key[0].as_py()] * len(b), pa.int64()), "anchors": pa.array(a, pa.binary()), "several": pa.array(s, pa.binary())})
 
     def answer_anchors(key, table):
+        bpe.unload()
         blobs = [np.frombuffer(x, np.uint64) for x in table["anchors"].to_pylist()]
         own = [np.unpackbits(np.frombuffer(s, np.uint8), count=len(b)) for s, b in zip(table["several"].to_pylist(), blobs, strict=True)]
         everything = np.sort(np.concatenate(blobs))
@@ -337,6 +339,7 @@ def deduplicate(docs: DataFrame, method: Method, finish: Callable, schema: str,
         return pa.table({"chunk": pa.array([key[0].as_py()] * len(arrays["bucket"]), pa.int64()), **arrays})
 
     def answer_stretches(key, table):
+        bpe.unload()
         read = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
         groups, docs_, runs = read("groups", np.uint64), read("docs", np.int64), read("runs", np.int32)
         group, doc, run = np.concatenate(groups), np.concatenate(docs_), np.concatenate(runs).astype(np.int64)

@@ -44,7 +44,7 @@ CHUNK_ROWS, CHUNK_BYTES = 512, 2_000_000
 CHUNKS_A_PARTITION, MOST_PARTITIONS = 8, 20_000
 LEAST_BUCKETS = 24
 #: Documents (or as many times their usual size in bytes) for which there is a bucket; chunks from which on an anchor is hot.
-BUCKET_ROWS, USUAL_BYTES = 8000, 4000
+BUCKET_ROWS, USUAL_BYTES = 4000, 4000
 HOT_CHUNKS = 500
 #: Units that a bucket sorts at once (whole groups; one that has more is sorted by itself), and windows hashed at once.
 SORT_UNITS, BLOCK = 400_000, 1 << 19
@@ -343,7 +343,9 @@ def deduplicate(docs: DataFrame, method: Method, finish: Callable, schema: str,
         read = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
         groups, docs_, runs = read("groups", np.uint64), read("docs", np.int64), read("runs", np.int32)
         group, doc, run = np.concatenate(groups), np.concatenate(docs_), np.concatenate(runs).astype(np.int64)
-        data = b"".join([zlib.decompress(x) for x in table["data"].to_pylist()])
+        data = bytearray()
+        for x in table["data"]:
+            data += zlib.decompress(x.as_buffer())
         units = word_codes(data)[0] if method.words else np.frombuffer(data, np.uint8)
         removed = removed_windows(method, group, doc, run, units)
         cuts = np.cumsum([0, *(int(r.sum()) for r in runs)])

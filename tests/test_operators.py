@@ -1,5 +1,8 @@
 """Hand-derived vectors and properties of the operators."""
 
+import hashlib
+import itertools
+import math
 import random
 
 import numpy as np
@@ -171,17 +174,39 @@ def test_line_records(spark):
     assert [(r.activity, r.label, r.t_s) for r in readers.line_records(lines).orderBy("line_no").collect()] == [("Walk", 1, 0.0), ("Jog", 0, 0.05)]
 
 
-def test_bootstrap_query_draws_all_resamples(spark):
-    from tests.conftest import SMALL
-    from tidelane.operators import evaluate
-    from tidelane.plans import base, tabular
-
-    gold, pred = base.gold_and_pred(spark, SMALL)
-    per_user = evaluate.per_user(pred, gold, evaluate.matches(pred, gold, base.KEY), base.KEY)
-    x = np.sort([r[0] for r in per_user.select("f1").where("f1 IS NOT NULL").collect()])
-    means = [x[np.random.default_rng([42, i]).integers(0, len(x), len(x))].mean() for i in range(10_000)]
-    got = tabular.bootstrap_ci(spark, SMALL).first()
-    assert (got["low"], got["high"]) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])), abs=1e-12)
+def test_bootstrap_weighs_rows_by_key(spark):
+    x = {f"k{i}": i % 7 / 7 for i in range(60)}
+    df = spark.createDataFrame(list(x.items()), "k string, f1 double").repartition(3)
+    limits = stats.poisson_limits()
+    means = []
+    for b in range(300):
+        w = {k: sum(int(hashlib.md5(f"42:{b}:{k}".encode()).hexdigest()[:8], 16) >= t for t in limits) for k in x}
+        means.append(sum(w[k] * x[k] for k in x) / sum(w.values()))
+    got = stats.bootstrap_ci(df, "f1", "k", resamples=300).first()
+    assert (got["mean"], got["low"], got["high"]) == pytest.approx((np.mean(list(x.values())), *np.percentile(means, [2.5, 97.5])), abs=1e-8)
+    assert abs(np.std(means) - np.std(list(x.values())) / 60**0.5) < 0.01
+    assert stats.bootstrap_ci(df.limit(0), "f1", "k", resamples=10).count() == 0
+
+
+def test_p_values(spark):
+    rng = np.random.default_rng(0)
+    for n in (1, 6, 12):
+        d = np.round(rng.normal(0.3, 1, n), 6)
+        ranks = np.argsort(np.argsort(np.abs(d))) + 1
+        w = int(ranks[d > 0].sum())
+        tail = np.mean([sum(r for r, s in zip(ranks, signs, strict=True) if s) >= w for signs in itertools.product((0, 1), repeat=n)])
+        row = stats.paired_effect(spark.createDataFrame([(float(v), 0.0) for v in d], "a double, b double"), "a", "b").first()
+        assert row.w_plus == w and row.p_value == pytest.approx(tail, abs=1e-12)
+    many = spark.createDataFrame([(float(i % 5 - 1), 0.0) for i in range(80)], "a double, b double")  # zeros and ties
+    row = stats.paired_effect(many, "a", "b").first()
+    k, ties = 64, (32**3 - 32) + 2 * (16**3 - 16)
+    z = (row.w_plus - k * (k + 1) / 4) / math.sqrt(k * (k + 1) * (2 * k + 1) / 24 - ties / 48)
+    assert row.p_value == pytest.approx(math.erfc(z / math.sqrt(2)) / 2, abs=1e-12)
+    for z in (-9.0, -1.5, 0.0, 2.5, 6.0):
+        assert spark.range(1).select(stats.normal_tail(F.lit(z)).alias("p")).first().p == pytest.approx(math.erfc(max(z, -8) / math.sqrt(2)) / 2, abs=1e-13)
+    got = spark.range(1).select(stats.kolmogorov_p(F.lit(0.3), F.lit(40.0), F.lit(60.0)).alias("p")).first().p
+    t = 0.3 * math.sqrt(24)
+    assert got == pytest.approx(2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * t * t) for k in range(1, 101)), abs=1e-12)
 
 
 def test_align_linear_over_whole_inputs(spark):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelane.operators import sequence
@@ -47,44 +48,90 @@ def js_distance(df: DataFrame, side: str, category: str) -> DataFrame:
 
 
 def ks_statistic(df: DataFrame, side: str, x: str) -> DataFrame:
-    """Largest distance of the two empirical distributions."""
+    """Largest distance of the two empirical distributions, and its asymptotic p-value."""
     counts = df.groupBy(x).agg(*[F.sum((F.col(side) == s).cast("double")).alias(s) for s in ("a", "b")])
     whole = counts.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     up = sequence.running_totals(counts, x, ["a", "b"]).join(F.broadcast(whole))  # one row
     gap = F.abs((F.col("a_below") + F.col("a")) / F.col("na") - (F.col("b_below") + F.col("b")) / F.col("nb"))
-    return up.select(gap.alias("gap")).agg(F.max("gap").alias("ks"))
+    return up.select(gap.alias("gap"), "na", "nb").agg(F.max("gap").alias("ks"), F.first("na").alias("na"), F.first("nb").alias("nb")).select("ks", kolmogorov_p(F.col("ks"), F.col("na"), F.col("nb")).alias("p_value"))
+
+
+def kolmogorov_p(statistic: Column, n: Column, m: Column, terms: int = 100) -> Column:
+    """Asymptotic two-sided p-value of a Kolmogorov-Smirnov statistic: the alternating series, between 0 and 1."""
+    t2 = statistic * statistic * n * m / (n + m)
+    odd = lambda k: F.when(k % 2 == 1, 1.0).otherwise(-1.0)
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda a, k: a + odd(k) * F.exp(-2.0 * k * k * t2))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * total))
+
+
+#: Pairs up to which signed ranks are tested by their exact null distribution, if none are tied or zero.
+EXACT_PAIRS = 50
+
 
+def normal_tail(z: Column, terms: int = 200) -> Column:
+    """Probability of a standard normal value over ``z``: the odd series about 0; beyond 8 on either side as at 8."""
+    x = F.greatest(F.lit(-8.0), F.least(F.lit(8.0), z))
+    step = lambda a, k: F.struct((a["term"] * x * x / (2 * k + 1)).alias("term"), (a["sum"] + a["term"] * x * x / (2 * k + 1)).alias("sum"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.struct(x.alias("term"), x.alias("sum")), step)["sum"]
+    return F.greatest(F.lit(0.0), 0.5 - series * F.exp(-x * x / 2) / F.sqrt(F.lit(2 * np.pi)))
 
-def ks_p_value(statistic: float, n: int, m: int) -> float:
-    """Asymptotic two-sided p-value."""
-    t = statistic * np.sqrt(n * m / (n + m))
-    k = np.arange(1, 101)
-    return float(np.clip(2 * np.sum((-1.0) ** (k - 1) * np.exp(-2 * k * k * t * t)), 0, 1))
+
+def signed_rank_tail(n: Column, w: Column) -> Column:
+    """Probability that signed ranks 1 to ``n`` sum to ``w`` or more: subsets by sum, one rank after another."""
+    sums = F.sequence(F.lit(0), F.lit(EXACT_PAIRS * (EXACT_PAIRS + 1) // 2))
+    start = F.transform(sums, lambda s: F.when(s == 0, 1.0).otherwise(0.0))
+    ways = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), start, lambda a, k: F.transform(a, lambda v, s: v + F.when(s >= k, F.get(a, s - k)).otherwise(0.0)))
+    return F.aggregate(F.transform(ways, lambda v, s: F.when(s >= w, v).otherwise(0.0)), F.lit(0.0), lambda a, v: a + v) / F.pow(F.lit(2.0), n)
 
 
 def paired_effect(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Cohen's d of the paired difference (0 without spread) and Wilcoxon's W+ (zeros left out, average ranks)."""
+    """Cohen's d of the paired difference (0 without spread), Wilcoxon's W+ (zeros left out, average ranks) and the one-sided
+    p-value that a is over b: exact up to 50 pairs without ties or zeros, else normal with ties corrected."""
     diff = df.select((F.col(a) - F.col(b)).alias("d"))
     whole = diff.agg(F.count("d").alias("n"), F.avg("d").alias("mean_diff"), F.coalesce(F.stddev_samp("d"), F.lit(0.0)).alias("sd"))
     by = diff.where("d <> 0").groupBy(F.abs("d").alias("m")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("d") > 0).cast("long")).alias("up"))
     rank = F.col("n_below") + (F.col("n") + 1) / 2.0
-    plus = sequence.running_totals(by, "m", ["n"]).select((rank * F.col("up")).alias("r")).agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("w_plus"))
+    ranked = sequence.running_totals(by, "m", ["n"]).select((rank * F.col("up")).alias("r"), "n", (F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("t"))
+    plus = ranked.agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum("n"), F.lit(0)).alias("k"), F.coalesce(F.sum("t"), F.lit(0.0)).alias("ties"))
     d = F.when(F.col("sd") < 1e-12, 0.0).otherwise(F.col("mean_diff") / F.col("sd"))
-    return whole.join(F.broadcast(plus)).select("n", "mean_diff", d.alias("cohen_d"), "w_plus")
-
-
-def bootstrap_ci(df: DataFrame, x: str, *, resamples: int = 10_000, seed: int = 42) -> DataFrame:
-    """2.5 and 97.5 percentiles of resampled means: resamples are dealt to tasks, each holds the values (one per user)."""
-    values = np.array([r[0] for r in df.select(x).where(F.col(x).isNotNull()).orderBy(x).collect()])
-    if not len(values):
-        return df.sparkSession.createDataFrame([], "mean double, low double, high double")
-
-    def run(frames):
-        for frame in frames:
-            yield pd.DataFrame({"m": [values[np.random.default_rng([seed, int(i)]).integers(0, len(values), len(values))].mean() for i in frame["id"]]})
-
-    means = df.sparkSession.range(resamples).mapInPandas(run, "m double")
-    return means.agg(F.lit(float(values.mean())).alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    k, w = F.col("k").cast("double"), F.col("w_plus")
+    spread = F.sqrt(k * (k + 1) * (2 * k + 1) / 24 - F.col("ties") / 48)
+    near = normal_tail(F.coalesce(F.try_divide(w - k * (k + 1) / 4, spread), F.lit(0.0)))
+    exact = (F.col("k") <= EXACT_PAIRS) & (F.col("ties") == 0) & (F.col("k") == F.col("n"))
+    p = F.when(F.col("k") == 0, 1.0).when(exact, signed_rank_tail(F.col("k"), w)).otherwise(near)
+    return whole.join(F.broadcast(plus)).select("n", "mean_diff", d.alias("cohen_d"), "w_plus", p.alias("p_value"))  # one row each
+
+
+#: Whole values in these parts keep sums of resamples exact.
+PARTS = 1_000_000_000
+
+
+def poisson_limits() -> list[int]:
+    """Of 2^32 equally likely numbers, how many lie below each count of a Poisson variable of mean 1."""
+    out, term, total = [], math.exp(-1), 0.0
+    for k in range(13):
+        total += term
+        term /= k + 1
+        out.append(min(1 << 32, int(total * (1 << 32))))
+    return out
+
+
+def bootstrap_ci(df: DataFrame, x: str, key: str, *, resamples: int = 10_000, seed: int = 42) -> DataFrame:
+    """mean and the 2.5 and 97.5 percentiles of resampled means, in one plan.
+
+    A row's weight in a resample is a Poisson count of mean 1, drawn by the digest of (seed, resample, key): rows need
+    neither be numbered nor brought together. Sums are of whole parts and aggregate before they are shuffled; what is
+    gathered are the resamples' means. An empty table gives no row.
+    """
+    rows = df.where(F.col(x).isNotNull()).select(F.col(key).cast("string").alias("_key"), F.floor(F.col(x) * PARTS + 0.5).cast("long").alias("_x"))
+    each = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "_b", "_key")), 1, 8), 16, 10).cast("long")
+    weight = sum(((F.col("_u") >= t).cast("long") for t in poisson_limits()), F.lit(0))
+    drawn = each.withColumn("_u", draw).withColumn("_w", weight).where("_w > 0")
+    means = drawn.groupBy("_b").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w") / PARTS).alias("m"))
+    whole = rows.agg((F.sum("_x") / F.count("_x") / PARTS).alias("mean")).where(F.col("mean").isNotNull())
+    ends = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    return whole.join(F.broadcast(ends))  # one row each
 
 
 def variance_ratio(df: DataFrame, group: str, x: str) -> DataFrame:

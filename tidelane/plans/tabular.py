@@ -144,24 +144,35 @@ def cohort_shift_js(spark, sf):
 
 
 @query(f"""WITH {base.EV}, c AS (SELECT floor(value) AS v, sum(CASE WHEN user_id % 2 = 0 THEN 1.0 ELSE 0 END) AS a, sum(CASE WHEN user_id % 2 <> 0 THEN 1.0 ELSE 0 END) AS b FROM ev GROUP BY 1),
-g AS (SELECT abs(sum(a) OVER (ORDER BY v) / sum(a) OVER () - sum(b) OVER (ORDER BY v) / sum(b) OVER ()) AS gap FROM c) SELECT round(max(gap), 6) AS ks FROM g""")
+g AS (SELECT abs(sum(a) OVER (ORDER BY v) / sum(a) OVER () - sum(b) OVER (ORDER BY v) / sum(b) OVER ()) AS gap, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM c),
+k AS (SELECT max(gap) AS d, any_value(na) AS na, any_value(nb) AS nb FROM g) SELECT round(d, 6) AS ks, round(least(1, greatest(0, 2 * list_sum(list_transform(generate_series(1, 100), lambda i: (CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0::DOUBLE * i * i * d * d * na * nb / (na + nb)))))), 6) AS p_value FROM k""")
 def cohort_shift_ks(spark, sf):
     ev = base.events(spark, sf).withColumn("side", F.when(F.col("user_id") % 2 == 0, "a").otherwise("b")).withColumn("v", F.floor("value"))
-    return stats.ks_statistic(ev, "side", "v").select(r6("ks").alias("ks"))
+    return stats.ks_statistic(ev, "side", "v").select(r6("ks").alias("ks"), r6("p_value").alias("p_value"))
 
 
 @query("""WITH u AS (SELECT user_id, avg(value) FILTER (WHERE event_type = 'view') AS a, avg(value) FILTER (WHERE event_type = 'click') AS b FROM events GROUP BY user_id), d AS (SELECT a - b AS d FROM u WHERE a IS NOT NULL AND b IS NOT NULL),
-r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS k FROM d WHERE d <> 0)
-SELECT (SELECT count(*) FROM d) AS n, round((SELECT avg(d) FROM d), 6) AS mean_diff, round((SELECT avg(d) / stddev_samp(d) FROM d), 6) AS cohen_d, CAST((SELECT sum(k) FROM r WHERE d > 0) AS DOUBLE) AS w_plus""")
+r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS k FROM d WHERE d <> 0),
+t AS (SELECT sum(CASE WHEN d > 0 THEN k ELSE 0 END) AS w, CAST(count(*) AS DOUBLE) AS n FROM r), g AS (SELECT coalesce(sum(c * c * c - c), 0) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS c FROM r GROUP BY abs(d))),
+z AS (SELECT greatest(-8, least(8, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48))) AS z FROM t, g),
+y AS (SELECT list_reduce(list_transform(generate_series(0, 200), lambda k: {'k': k, 't': z, 's': z}), lambda a, b: {'k': b.k, 't': a.t * b.t * b.t / (2 * b.k + 1), 's': a.s + a.t * b.t * b.t / (2 * b.k + 1)}).s AS s, z FROM z),
+e AS (SELECT list_reduce(list_prepend(list_transform(generate_series(0, 1275), lambda s: CASE WHEN s = 0 THEN 1.0::DOUBLE ELSE 0 END), list_transform(generate_series(1, CAST(least(n, 50) AS BIGINT)), lambda k: [CAST(k AS DOUBLE)])),
+ lambda a, k: list_transform(generate_series(1, 1276), lambda i: a[i] + CASE WHEN i > k[1] THEN a[CAST(i - k[1] AS BIGINT)] ELSE 0 END)) AS ways, w, n FROM t)
+SELECT (SELECT count(*) FROM d) AS n, round((SELECT avg(d) FROM d), 6) AS mean_diff, round((SELECT avg(d) / stddev_samp(d) FROM d), 6) AS cohen_d, CAST(w AS DOUBLE) AS w_plus,
+ round(CASE WHEN n <= 50 AND ties = 0 AND n = (SELECT count(*) FROM d) THEN list_sum(list_filter(ways, lambda v, s: s > w)) / pow(2, n) ELSE greatest(0, 0.5 - s * exp(-z * z / 2) / sqrt(2 * pi())) END, 6) AS p_value FROM e, y, g""")
 def paired_effect(spark, sf):
     u = base.events(spark, sf).groupBy("user_id").agg(F.avg(F.when(F.col("event_type") == "view", F.col("value"))).alias("a"), F.avg(F.when(F.col("event_type") == "click", F.col("value"))).alias("b"))
-    return stats.paired_effect(u.where("a IS NOT NULL AND b IS NOT NULL"), "a", "b").select("n", r6("mean_diff").alias("mean_diff"), r6("cohen_d").alias("cohen_d"), "w_plus")
+    out = stats.paired_effect(u.where("a IS NOT NULL AND b IS NOT NULL"), "a", "b")
+    return out.select("n", r6("mean_diff").alias("mean_diff"), r6("cohen_d").alias("cohen_d"), "w_plus", r6("p_value").alias("p_value"))
 
 
-@query()
+@query(f"""WITH {base.USERF}, b AS (SELECT b, user_id, CAST(floor(f1 * 1000000000 + 0.5) AS BIGINT) AS x, CAST('0x' || md5('42:' || b || ':' || user_id)[1:8] AS BIGINT) AS u FROM uf, (SELECT unnest(generate_series(0, 9999)) AS b)),
+w AS (SELECT b, x, {' + '.join(f'(u >= {t})::BIGINT' for t in stats.poisson_limits())} AS w FROM b), m AS (SELECT b, CAST(sum(w * x) AS BIGINT)::DOUBLE / CAST(sum(w) AS BIGINT) / 1000000000 AS m FROM w WHERE w > 0 GROUP BY b)
+SELECT round((SELECT CAST(sum(x) AS BIGINT)::DOUBLE / count(*) / 1000000000 FROM b WHERE b = 0), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
 def bootstrap_ci(spark, sf):
     gold, pred = base.gold_and_pred(spark, sf)
-    return stats.bootstrap_ci(evaluate.per_user(pred, gold, evaluate.matches(pred, gold, KEY), KEY), "f1")
+    out = stats.bootstrap_ci(evaluate.per_user(pred, gold, evaluate.matches(pred, gold, KEY), KEY), "f1", KEY)
+    return out.select(*[r6(c).alias(c) for c in out.columns])
 
 
 @query("SELECT round(sum(n * (mu - o) * (mu - o)) / sum(n * v), 6) AS ratio FROM (SELECT event_type, count(*) AS n, avg(value) AS mu, var_pop(value) AS v FROM events GROUP BY 1), (SELECT avg(value) AS o FROM events)")
@@ -169,12 +180,23 @@ def variance_ratio(spark, sf):
     return stats.variance_ratio(base.table(spark, sf, "events"), "event_type", "value").select(r6("ratio").alias("ratio"))
 
 
-@query(f"WITH {base.SEGD} SELECT u.user_id, count(start_ms) AS n, round(coalesce(sum(duration_sec), 0), 6) AS active_s, round(avg(confidence), 6) AS mean_conf, round(quantile_cont(confidence, 0.1), 6) AS p10, round(quantile_cont(confidence, 0.9), 6) AS p90, round(quantile_cont(duration_sec, 0.5), 6) AS median_dur FROM (SELECT DISTINCT user_id FROM ev) u LEFT JOIN segd s ON u.user_id = s.user_id GROUP BY 1")
+_MICRO = lambda q: f"floor({q} / 1000 + 0.5001::DOUBLE) / 1e6::DOUBLE"
+
+
+@query(f"""WITH {base.RUN}, s AS (SELECT user_id, max(t_ms) - min(t_ms) + 43200000 AS d, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) * 10000 // count(*) AS x FROM run GROUP BY user_id, run_id HAVING any_value(state) > 0)
+SELECT u.user_id, count(d) AS n, coalesce(CAST(sum(d) AS BIGINT), 0) / 1000.0::DOUBLE AS active_s, {_MICRO('CAST(CAST(sum(x) AS BIGINT) // count(x) AS DOUBLE)')} AS mean_conf, {_MICRO('quantile_cont(x, 0.1)')} AS p10, {_MICRO('quantile_cont(x, 0.9)')} AS p90,
+ quantile_cont(d, 0.5) / 1000 AS median_dur FROM (SELECT DISTINCT user_id FROM ev) u LEFT JOIN s ON u.user_id = s.user_id GROUP BY 1""")
 def user_summary(spark, sf):
-    s = base.run_segments(spark, sf)
+    """Segments of each user; confidences (mean value over 1000) in whole billionths, so that no sum depends on its order."""
+    run = sequence.runs(base.events(spark, sf), KEY, ORDER, "state").groupBy(KEY, "run_id").agg(
+        F.first("state").alias("state"), (F.max("t_ms") - F.min("t_ms") + 2 * base.PAD_MS).alias("d"), F.expr("sum(CAST(round(value * 100) AS BIGINT)) * 10000 div count(*)").alias("x")
+    ).where("state > 0")
     users = base.events(spark, sf).select("user_id").distinct()
-    out = users.join(s, "user_id", "left").groupBy("user_id").agg(F.count("start_ms").alias("n"), F.coalesce(F.sum("duration_sec"), F.lit(0.0)).alias("active_s"), F.avg("confidence").alias("mean_conf"), F.percentile("confidence", 0.1).alias("p10"), F.percentile("confidence", 0.9).alias("p90"), F.median("duration_sec").alias("median_dur"))
-    return out.select("user_id", "n", *[base.six(c).alias(c) for c in out.columns[2:]])
+    micro = lambda q: F.floor(q / 1000 + 0.5001) / 1e6
+    return users.join(run, "user_id", "left").groupBy("user_id").agg(
+        F.count("d").alias("n"), (F.coalesce(F.sum("d"), F.lit(0)) / 1000.0).alias("active_s"), micro(F.expr("sum(x) div count(x)").cast("double")).alias("mean_conf"),
+        micro(F.percentile("x", 0.1)).alias("p10"), micro(F.percentile("x", 0.9)).alias("p90"), (F.median("d") / 1000).alias("median_dur"),
+    )
 
 
 @query("SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'error') AS error, count(*) FILTER (WHERE event_type = 'purchase') AS purchase, count(*) FILTER (WHERE event_type = 'signup') AS signup, count(*) FILTER (WHERE event_type = 'view') AS view FROM events GROUP BY 1 ORDER BY count(*) DESC, user_id LIMIT 30")

@@ -108,6 +108,23 @@ def binary_frames(spark, sf):
     return readers.frames(df).select("event_id", F.col("accX").alias("acc_x"), F.col("gyroX").alias("gyro_x"))
 
 
+@query("SELECT event_id, CAST(CAST(floor(value * 100) AS BIGINT) % 65536 - CASE WHEN CAST(floor(value * 100) AS BIGINT) % 65536 >= 32768 THEN 65536 ELSE 0 END AS DOUBLE) / 32768 * 16 AS acc_x, (CAST(event_id AS BIGINT) % 30000) / 32768.0::DOUBLE * 2000 AS gyro_x FROM events")
+def notified_frames(spark, sf):
+    """The same frames, a user's bytes cut into notifications of seven bytes: hardly a frame lies whole in one."""
+    e = base.table(spark, sf, "events")
+    word = lambda c: F.concat(F.substring(F.lpad(F.hex(c), 4, "0"), 3, 2), F.substring(F.lpad(F.hex(c), 4, "0"), 1, 2))
+    body = F.concat(F.lit("00AA5561"), word(F.floor(F.col("value") * 100).cast("long") % 65536), F.lit("0" * 8), word(F.col("event_id").cast("long") % 30000), F.lit("0" * 20))
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    placed = e.select("user_id", "event_id", body.alias("b"), (F.row_number().over(w) - 1).alias("r"))
+    size = 22  # bytes of a frame with its two stray ones
+    bytes_ = placed.select("user_id", "event_id", "r", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.substring(F.col("b"), 2 * k + 1, F.lit(2)))).alias("k", "h"))
+    at = bytes_.withColumn("seq", F.floor((F.col("r") * size + F.col("k")) / 7))
+    notes = at.groupBy("user_id", "seq").agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "k", "h"))), lambda x: x["h"]), "")).alias("content"))
+    found = readers.notified_frames(notes, "user_id", ["seq"])
+    numbered = found.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("seq", "i")) - 1)
+    return numbered.join(placed.select("user_id", "r", "event_id"), ["user_id", "r"]).select("event_id", F.col("accX").alias("acc_x"), F.col("gyroX").alias("gyro_x"))
+
+
 @query(f"WITH {base.EV} SELECT user_id, event_id, CAST((row_number() OVER (PARTITION BY user_id ORDER BY t_ms, event_id) - 1) * 10 AS BIGINT) AS t_ms FROM ev")
 def synthetic_event_time(spark, sf):
     return base.events(spark, sf).select("user_id", "event_id", sequence.synthetic_time(KEY, ORDER).cast("long").alias("t_ms"))

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelane import shipping
 from tidelane.functions.scalars import stem
@@ -151,15 +155,53 @@ def body_columns(names: list[str]) -> list[int]:
     return [i for i, n in enumerate(names) if 2 <= i <= 134 and (n.startswith("Accelerometer") or ("InertialMeasurementUnit" in n and any(t in n for t in tokens)))]
 
 
-def frames(df: DataFrame, content: str = "content") -> DataFrame:
-    """Decodes 20-byte frames (0x55, kind, nine little-endian int16) out of binary, skipping what isn't one.
+#: The byte machine, a step a match: a frame; a sync byte with a wrong second one, which both go; any other byte.
+MACHINE = re.compile(rb"(\x55[\x61\x71\x54].{18})|\x55[^\x61\x71\x54]|[^\x55]", re.DOTALL)
 
-    Kind 61 has acceleration (g), turn rate and angle (degrees); kind 54 magnetism (raw). A wrong second byte goes
-    together with the sync byte before it.
-    """
-    hexed = F.hex(content)
-    found = F.regexp_extract_all(hexed, F.lit(r"\G(?:(?!55(?:61|71|54)..{34})..)*?(55(?:61|71|54).{36})"), F.lit(1))
-    out = df.select(*[c for c in df.columns if c != content], F.posexplode(found).alias("i", "frame"))
+
+def frames(df: DataFrame, content: str = "content") -> DataFrame:
+    """Decodes the 20-byte frames (0x55, kind, nine little-endian int16) of each binary value on its own, skipping what
+    isn't one. A wrong second byte goes together with the sync byte before it."""
+    found = F.regexp_extract_all(F.hex(content), F.lit(r"\G(?:(?!55)..|55(?!61|71|54)..)*(55(?:61|71|54).{36})"), F.lit(1))
+    return frame_values(df.select(*[c for c in df.columns if c != content], F.posexplode(found).alias("i", "frame")))
+
+
+def cut_frames(held: bytes, data: bytes) -> tuple[list[bytes], bytes]:
+    """Whole frames of ``held + data`` and what may yet become one, under 20 bytes."""
+    data, found, end = held + data, [], 0
+    while match := MACHINE.match(data, end):
+        end = match.end()
+        if match[1]:
+            found.append(match[1])
+    return found, data[end:]
+
+
+def notified_frames(df: DataFrame, key: str, order: list[str], content: str = "content") -> DataFrame:
+    """Frames of each ``key``'s notifications, read as one stream of bytes in order: a frame may begin in one notification
+    and end in a later one, whose row it then belongs to. What a key holds between rows is under 20 bytes."""
+    shipping.ship(df.sparkSession)
+    rows = df.select(key, *order, content).repartition(key).sortWithinPartitions(key, *order)
+    schema = T.StructType([*[f for f in rows.schema if f.name != content], T.StructField("i", T.IntegerType()), T.StructField("frame", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, b""
+        for batch in batches:
+            at, place, out = [], [], []
+            for n, (k, data) in enumerate(zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)):
+                if k != now:
+                    now, held = k, b""
+                found, held = cut_frames(held, data or b"")
+                at += [n] * len(found)
+                place += range(len(found))
+                out += [f.hex().upper() for f in found]
+            taken = batch.select(list(range(batch.num_columns - 1))).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(place, pa.int32()), pa.array(out, pa.string())], names=[f.name for f in schema])
+
+    return frame_values(rows.mapInArrow(run, schema))
+
+
+def frame_values(out: DataFrame) -> DataFrame:
+    """kind and values of ``frame`` (hexadecimal): 61 has acceleration (g), turn rate and angle (degrees), 54 magnetism (raw)."""
 
     def word(k: int):
         at = 5 + 4 * k

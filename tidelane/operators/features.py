@@ -114,6 +114,31 @@ def handcrafted(df: DataFrame, channels: list[str], rate: float = 100.0) -> Data
     return out.select(*df.columns, *columns, *[F.col(f"_f.{n}").alias(f"freq_{n}") for n in ("dominant", "power", "low", "mid", "high")])
 
 
+def unpivoted(df: DataFrame, keep: list[str], channels: list[str], norms: dict[str, tuple[str, str, str]] | None = None) -> DataFrame:
+    """keep, channel and x: a row for each channel of a row, the norms of three channels among them."""
+    norm = {n: F.sqrt(sum((F.col(c).cast("double") ** 2 for c in part[1:]), F.col(part[0]).cast("double") ** 2)) for n, part in (norms or {}).items()}
+    pairs = [F.struct(F.lit(n).alias("channel"), v.alias("x")) for n, v in ({c: F.col(c).cast("double") for c in channels} | norm).items()]
+    return df.select(*keep, F.explode(F.array(*pairs)).alias("_c")).select(*keep, "_c.*")
+
+
+def audit(df: DataFrame, group: str, channels: list[str], norms: dict[str, tuple[str, str, str]] | None = None) -> DataFrame:
+    """Of each channel: n, mean, std, min, max, p25, median, p75, the shares of zeros and of missing or non-finite values, and
+    the variance between the classes of ``group`` over that within them. All channels in one pass over unpivoted rows; the
+    ratio comes from sums by (channel, class), which are few."""
+    rows = unpivoted(df, [group], channels, norms)
+    fine = F.when(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf")), F.col("x"))
+    rows = rows.withColumn("_x", fine)
+    q = F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    figures = rows.groupBy("channel").agg(
+        F.count("_x").alias("n"), F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("std"), F.min("_x").alias("min"), F.max("_x").alias("max"), q.alias("q"),
+        F.avg((F.col("_x") == 0).cast("double")).alias("zeros"), F.avg(F.col("_x").isNull().cast("double")).alias("missing"),
+    )
+    by = rows.groupBy("channel", group).agg(F.count("_x").alias("k"), F.avg("_x").alias("mu"), F.var_pop("_x").alias("v"))
+    total = by.groupBy("channel").agg(F.sum(F.col("k") * F.col("mu") * F.col("mu")).alias("sq"), (F.sum(F.col("k") * F.col("mu")) / F.sum("k")).alias("o"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("v")).alias("within"))
+    ratio = F.coalesce(F.try_divide(F.col("sq") - F.col("k") * F.col("o") * F.col("o"), F.col("within")), F.lit(0.0))
+    return figures.join(total, "channel").select("channel", "n", "mean", "std", "min", "max", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p25", "median", "p75"))], "zeros", "missing", ratio.alias("ratio"))
+
+
 def rotate(x: Column, by: Column) -> Column:
     """The window turned by some places."""
     k = F.pmod(by, F.size(x)).cast("int")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelane import config, shipping
-from tidelane.functions import scalars
+from tidelane.functions import scalars, tables
 from tidelane.operators import clean, evaluate, features, fusion, intervals, segments, sequence
 from tidelane.plans import base, ordered, pipeline, settings
 from tidelane.plans.base import KEY, ORDER
@@ -350,6 +350,38 @@ def two_stage_grid(spark, sf):
     return one.withColumn("stage", F.lit(1)).unionByName(scored(wide).withColumn("stage", F.lit(2)))
 
 
+_DIMS = ", ".join(f"('c{k}', CAST(embedding[{k + 1}] AS DOUBLE))" for k in range(18))
+_NORMED = ", ".join(f"('{n}', sqrt({' + '.join(f'pow(CAST(embedding[{k}] AS DOUBLE), 2)' for k in at)}))" for n, at in (("acc", (1, 2, 3)), ("gyro", (4, 5, 6))))
+
+
+@query(f"""WITH u AS (SELECT label, t.c AS channel, t.x FROM embeddings, LATERAL (VALUES {_DIMS}, {_NORMED}) t(c, x)),
+b AS (SELECT channel, label, count(*) AS k, avg(x) AS mu, var_pop(x) AS v FROM u GROUP BY ALL), g AS (SELECT channel, sum(k * mu) / sum(k) AS o FROM b GROUP BY 1), r AS (SELECT channel, sum(k * (mu - o) * (mu - o)) / sum(k * v) AS ratio FROM b JOIN g USING (channel) GROUP BY 1)
+SELECT channel, count(x) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS min, round(max(x), 6) AS max, round(quantile_cont(x, 0.25), 6) AS p25, round(quantile_cont(x, 0.5), 6) AS median, round(quantile_cont(x, 0.75), 6) AS p75,
+ round(avg((x = 0)::DOUBLE), 6) AS zeros, 0.0::DOUBLE AS missing, round(any_value(ratio), 6) AS ratio FROM u JOIN r USING (channel) GROUP BY channel""")
+def channel_audit(spark, sf):
+    """Twenty channels: eighteen components of the vectors and the norms of the first two threes."""
+    e = base.table(spark, sf, "embeddings").select("label", *[F.get("embedding", F.lit(k)).cast("double").alias(f"c{k}") for k in range(18)])
+    out = features.audit(e, "label", [f"c{k}" for k in range(18)], {"acc": ("c0", "c1", "c2"), "gyro": ("c3", "c4", "c5")})
+    return out.select(*[c if c in ("channel", "n") else r6(c).alias(c) for c in out.columns])
+
+
+@query(f"WITH {base.RUN} SELECT user_id AS key, any_value(state) AS state, min(t_ms) AS first_ms, max(t_ms) AS last_ms, CAST(min(i) AS BIGINT) AS start_idx, CAST(max(i) AS BIGINT) AS end_idx, round(avg(value), 4) AS prob FROM run GROUP BY user_id, run_id")
+def runs_by_sql(spark, sf):
+    """Runs of states by the table function, called from SQL."""
+    tables.register(spark)
+    ev = base.events(spark, sf).select(F.col("user_id").cast("long").alias("user_id"), "t_ms", "event_id", "state", "value")
+    return spark.sql("SELECT key, state, first_ms, last_ms, start_idx, end_idx, round(prob, 4) AS prob FROM state_runs(TABLE(SELECT * FROM {ev}) PARTITION BY user_id ORDER BY (t_ms, event_id))", ev=ev)
+
+
+@query(f"WITH {base.PAIRS} SELECT user_id AS key, CAST(pred_id AS BIGINT) AS pred_id, CAST(gold_id AS BIGINT) AS gold_id FROM matched")
+def matches_by_sql(spark, sf):
+    """One-to-one matches by the table function, called from SQL."""
+    tables.register(spark)
+    gold, pred = base.gold_and_pred(spark, sf)
+    pairs = intervals.candidates(pred, gold, [KEY, "class_idx"]).select(F.col(KEY).cast("long").alias("user_id"), "pred_id", "gold_id", "iou")
+    return spark.sql("SELECT key, pred_id, gold_id FROM one_to_one(TABLE(SELECT * FROM {pairs}) PARTITION BY user_id ORDER BY (iou DESC, pred_id, gold_id))", pairs=pairs)
+
+
 def _recordings(spark, sf):
     """Each user's events as a recording: steps with times from its start and a column a class, true records, length."""
     p = ordered.posteriors(spark, sf)

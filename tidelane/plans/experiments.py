@@ -27,15 +27,34 @@ def query(sql: str | None = None):
 r6 = lambda c: F.round(c, 6)
 
 
-def split_selection(scores: DataFrame, splits: int, seed: int = 20260311) -> DataFrame:
-    """Per split: the policy that is best on one half of the users, and its mean F1 on the other half.
+def split_halves(scores: DataFrame, splits: int, seed: int = 20260311) -> DataFrame:
+    """split, policy and its mean F1 on either half of the users (tune_f1, outer_f1), in whole billionths over the count.
 
-    ``scores`` has user_id, policy, f1; a user's half in a split hashes (user, split).
+    ``scores`` has user_id, policy, f1; a user's half in a split is the first digit of the digest of (seed, split, user).
     """
-    numbered = scores.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    side = numbered.withColumn("tune", F.pmod(F.xxhash64("user_id", F.col("split") + F.lit(seed)), F.lit(2)) == 0)
-    means = side.groupBy("split", "policy").agg(F.avg(F.when(F.col("tune"), F.col("f1"))).alias("tune_f1"), F.avg(F.when(~F.col("tune"), F.col("f1"))).alias("outer_f1"))
-    return means.groupBy("split").agg(F.max_by(F.struct("policy", "outer_f1"), F.struct("tune_f1", "policy")).alias("c")).select("split", "c.*")
+    numbered = scores.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))).withColumn("x", F.floor(F.col("f1") * 1_000_000_000 + 0.5).cast("long"))
+    digit = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "split", F.col("user_id").cast("string"))), 1, 1), 16, 10).cast("int")
+    mean = lambda tune: (F.sum(F.when((digit % 2 == 0) == F.lit(tune), F.col("x"))) / F.count(F.when((digit % 2 == 0) == F.lit(tune), 1)) / 1e9)
+    return numbered.groupBy("split", "policy").agg(mean(True).alias("tune_f1"), mean(False).alias("outer_f1"))
+
+
+def split_selection(scores: DataFrame, splits: int, seed: int = 20260311) -> DataFrame:
+    """Per split: the policy that is best on one half of the users (the last by name of equals), and its mean F1 on either."""
+    best = split_halves(scores, splits, seed).groupBy("split").agg(F.max_by(F.struct("policy", "tune_f1", "outer_f1"), F.struct("tune_f1", "policy")).alias("c"))
+    return best.select("split", "c.*")
+
+
+def selection_frequency(selected: DataFrame) -> DataFrame:
+    """How often each policy was chosen, and the mean F1 on the halves that didn't choose it."""
+    total = selected.agg(F.count(F.lit(1)).alias("_t"))
+    by = selected.groupBy("policy").agg(F.count(F.lit(1)).alias("n"), F.avg("outer_f1").alias("outer_f1"))
+    return by.join(F.broadcast(total)).select("policy", "n", (F.col("n") / F.col("_t")).alias("share"), "outer_f1")  # one row
+
+
+def selection_against(scores: DataFrame, splits: int, reference: str, seed: int = 20260311) -> DataFrame:
+    """Paired test over the splits: the chosen policy's F1 on the outer half against that of a fixed one."""
+    fixed = split_halves(scores, splits, seed).where(F.col("policy") == reference).select("split", F.col("outer_f1").alias("fixed_f1"))
+    return stats.paired_effect(split_selection(scores, splits, seed).join(fixed, "split"), "outer_f1", "fixed_f1")
 
 
 def split_summary(df: DataFrame, by: str, x: str) -> DataFrame:
@@ -105,9 +124,44 @@ def policy_argmax(spark, sf):
     return m.agg(F.max_by("policy", "f").alias("policy"), r6(F.max("f")).alias("f1"))
 
 
-@query()
+_LENGTHS = {"all": 0, "day": 86_400_000, "hour": 3_600_000}
+_CHOSEN = f"""{base.PAIRS}, le AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {v})" for k, v in _LENGTHS.items())}) t(policy, least)),
+sp AS (SELECT user_id, policy, least, count(*) AS g FROM gold, le GROUP BY ALL), np AS (SELECT user_id, policy, count(*) AS p FROM pred, le WHERE end_ms - start_ms >= least GROUP BY ALL),
+tp AS (SELECT user_id, policy, count(*) AS t FROM matched, le WHERE p1 - p0 >= least GROUP BY ALL),
+ps AS (SELECT user_id, policy, 2.0::DOUBLE * coalesce(t, 0) / (g + coalesce(p, 0)) AS f1 FROM sp LEFT JOIN np USING (user_id, policy) LEFT JOIN tp USING (user_id, policy)),
+nu AS (SELECT split, policy, CAST(floor(f1 * 1000000000 + 0.5) AS BIGINT) AS x, CAST('0x' || md5('20260311:' || split || ':' || user_id)[1:1] AS INTEGER) % 2 = 0 AS tune FROM ps, (SELECT unnest(generate_series(0, 49)) AS split)),
+me AS (SELECT split, policy, CAST(sum(x) FILTER (WHERE tune) AS BIGINT)::DOUBLE / count(*) FILTER (WHERE tune) / 1e9::DOUBLE AS tune_f1, CAST(sum(x) FILTER (WHERE NOT tune) AS BIGINT)::DOUBLE / count(*) FILTER (WHERE NOT tune) / 1e9::DOUBLE AS outer_f1 FROM nu GROUP BY ALL),
+ch AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY tune_f1 DESC, policy DESC) AS r FROM me) WHERE r = 1)"""
+
+
+def _by_length(spark, sf):
+    """F1 of each user under three policies: predictions of any length, of an hour or more, of a day or more."""
+    from tidelane.operators import evaluate
+
+    gold, pred = base.gold_and_pred(spark, sf)
+    limits = F.explode(F.array(*[F.struct(F.lit(k).alias("policy"), F.lit(v).alias("least")) for k, v in _LENGTHS.items()])).alias("_l")
+    users = gold.groupBy(KEY).agg(F.count(F.lit(1)).alias("g")).select(KEY, "g", limits).select(KEY, "g", "_l.policy")
+    made = pred.select(KEY, (F.col("end_ms") - F.col("start_ms")).alias("d"), limits).where("d >= _l.least").groupBy(KEY, F.col("_l.policy")).agg(F.count(F.lit(1)).alias("p"))
+    hits = evaluate.matches(pred, gold, KEY).select(KEY, (F.col("p1") - F.col("p0")).alias("d"), limits).where("d >= _l.least").groupBy(KEY, F.col("_l.policy")).agg(F.count(F.lit(1)).alias("t"))
+    wide = users.join(made, [KEY, "policy"], "left").join(hits, [KEY, "policy"], "left").na.fill(0, ["p", "t"])
+    return wide.select("user_id", "policy", (2.0 * F.col("t") / (F.col("g") + F.col("p"))).alias("f1"))
+
+
+@query(f"WITH {_CHOSEN} SELECT CAST(split AS INTEGER) AS split, policy, round(tune_f1, 9) AS tune_f1, round(outer_f1, 9) AS outer_f1 FROM ch")
 def split_separated_selection(spark, sf):
-    return split_selection(_scores(spark, sf), 50)
+    s = split_selection(_by_length(spark, sf), 50)
+    return s.select("split", "policy", F.round("tune_f1", 9).alias("tune_f1"), F.round("outer_f1", 9).alias("outer_f1"))
+
+
+@query(f"WITH {_CHOSEN} SELECT policy, count(*) AS n, count(*) / 50.0::DOUBLE AS share, round(avg(outer_f1), 6) AS outer_f1 FROM ch GROUP BY policy")
+def selection_frequencies(spark, sf):
+    return selection_frequency(split_selection(_by_length(spark, sf), 50)).select("policy", "n", "share", r6("outer_f1").alias("outer_f1"))
+
+
+@query(f"WITH {_CHOSEN}, d AS (SELECT ch.outer_f1 - me.outer_f1 AS d FROM ch JOIN me ON ch.split = me.split AND me.policy = 'hour') SELECT count(*) AS n, round(avg(d), 6) AS mean_diff, round(CASE WHEN coalesce(stddev_samp(d), 0) < 1e-12 THEN 0 ELSE avg(d) / stddev_samp(d) END, 6) AS cohen_d FROM d")
+def selection_paired(spark, sf):
+    out = selection_against(_by_length(spark, sf), 50, "hour")
+    return out.select("n", r6("mean_diff").alias("mean_diff"), r6("cohen_d").alias("cohen_d"))
 
 
 @query("""WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings)

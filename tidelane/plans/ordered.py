@@ -134,6 +134,19 @@ SQL["fusion_local_boundary"] = f"""WITH {_SCALES}, {_CHANGED}, ch AS (SELECT *,
 mk AS (SELECT *, max(x) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS k FROM ch),
 sm AS (SELECT *, (coalesce(lag(k) OVER w, k) + k + coalesce(lead(k) OVER w, k)) / 3.0::DOUBLE AS m FROM mk WINDOW w AS (PARTITION BY user_id ORDER BY i))
 SELECT user_id, event_id, {_ONE} FROM (SELECT *, {_mix('0.20::DOUBLE + 0.30::DOUBLE * m', '0.35::DOUBLE - 0.08::DOUBLE * m', '0.45::DOUBLE - 0.22::DOUBLE * m')} AS f FROM sm)"""
+_TOP = lambda p, k: f"list_reverse_sort({p})[{k}]"
+_GAP = lambda p: f"({_TOP(p, 1)} - {_TOP(p, 2)})"
+_VOTES = """vo AS (SELECT *, list_position(p3, list_max(p3)) AS c3, list_position(p5, list_max(p5)) AS c5, list_position(p8, list_max(p8)) AS c8 FROM sc),
+di AS (SELECT *, CASE WHEN c3 = c5 AND c5 = c8 THEN 0 WHEN c3 = c5 OR c3 = c8 OR c5 = c8 THEN 1 - 2 / 3.0::DOUBLE ELSE 1 - 1 / 3.0::DOUBLE END AS split FROM vo)"""
+_AROUND = lambda of, x, reach: f"list_sum(list_transform(generate_series(-{reach}, {reach}), lambda d: {of}.{x}[CAST(greatest(0, least(n - 1, i + d)) AS BIGINT) + 1])) / {2 * reach + 1}"
+SQL["fusion_dynamic_boundary"] = f"""WITH {_SCALES}, {_VOTES}, la AS (SELECT *, lag(p3) OVER w AS q, coalesce(lag(c3) OVER w <> c3, false) OR coalesce(lead(c3) OVER w <> c3, false) AS turn FROM di WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+mo AS (SELECT *, CASE WHEN q IS NULL THEN 0.0::DOUBLE ELSE list_avg(list_transform(generate_series(1, 5), lambda k: abs(p3[k] - q[k]))) END AS v FROM la), ml AS (SELECT user_id, list(v ORDER BY i) AS vs FROM mo GROUP BY user_id),
+en AS (SELECT mo.*, {_AROUND('ml', 'vs', 2)} AS e FROM mo JOIN ml ON mo.user_id = ml.user_id),
+st AS (SELECT *, greatest(turn::DOUBLE, least(1, greatest(0, (0.18::DOUBLE - {_GAP('p3')}) / 0.18::DOUBLE)), least(1, greatest(0, e / 0.12::DOUBLE)), split) AS s FROM en)
+SELECT user_id, event_id, {_ONE} FROM (SELECT *, {_mix('greatest(0.05, 0.20::DOUBLE + 0.35::DOUBLE * s)', 'greatest(0.05, 0.35::DOUBLE + 0.05::DOUBLE * (1 - abs(2 * s - 1)))', 'greatest(0.05, 0.45::DOUBLE - 0.30::DOUBLE * s)').replace('lambda s:', 'lambda j:').replace('[s]', '[j]')} AS f FROM st)"""
+SQL["fusion_confident_conflict"] = f"""WITH {_SCALES}, {_VOTES}, ga AS (SELECT *, (split > 0 AND {_GAP('p3')} >= 0.12::DOUBLE AND {_GAP('p3')} - least({_GAP('p5')}, {_GAP('p8')}) >= 0.05::DOUBLE AND {_TOP('p3', 1)} - least({_TOP('p5', 1)}, {_TOP('p8', 1)}) >= 0.03::DOUBLE)::DOUBLE AS g FROM di),
+gl AS (SELECT user_id, list(g ORDER BY i) AS gs FROM ga GROUP BY user_id), st AS (SELECT ga.*, {_AROUND('gl', 'gs', 1)} AS m FROM ga JOIN gl ON ga.user_id = gl.user_id)
+SELECT user_id, event_id, {_ONE} FROM (SELECT *, {_mix('greatest(0.05, 0.20::DOUBLE + 0.28::DOUBLE * m)', 'greatest(0.05, 0.35::DOUBLE - 0.08::DOUBLE * m)', 'greatest(0.05, 0.45::DOUBLE - 0.20::DOUBLE * m)')} AS f FROM st)"""
 QUERIES["fusion_dynamic_boundary"] = lambda spark, sf: _fused(spark, sf, "dynamic_boundary")
 QUERIES["fusion_confident_conflict"] = lambda spark, sf: _fused(spark, sf, "confident_conflict")
 

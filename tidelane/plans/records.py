@@ -416,6 +416,20 @@ def policy_sweep(spark, sf):
     return out.select("ord", "policy", r6("mean_f1").alias("mean_f1"), r6("micro_f1").alias("micro_f1"))
 
 
+@query()
+def ablation_suites(spark, sf):
+    """Mean and micro F1 of every preset of the suites, in one plan, with the difference to the suite's full preset. A
+    user's events stand two minutes apart."""
+    p = ordered.posteriors(spark, sf).withColumn("t_ms", sequence.synthetic_time(KEY, ORDER, 120_000).cast("long"))
+    gold = sequence.runs(p, KEY, ORDER, "state").groupBy(KEY, F.col("run_id").alias("gold_id")).agg(F.first("state").alias("class_idx"), (F.min("t_ms") - 60_000).alias("start_ms"), (F.max("t_ms") + 60_000).alias("end_ms")).where("class_idx > 0")
+    named = [(suite, policy) for suite, policies in config.SUITES.items() for policy in policies]
+    out = pipeline.sweep(p.select(KEY, "t_ms", "event_id", F.col("p5").alias("probs")), gold, KEY, ORDER, 5, [policy for _, policy in named], pad_ms=60_000)
+    suite = F.get(F.array(*[F.lit(s) for s, _ in named]), F.col("ord"))
+    full = F.max(F.when(F.col("policy").rlike("full$"), F.col("mean_f1"))).over(Window.partitionBy("suite"))
+    out = out.withColumn("suite", suite).withColumn("delta", F.col("mean_f1") - full)
+    return out.select("suite", "policy", *[r6(c).alias(c) for c in ("mean_f1", "micro_f1", "delta")])
+
+
 @query(f"""WITH {base.USERF}, s AS (SELECT 'all' AS policy, 1 AS rank, avg(f1) AS mean, stddev_pop(f1) AS std FROM uf UNION ALL SELECT 'twin', 2, avg(f1), stddev_pop(f1) FROM uf UNION ALL SELECT 'half', 0, avg(f1 / 2), stddev_pop(f1 / 2) FROM uf) SELECT policy FROM s ORDER BY mean DESC, std, rank LIMIT 1""")
 def recommended_policy(spark, sf):
     gold, pred = base.gold_and_pred(spark, sf)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelane.operators import segments, sequence
-from tidelane.plans import base, experiments, ordered, records, tabular, training
+from tidelane.plans import base, experiments, files, ordered, records, tabular, training
 
-_MODULES = (ordered, tabular, experiments, records, training)
+_MODULES = (ordered, tabular, experiments, records, training, files)
 
 
 def flagship(spark, sf_dir):

@@ -183,7 +183,9 @@ def with_paths(df: DataFrame, key: str, order: list[str], probs: str, matrices:
         return new - new.max(axis=-1, keepdims=True)
 
     kind = dict(chunks.dtypes)[key]
-    many = chunks.where("NOT (first AND last)")
+    many, short = chunks.where("NOT (first AND last)"), scan.each(chunks.where("first AND last").select("rows"), alone, whole)
+    if many.select("chunk").isEmpty():
+        return short
     product = scan.each(many.select("chunk", key, "first", "rows"), products, f"chunk long, {key} {kind}, first boolean, product array<long>")
     scores = scan.carried(product, key, lambda row: np.zeros((count, states), np.int64), onward, lambda v: {"scores": v.ravel().tolist()}, "scores array<long>")
     many = storage.materialize(many.join(scores, "chunk"), "scores")
@@ -191,7 +193,7 @@ def with_paths(df: DataFrame, key: str, order: list[str], probs: str, matrices:
     back = lambda state, row: np.array(row["before"]).reshape(count, states)[np.arange(count), state]
     exits = scan.carried(entry, key, lambda row: np.array(row["best"]), back, lambda v: {"exits": v.tolist()}, "exits array<long>", backwards=True)
     found = scan.each(many.join(exits, "chunk").select("first", "scores", "exits", "rows"), traced, whole)
-    return scan.each(chunks.where("first AND last").select("rows"), alone, whole).unionByName(found)
+    return short.unionByName(found)
 
 
 def with_path(df: DataFrame, key: str, order: list[str], probs: str, *, matrix: np.ndarray, least_run: int = 0, eps: float = 1e-10, clip: bool = False, name: str = "path", size: int = scan.CHUNK) -> DataFrame:

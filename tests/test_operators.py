@@ -213,7 +213,7 @@ def test_align_linear_over_whole_inputs(spark):
     from tests.conftest import SMALL
     from tidelane.plans import base
 
-    ev = base.events(spark, SMALL).select(base.KEY, "t_ms", "event_type", "value").dropDuplicates([base.KEY, "t_ms"]).localCheckpoint()
+    ev = base.events(spark, SMALL).select(base.KEY, "t_ms", "event_type", "value").dropDuplicates([base.KEY, "t_ms"]).persist()
     got = intervals.align_linear(ev.where("event_type = 'view'"), ev.where("event_type <> 'view'"), base.KEY, "t_ms", "value", "aligned")
     rows, want = ev.collect(), {}
     for g in rows:

@@ -653,3 +653,20 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     out = corpus_pipeline.run(spark, SMALL)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and 0 < out.select("doc_id").distinct().count() <= docs.count()
+
+
+def test_every_stage_runs_on_odd_and_empty_rows(spark, odd, empty):
+    """Nulls, empty and very long texts, repeated rows and clashing names, through each stage that returns documents."""
+    import corpus_pipeline
+
+    wide = odd.withColumns({"gone_id": F.lit(7), "score": F.lit("s"), "component_id": F.lit(0)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, SMALL)
+        assert out.columns == wide.columns, name
+        rows = out.collect()
+        assert len(rows) <= len(ODD) and {r.doc_id for r in rows} <= {i for i, _ in ODD}, name
+        if name in ("near-duplicates", "repeated passages"):
+            copies = {2, 3} if name == "near-duplicates" else set()  # without words, as the null text of 1
+            assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in ODD if i not in copies), name
+        assert stage(spark, wide.limit(0), SMALL).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, SMALL).agg(F.count_distinct("doc_id")).first()[0] == len({i for i, _ in ODD if i is not None})

@@ -274,7 +274,7 @@ def _layout(docs: DataFrame) -> tuple[int, int, int]:
     return chunks, max(1, min(MOST_PARTITIONS, chunks // CHUNKS_A_PARTITION)), max(LEAST_BUCKETS, n // BUCKET_ROWS, size // (BUCKET_ROWS * USUAL_BYTES))
 
 
-def deduplicate(docs: DataFrame, method: Method, finish: Callable, schema: str, *, hot_chunks: int = HOT_CHUNKS, layout: tuple[int, int, int] | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, method: Method, finish: Callable, schema, *, hot_chunks: int = HOT_CHUNKS, layout: tuple[int, int, int] | None = None) -> DataFrame:
     """Apply ``finish(chunk, covered, table)``, which gives an Arrow table of ``schema``, to every chunk of ``docs``.
 
     ``docs`` needs doc_id and text (no nulls in text); other columns reach ``finish`` in the table.

@@ -58,8 +58,9 @@ def fixed_split(df: DataFrame, key: str, train: int = 6, dev: int = 2) -> DataFr
 
 
 def hash_split(df: DataFrame, key: str, folds: int, seed: int) -> DataFrame:
-    """A fold for each key, the same at every layout."""
-    return df.select(key).distinct().withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)))
+    """A fold for each key, by the digest of (seed, key): the same at every layout and in any engine."""
+    digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    return df.select(key).distinct().withColumn("fold", F.pmod(digest, F.lit(folds).cast("long")))
 
 
 def normalise_labels(c: Column, replace: dict[str, str]) -> Column:

@@ -316,7 +316,7 @@ def fixed_subject_split(spark, sf):
     return clean.fixed_split(base.table(spark, sf, "events"), "user_id")
 
 
-@query()
+@query("SELECT user_id, CAST('0x' || md5('42:' || user_id)[1:8] AS BIGINT) % 5 AS fold FROM (SELECT DISTINCT user_id FROM events)")
 def hash_split(spark, sf):
     return clean.hash_split(base.table(spark, sf, "events"), "user_id", folds=5, seed=42)
 

@@ -188,6 +188,17 @@ def test_bootstrap_weighs_rows_by_key(spark):
     assert stats.bootstrap_ci(df.limit(0), "f1", "k", resamples=10).count() == 0
 
 
+def test_bootstrap_draws_once_and_in_many_tasks(spark, monkeypatch):
+    """A digest a draw, not one for each comparison with a limit; draws are dealt to tasks by their number."""
+    df = spark.createDataFrame([(f"k{i}", i / 60) for i in range(60)], "k string, f1 double").coalesce(1)
+    whole = stats.bootstrap_ci(df, "f1", "k", resamples=100)
+    monkeypatch.setattr(stats, "DRAWS", 1000)
+    dealt = stats.bootstrap_ci(df, "f1", "k", resamples=100)
+    assert whole.first() == dealt.first()
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1 and "Repartition 6, true" in plan
+
+
 def test_p_values(spark):
     rng = np.random.default_rng(0)
     for n in (1, 6, 12):

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelane import storage
 from tidelane.operators import sequence
 
 EDGE = 1e-6
@@ -102,8 +103,8 @@ def paired_effect(df: DataFrame, a: str, b: str) -> DataFrame:
     return whole.join(F.broadcast(plus)).select("n", "mean_diff", d.alias("cohen_d"), "w_plus", p.alias("p_value"))  # one row each
 
 
-#: Whole values in these parts keep sums of resamples exact.
-PARTS = 1_000_000_000
+#: Whole values in these parts keep sums of resamples exact. Draws of a task, on average at most.
+PARTS, DRAWS = 1_000_000_000, 5_000_000
 
 
 def poisson_limits() -> list[int]:
@@ -120,15 +121,20 @@ def bootstrap_ci(df: DataFrame, x: str, key: str, *, resamples: int = 10_000, se
     """mean and the 2.5 and 97.5 percentiles of resampled means, in one plan.
 
     A row's weight in a resample is a Poisson count of mean 1, drawn by the digest of (seed, resample, key): rows need
-    neither be numbered nor brought together. Sums are of whole parts and aggregate before they are shuffled; what is
-    gathered are the resamples' means. An empty table gives no row.
+    neither be numbered nor brought together. Rows are written once and dealt to tasks by their number of draws. Sums are of
+    whole parts and aggregate before they are shuffled; what is gathered are the resamples' means. An empty table gives no row.
     """
     rows = df.where(F.col(x).isNotNull()).select(F.col(key).cast("string").alias("_key"), F.floor(F.col(x) * PARTS + 0.5).cast("long").alias("_x"))
-    each = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "_b", "_key")), 1, 8), 16, 10).cast("long")
-    weight = sum(((F.col("_u") >= t).cast("long") for t in poisson_limits()), F.lit(0))
-    drawn = each.withColumn("_u", draw).withColumn("_w", weight).where("_w > 0")
-    means = drawn.groupBy("_b").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w") / PARTS).alias("m"))
+    rows = storage.materialize(rows, "resampled")
+    tasks = max(1, -(-rows.count() * resamples // DRAWS))
+    each = rows.repartition(tasks).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    # The digest's first eight hexadecimal digits are the number; they compare as text like the numbers do. No filter on
+    # the weight: pushed below, it would make every digest anew for each of its comparisons.
+    limits, weight = [t for t in poisson_limits() if t < 1 << 32], F
+    for k, t in enumerate(limits):
+        weight = weight.when(F.col("_u") < f"{t:08x}", k)
+    drawn = each.withColumn("_u", F.md5(F.concat_ws(":", F.lit(str(seed)), "_b", "_key"))).withColumn("_w", weight.otherwise(len(limits)).cast("long"))
+    means = drawn.groupBy("_b").agg((F.try_divide(F.sum(F.col("_w") * F.col("_x")), F.sum("_w")) / PARTS).alias("m")).where(F.col("m").isNotNull())
     whole = rows.agg((F.sum("_x") / F.count("_x") / PARTS).alias("mean")).where(F.col("mean").isNotNull())
     ends = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     return whole.join(F.broadcast(ends))  # one row each

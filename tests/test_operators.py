@@ -188,6 +188,19 @@ def test_bootstrap_weighs_rows_by_key(spark):
     assert stats.bootstrap_ci(df.limit(0), "f1", "k", resamples=10).count() == 0
 
 
+def test_models_are_averaged_in_place(spark):
+    """Also of unequal length, null or empty; no place becomes a row, and nothing is collected."""
+    rows = [(1, 0, "p3", 0, [0.2, 0.8]), (1, 0, "p3", 1, [0.4, 0.6]), (1, 0, "p5", 0, [1.0]), (1, 0, "p5", 1, [0.0, 0.5, None]), (1, 1, "p5", 0, None), (1, 2, "p3", 0, []), (1, 3, "other", 0, [1.0])]
+    df = spark.createDataFrame(rows, "k int, i int, scale string, model int, probs array<double>")
+    got = {(r.i, r.scale): r.probs for r in fusion.ensemble(df, ["k", "i", "scale"]).collect()}
+    assert got == {(0, "p3"): pytest.approx([0.3, 0.7]), (0, "p5"): [0.5, 0.5, None], (3, "other"): [1.0]}
+    two = fusion.orchestrate(df, "k", ["i"])
+    assert [(r.i, r.p3, r.p5, r.p8) for r in two.collect()] == [(0, pytest.approx([0.3, 0.7]), [0.5, 0.5, None], None)]
+    assert fusion.orchestrate(df.where("scale = 'other'"), "k", ["i"]).count() == fusion.ensemble(df.limit(0), ["k"]).count() == 0
+    plan = two._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan and "collect_list" not in plan
+
+
 def test_bootstrap_draws_once_and_in_many_tasks(spark, monkeypatch):
     """A digest a draw, not one for each comparison with a limit; draws are dealt to tasks by their number."""
     df = spark.createDataFrame([(f"k{i}", i / 60) for i in range(60)], "k string, f1 double").coalesce(1)

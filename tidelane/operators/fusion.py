@@ -110,18 +110,26 @@ def fuse(df: DataFrame, key: str, order: list[str], mode: str = "local_boundary"
     return FUSIONS.get(mode, FUSIONS["average"])(df, key, order)
 
 
+def _mean(probs: Column, classes: int) -> Column:
+    """Aggregate: mean of arrays place by place, null where there is none. Sums of fixed length, which aggregate where the
+    rows are; collected or exploded places would be sorted and spilled."""
+    n = F.max(F.size(probs))
+    return F.when(n > 0, F.slice(F.array(*[F.avg(F.get(probs, F.lit(c))) for c in range(classes)]).cast("array<double>"), 1, n))
+
+
 def ensemble(df: DataFrame, keys: list[str], probs: str = "probs") -> DataFrame:
     """Mean probabilities of several models' rows (one per model) of each window."""
-    each = df.select(*keys, F.posexplode(probs).alias("_c", "_p")).groupBy(*keys, "_c").agg(F.avg("_p").alias("_p"))
-    return each.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_c", "_p"))), lambda s: s["_p"]).alias(probs))
+    classes = max(0, df.agg(F.max(F.size(probs))).first()[0] or 0)
+    return df.groupBy(*keys).agg(_mean(F.col(probs), classes).alias(probs)).where(F.col(probs).isNotNull())
 
 
 def orchestrate(df: DataFrame, key: str, order: list[str], mode: str = "local_boundary") -> DataFrame:
-    """From rows (key, order, scale, model, probs) to ``fused``: models averaged within a scale, the scale being part of the
-    grouping key; scales without a row fall away. All three are fused by ``mode``, fewer are averaged, one stays as it is."""
-    keys = [key, *order]
-    wide = ensemble(df, [*keys, "scale"]).groupBy(*keys).pivot("scale", ["p3", "p5", "p8"]).agg(F.first("probs"))
-    there = wide.agg(*[F.max(F.col(s).isNotNull()).alias(s) for s in ("p3", "p5", "p8")]).first()
+    """From rows (key, order, scale, model, probs) to ``fused``: models averaged within a scale; scales without a row fall
+    away. All three are fused by ``mode``, fewer are averaged, one stays as it is."""
+    of = {s: F.when(F.col("scale") == s, F.col("probs")) for s in ("p3", "p5", "p8")}
+    sizes = df.agg(*[F.max(F.size(p)).alias(s) for s, p in of.items()]).first()
+    there = {s: (sizes[s] or 0) > 0 for s in of}
+    wide = df.groupBy(key, *order).agg(*[_mean(p, max(0, sizes[s] or 0)).alias(s) for s, p in of.items()])
     have = [s for s in ("p3", "p5", "p8") if there[s]]
     if len(have) == 3:
         whole = wide.where(F.col("p3").isNotNull() & F.col("p5").isNotNull() & F.col("p8").isNotNull())

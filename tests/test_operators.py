@@ -3,12 +3,14 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SMALL
 from tidelane.config import FULL, RAW, split_path
 from tidelane.operators import clean, decode, features, fusion, intervals, segments, sequence, stats
 from tidelane.plans import pipeline
@@ -188,6 +190,17 @@ def test_bootstrap_weighs_rows_by_key(spark):
     assert stats.bootstrap_ci(df.limit(0), "f1", "k", resamples=10).count() == 0
 
 
+def test_recordings_lie_side_by_side(spark):
+    """One listing finds all of them, and each has a name of its own, by which readers tell them apart."""
+    from tidelane.plans import base, files
+
+    folder = files._recordings(spark, SMALL)
+    users = base.events(spark, SMALL).select("user_id").distinct().count()
+    found = readers.texts(spark, folder)
+    assert found.columns == ["user_id", "text"] and found.count() == found.select("user_id").distinct().count() == users > 1
+    assert not [p for p in os.listdir(folder.removeprefix("file://")) if os.path.isdir(os.path.join(folder.removeprefix("file://"), p))]
+
+
 def test_models_are_averaged_in_place(spark):
     """Also of unequal length, null or empty; no place becomes a row, and nothing is collected."""
     rows = [(1, 0, "p3", 0, [0.2, 0.8]), (1, 0, "p3", 1, [0.4, 0.6]), (1, 0, "p5", 0, [1.0]), (1, 0, "p5", 1, [0.0, 0.5, None]), (1, 1, "p5", 0, None), (1, 2, "p3", 0, []), (1, 3, "other", 0, [1.0])]

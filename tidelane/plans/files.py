@@ -23,12 +23,13 @@ def query(sql: str):
 
 
 def _recordings(spark, sf) -> str:
-    """A folder with a tab-separated recording of each user."""
+    """A folder with a tab-separated recording of each user: files side by side, as a folder for each would have to be listed.
+    Tasks move their own files into place; a file's name is fixed by its task, so one that is run again replaces them."""
     ev = base.events(spark, sf)
     line = F.concat_ws("\t", F.col("t_ms").cast("string"), F.col("value").cast("string"), F.lit("1"), F.lit("2"), F.lit("3"), F.lit("4"), F.col("event_id").cast("string"))
     whole = ev.groupBy(KEY).agg(F.concat(F.lit("\t".join(readers.SIGNAL) + "\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("event_id").alias("i"), line.alias("l")))), lambda x: x["l"]), "\n")).alias("value"))
     folder = storage.new_folder(spark, "recordings")
-    whole.select(F.col(KEY).alias("part"), "value").write.partitionBy("part").text(folder)
+    whole.select("value").write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(folder)
     return folder
 
 

@@ -411,6 +411,17 @@ def test_repeats(spark, docs, empty, module, words):
     assert module.digests(empty).count() == 0
 
 
+def test_encoder_comes_after_freed_memory_is_given_back(monkeypatch):
+    """A worker of an earlier stage of the pipeline returns what that freed before it loads an encoder."""
+    from tidelane.llm import shared
+
+    seen = []
+    monkeypatch.setattr(bpe, "_LOADED", {})
+    monkeypatch.setattr(shared, "give_back", lambda: seen.append("back"), raising=False)
+    monkeypatch.setattr(bpe, "WordBpe", lambda path: seen.append("load") or path)
+    assert bpe.load("v") == bpe.load("v") == "v" and seen == ["back", "load", "back"]
+
+
 def test_orders_agree():
     r = np.random.default_rng(2)
     for alphabet in (1, 2, 4):

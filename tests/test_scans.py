@@ -142,3 +142,13 @@ def test_workers_get_the_package(tmp_path, name):
     code = FRESH.format(root=ROOT, shared=f"file://{tmp_path}/shared", name=name)
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
     assert done.stdout.strip().endswith("fine"), done.stderr[-2000:]
+
+
+def test_batches_of_chunks_are_bounded(spark):
+    """Short keys are a chunk each; a worker sees no more of them at once than ``BATCH_CHUNKS``."""
+    from tidelane.operators import scan
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    chunks = scan.chunked(spark.range(8000).selectExpr("id AS k", "0 AS i"), "k", ["i"])
+    seen = [r.n for r in scan.each(chunks.coalesce(1), lambda c: iter([{"n": [len(c["chunk"])]}]), "n long").collect()]
+    assert sum(seen) == 8000 and max(seen) <= 1000

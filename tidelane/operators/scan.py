@@ -14,20 +14,31 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidelane import shipping, storage
 
-#: Rows of a chunk at most: a power of two.
+#: Rows of a chunk at most: a power of two. Chunks and bytes of an Arrow batch at most: what a Python worker holds at once.
 CHUNK = 4096
+BATCH_CHUNKS, BATCH_BYTES = 1000, 8_000_000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Lower (never raise) the rows and bytes of an Arrow batch: a chunk is one row of up to ``CHUNK`` rows. Plans read the
+    setting when they run, so it stays lowered for the session."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_CHUNKS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(key)).removesuffix("b")
+        if not now.isdigit() or int(now) <= 0 or int(now) > most:
+            spark.conf.set(key, str(most))
 
 
 def chunked(df: DataFrame, key: str, order: list, size: int = CHUNK) -> DataFrame:
     """key, chunk (unique, rising along a key), first, last (whether it is the key's first or last) and rows."""
     shipping.ship(df.sparkSession)
+    bounded(df.sparkSession)
     columns = [key, *order]
     placed = df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_at", F.monotonically_increasing_id())
     block = F.shiftright("_at", size.bit_length() - 1).alias("_block")

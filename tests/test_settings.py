@@ -5,9 +5,11 @@ import itertools
 import numpy as np
 import pytest
 
-from tidelane.operators import decode
+from tidelane.operators import decode, scan
 from tidelane.plans import settings
 
+PACKED = getattr(scan, "packed", None)
+
 
 def padded(p, width):
     return np.pad(p, ((width // 2, width - 1 - width // 2), (0, 0)), mode="edge")
@@ -93,6 +95,50 @@ def test_two_stages_equal_each_setting_alone(spark, data):
     assert top.f1 == max(r["f1"] for r in rows)
 
 
+def tables(spark, data):
+    steps = spark.createDataFrame([(k, i, int(t[i]), truth[i], *p[i].tolist()) for k, (p, t, truth, _, _) in data.items() for i in range(len(t))], "k string, i long, t long, truth int, a double, b double, c double")
+    gold = spark.createDataFrame([(k, j, g[2], g[0], g[1]) for k, v in data.items() for j, g in enumerate(v[4])], "k string, gold_id long, class_idx int, start_ms double, end_ms double")
+    return steps, gold, spark.createDataFrame([(k, int(v[3])) for k, v in data.items()], "k string, span_ms long")
+
+
+def test_steps_are_written_once_and_not_for_each_setting(spark, data, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidelane import storage
+
+    written, write = [], storage.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        written.append(out.agg(F.sum(F.size("rows"))).first()[0] if "rows" in out.columns else out.count())
+        return out
+
+    monkeypatch.setattr(storage, "materialize", counted)
+    grid = {"smooth": (1, 3, 5), "median": (1, 3), "stay": (0.35, 0.9), "run": (1, 2)}
+    out = settings.two_stage(*tables(spark, data), "k", ["i"], "t", ["a", "b", "c"], "truth", gaps=(0, 6000), lengths=(0,), sure=(0.0,), kept=2, **grid)
+    assert out.count() == 24 + 4
+    assert sum(written) <= sum(len(v[1]) for v in data.values()) + 24 + 4
+
+
+@pytest.mark.parametrize("gap", [0, 6000])
+def test_longer_keys_are_cut_and_count_alike(spark, data, monkeypatch, gap):
+    from functools import partial
+
+    p, t, truth, _, gold = data["k0"]
+    given = data | {"short": (p[:20], t[:20], truth[:20], float(t[19]), [g for g in gold if g[1] < t[19]])}
+    assert min(len(v[1]) for k, v in given.items() if k != "short") > 64
+    grid = {"smooth": (1, 4), "median": (1, 3), "stay": (0.5, 0.9), "run": (1, 3)}
+    found = []
+    for size in (64, scan.CHUNK):
+        monkeypatch.setattr(settings.scan, "packed", partial(PACKED, size=size))
+        out = settings.two_stage(*tables(spark, given), "k", ["i"], "t", ["a", "b", "c"], "truth", gaps=(gap,), lengths=(0, 9000), least=2000.0, sure=(0.0, 0.55), kept=3, ignored=(2,), **grid)
+        found.append({(r.stage, r.setting, r.gap, r.least, r.sure): r.asDict() for r in out.collect()})
+    cut, whole = found
+    assert len(whole) == 16 + 3 * 4 and sorted(cut) == sorted(whole)
+    for name, row in whole.items():
+        assert cut[name] == {c: v if v is None else pytest.approx(v, abs=1e-9) for c, v in row.items()}, name
+
+
 def test_policies_as_rows_equal_one_at_a_time(spark):
     from tidelane.config import BASELINE, FULL, RAW
     from tidelane.plans import pipeline

@@ -108,19 +108,39 @@ def _trace(back: np.ndarray, size: np.ndarray, states: np.ndarray) -> tuple[np.n
     return path, now
 
 
+def _dealt(size: np.ndarray, cells: int) -> Iterator[np.ndarray]:
+    """Numbers of chunks by falling size, as many as the pointers' bound allows at ``cells`` a row."""
+    order, at = np.argsort(-size, kind="stable"), 0
+    while at < len(order):
+        many = max(1, CELLS // max(1, int(size[order[at]]) * cells))
+        yield order[at : at + many]
+        at += many
+
+
 def _batches(c: dict, moves: np.ndarray, extra: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Numbers, logs (chunk, place, state) and sizes of a batch's chunks, as many as the pointers' bound allows."""
     size, states = scan.lengths(c["rows"]), moves.shape[-1]
     logs = c["rows"].flatten().field("_logs").flatten().to_numpy().reshape(-1, states)
+    for some in _dealt(size, moves.shape[0] * states * extra):
+        yield some, scan.grid(logs[_rows(size, some)], size[some]), size[some]
+
+
+def _rows(size: np.ndarray, some: np.ndarray) -> np.ndarray:
     starts = np.cumsum(size) - size
-    order = np.argsort(-size, kind="stable")
-    at = 0
-    while at < len(order):
-        many = max(1, CELLS // max(1, int(size[order[at]]) * moves.shape[0] * states * extra))
-        some = order[at : at + many]
-        rows = np.concatenate([np.arange(starts[k], starts[k] + size[k]) for k in some])
-        yield some, scan.grid(logs[rows], size[some]), size[some]
-        at += many
+    return np.concatenate([np.arange(starts[k], starts[k] + size[k]) for k in some])
+
+
+def whole_paths(p: np.ndarray, size: np.ndarray, matrices: list[np.ndarray], eps: float = 1e-10, clip: bool = False) -> np.ndarray:
+    """Paths (row, matrix) of whole keys whose rows lie behind one another in ``p``, ``size`` rows each."""
+    moves = np.stack([fixed_logs(np.asarray(m, np.float64), eps, clip) for m in matrices])
+    logs, out = fixed_logs(p, eps, clip), np.empty((len(p), len(moves)), np.int8)
+    for some in _dealt(size, moves.shape[0] * moves.shape[1]):
+        rows, part = _rows(size, some), size[some]
+        score, back = _forward(scan.grid(logs[rows], part), part, np.zeros((len(some), *moves.shape[:2]), np.int64), np.zeros(len(some), bool), moves)
+        path, _ = _trace(back, part, score.argmax(axis=-1)[..., None])
+        row, place = scan.places(part)
+        out[rows] = path[place, row, :, 0]
+    return out
 
 
 def _taken(column: pa.Array, some: np.ndarray, *shape: int) -> np.ndarray:

@@ -6,6 +6,8 @@ chunk, ``carried`` reads the summaries of a key in order as a stream (a row a ch
 that each chunk begins with, and ``each`` works through the chunks again from these states. ``carried`` can run backwards.
 
 The chunks are written to the shared folder, as every step must see the same ones.
+
+``packed`` tells keys of one chunk from longer ones: those need no scan, and a task can do all that is asked of them at once.
 """
 
 from __future__ import annotations
@@ -14,12 +16,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidelane import shipping, storage
+from tidelane.operators import sequence
 
 #: Rows of a chunk at most: a power of two. Chunks and bytes of an Arrow batch at most: what a Python worker holds at once.
 CHUNK = 4096
@@ -49,6 +52,16 @@ def chunked(df: DataFrame, key: str, order: list, size: int = CHUNK) -> DataFram
     return cut.join(ends, "chunk")
 
 
+def packed(df: DataFrame, key: str, order: list[str], columns: dict[str, Column], sound: Column, size: int = CHUNK) -> DataFrame:
+    """key, block, rows (place ``_i`` and ``columns``, at most ``size``) and whole: they are all rows of their key, and all
+    ``sound``."""
+    shipping.ship(df.sparkSession)
+    bounded(df.sparkSession)
+    placed = df.select(key, sequence.place(key, order).cast("long").alias("_i"), *[c.alias(n) for n, c in columns.items()], sequence.size(key).alias("_size"), F.coalesce(sound, F.lit(False)).alias("_sound"))
+    blocks = placed.groupBy(key, F.shiftright("_i", size.bit_length() - 1).alias("block"), (F.col("_size") <= size).alias("_fits"))
+    return blocks.agg(F.sort_array(F.collect_list(F.struct("_i", *columns))).alias("rows"), F.bool_and("_sound").alias("_sound")).select(key, "block", (F.col("_fits") & F.col("_sound")).alias("whole"), "rows")
+
+
 def each(chunks: DataFrame, f: Callable[[dict[str, pa.Array]], Iterator[dict[str, list]]], schema: str | T.StructType) -> DataFrame:
     """Rows that ``f`` makes of batches of chunks (columns by name)."""
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema

@@ -4,15 +4,25 @@ A sequence setting is (smooth, median, stay, run): widths of the moving average
 staying, and the least run. Smoothing is a column a pair of widths; every pair's rows are decoded for all probabilities of
 staying at once; least runs and merge gaps are rows of tables of runs, which are far fewer than steps. A record setting adds
 (gap, least, sure): the merge gap, the least length and the least confidence.
+
+A key of one chunk of steps is worked at whole, for all settings, where it lies, and only counts leave the task: steps times
+settings are never written or shuffled. Longer keys go through tables of runs, which are cut where steps are decoded.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelane import storage
-from tidelane.operators import decode, evaluate, intervals, sequence
+from tidelane.operators import decode, evaluate, intervals, scan, sequence, whole
 
 #: The grids of either stage (gaps and lengths in the unit of the data's times are the caller's).
 SMOOTH, MEDIAN, STAY, RUN = (1, 3, 5, 7), (1, 3, 5), (0.35, 0.50, 0.65, 0.80, 0.90, 0.97), (1, 2, 3, 5)
@@ -43,11 +53,11 @@ def decoded_runs(steps: DataFrame, key: str, order: list[str], time: str, column
     rows = smoothed(placed, key, order, columns, smooth, median).withColumn("_unit", F.struct("smooth", "median", F.col(key).alias("key")))
     matrices = [decode.uniform_transitions(states, p) for p in stay]
     paths = decode.with_paths(rows.select("_unit", "_i", "_t", "_truth", "probs"), "_unit", ["_i"], "probs", matrices, eps=1e-12, clip=True)
-    each = paths.select("_unit", "_i", "_t", "_truth", "probs", F.posexplode("paths").alias("_stay", "_label")).withColumn("_unit", F.struct("_unit.*", "_stay"))
+    pieces = cut_runs(paths, states, len(stay)).withColumn("_unit", F.struct("_unit.*", "_stay"))
     arrays = lambda f: F.array(*[f(k) for k in range(states)])
-    runs = sequence.runs(each, "_unit", ["_i"], "_label").groupBy("_unit", F.col("run_id").alias("_run")).agg(
-        F.first("_label").alias("_label"), F.count(F.lit(1)).alias("_n"), arrays(lambda k: F.sum(F.get("probs", F.lit(k)))).alias("_sums"),
-        arrays(lambda k: F.sum((F.col("_truth") == k).cast("long"))).alias("hits"), F.min("_i").alias("start_idx"), (F.max("_i") + 1).alias("end_idx"), F.min("_t").alias("t0"), F.max("_t").alias("t1"),
+    runs = sequence.runs(pieces, "_unit", ["start_idx"], "_label").groupBy("_unit", F.col("run_id").alias("_run")).agg(
+        F.first("_label").alias("_label"), F.sum("_n").alias("_n"), arrays(lambda k: F.sum(F.get("_sums", F.lit(k)))).alias("_sums"),
+        arrays(lambda k: F.sum(F.get("hits", F.lit(k)))).alias("hits"), F.min("start_idx").alias("start_idx"), F.max("end_idx").alias("end_idx"), F.min("t0").alias("t0"), F.max("t1").alias("t1"),
     )
     runs = storage.materialize(runs, "runs").withColumn("_least", F.explode(F.array(*[F.lit(r) for r in run]))).withColumn("_unit", F.struct("_unit.*", "_least"))
     more = {"hits": arrays(lambda k: F.sum(F.get("hits", F.lit(k)))), "start_idx": F.min("start_idx"), "end_idx": F.max("end_idx"), "t0": F.min("t0"), "t1": F.max("t1")}
@@ -58,6 +68,35 @@ def decoded_runs(steps: DataFrame, key: str, order: list[str], time: str, column
     return fixed.select(number.cast("long").alias("setting"), *fields, F.col("_unit.key").alias(key), F.col("_label").alias("class_idx"), "start_idx", "end_idx", "t0", "t1", F.col("_n").alias("n"), F.col("_sums").alias("sums"), "hits")
 
 
+def cut_runs(paths: DataFrame, states: int, count: int) -> DataFrame:
+    """Pieces of runs of rows with ``count`` paths each, where the rows lie: _unit, _stay (the path's number), _label, _n, _sums,
+    hits, start_idx, end_idx, t0 and t1. A run is several pieces where rows don't follow one another in a batch."""
+    unit, time = paths.schema["_unit"], paths.schema["_t"].dataType
+    whole_ = T.StructType([unit, *T.StructType.fromDDL("_stay int, _label int, _n long, _sums array<double>, hits array<long>, start_idx long, end_idx long"), T.StructField("t0", time), T.StructField("t1", time)])
+
+    def cut(c: dict) -> Iterator[dict]:
+        place, row = c["_i"].to_numpy(), c["_unit"].flatten()
+        codes = [pc.fill_null(v.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False) for v in row]
+        new = np.concatenate([[True], np.diff(place) != 1])
+        for v in codes:
+            new[1:] |= np.diff(v) != 0
+        p = c["probs"].flatten().to_numpy(zero_copy_only=False).reshape(-1, states)
+        label = c["paths"].flatten().to_numpy().reshape(-1, count)
+        truth = pc.fill_null(c["_truth"], -1).to_numpy(zero_copy_only=False)
+        hit = (truth[:, None] == np.arange(states)).astype(np.int64)
+        for k in range(count):
+            head = new.copy()
+            head[1:] |= label[1:, k] != label[:-1, k]
+            at = np.flatnonzero(head)
+            first, last = pa.array(at), pa.array(np.append(at[1:], len(place)) - 1)
+            yield {
+                "_unit": c["_unit"].take(first), "_stay": np.full(len(at), k), "_label": label[at, k], "_n": np.diff(np.append(at, len(place))), "_sums": list(np.add.reduceat(p, at, axis=0)), "hits": list(np.add.reduceat(hit, at, axis=0)),
+                "start_idx": place[at], "end_idx": place[last.to_numpy()] + 1, "t0": c["_t"].take(first), "t1": c["_t"].take(last),
+            }
+
+    return scan.each(paths, cut, whole_)
+
+
 def records(runs: DataFrame, key: str, spans: DataFrame) -> DataFrame:
     """Runs with start_ms and end_ms: half-way to their neighbours, 0 at the first, the key's ``span_ms`` at the last."""
     w = Window.partitionBy("setting", key).orderBy("start_idx")
@@ -77,24 +116,80 @@ def merged(found: DataFrame, key: str, gaps: tuple) -> DataFrame:
     return groups.select("_unit.setting", "_unit.gap", F.col("_unit.key").alias(key), "class_idx", "start_ms", "end_ms", "start_idx", (F.get("sums", F.col("class_idx")) / F.col("n")).alias("confidence"))
 
 
-def scores(pred: DataFrame, gold: DataFrame, key: str, by: list[str], hours: Column, conditions: list[tuple[float, float]], *, ignored: tuple = (), above: float = 0.5) -> DataFrame:
-    """For each ``by`` and each condition (least length, least confidence): tp, fp, fn, f1, miou and records_per_hour.
+COUNTS = ["tp", "overlap", "records"]
+
+
+def counts(pred: DataFrame, gold: DataFrame, key: str, by: list[str], conditions: list[tuple[float, float]], *, ignored: tuple = (), above: float = 0.5) -> DataFrame:
+    """For each ``by`` and each condition (least, sure: least length, least confidence): tp, overlap (sum of their IoU in
+    multiples of 1 / FIXED) and records.
 
     Intervals of a side are disjoint, so pairs over half IoU don't compete and are the same under every condition: they are
     found once, and conditions only choose among them.
     """
-    keep = lambda df: df.where(~F.col("class_idx").isin(*ignored)) if ignored else df
     wide = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("least"), F.lit(float(b)).alias("sure")) for a, b in conditions])).alias("_c")
-    pred, gold = keep(pred), keep(gold)
+    pred, gold = _kept(pred, ignored), _kept(gold, ignored)
     named = pred.withColumn("pred_id", F.struct(*by, "start_idx", "confidence"))
     pairs = intervals.candidates(named, gold, [key, "class_idx"], above).select("pred_id.*", "iou", (F.col("p1") - F.col("p0")).alias("p"), (F.col("g1") - F.col("g0")).alias("g"), wide).select("*", "_c.*")
     sure = (F.col("p") >= F.col("least")) & ((F.col("sure") <= 0) | (F.col("confidence") >= F.col("sure")))
-    hit = pairs.where(sure & (F.col("g") >= F.col("least"))).groupBy(*by, "least", "sure").agg(F.count(F.lit(1)).alias("tp"), F.avg("iou").alias("miou"))
+    fixed = F.floor(F.col("iou") * F.lit(whole.FIXED) + 0.5).cast(T.DecimalType(20, 0))
+    hit = pairs.where(sure & (F.col("g") >= F.col("least"))).groupBy(*by, "least", "sure").agg(F.count(F.lit(1)).alias("tp"), F.sum(fixed).alias("overlap"))
     made = pred.select(*by, "confidence", (F.col("end_ms") - F.col("start_ms")).alias("p"), wide).select("*", "_c.*").groupBy(*by, "least", "sure").agg(F.sum(sure.cast("long")).alias("records"))
-    golds = gold.select((F.col("end_ms") - F.col("start_ms")).alias("g"), wide).select("*", "_c.*").groupBy("least", "sure").agg(F.sum((F.col("g") >= F.col("least")).cast("long")).alias("golds"))
-    out = made.join(hit, [*by, "least", "sure"], "left").join(golds, ["least", "sure"], "left").na.fill(0, ["tp", "golds"])
+    return made.join(hit, [*by, "least", "sure"], "left").select(*by, "least", "sure", "tp", F.col("overlap").cast(T.DecimalType(30, 0)).alias("overlap"), "records")
+
+
+def _kept(found: DataFrame, ignored: tuple) -> DataFrame:
+    return found.where(~F.col("class_idx").isin(*ignored)) if ignored else found
+
+
+def whole_counts(chunks: DataFrame, columns: list[str], chosen: dict[int, tuple], gaps: tuple, lengths: tuple, sure: tuple, *, ignored: tuple = ()) -> DataFrame:
+    """Of ``chunks`` that are whole keys (rows, span_ms, gold) for each setting of ``chosen`` (number: fields), gap and condition:
+    the counts of ``counts``, and right and known, the steps that the setting gets right and those that count."""
+    gaps, lengths, sure, states = ([float(v) for v in dict.fromkeys(gaps)], *(sorted({float(v) for v in x}) for x in (lengths, sure)), len(columns))
+    where, marks = [(a, b) for a in lengths for b in sure], whole.Conditions(lengths, sure)
+    pairs = {w: [(n, *f[2:]) for n, f in chosen.items() if f[:2] == w] for w in sorted({f[:2] for f in chosen.values()})}
+
+    def count(c: dict) -> Iterator[dict]:
+        size = scan.lengths(c["rows"])
+        places, rows = whole.Places(size), c["rows"].flatten()
+        t, p = rows.field("_t").to_numpy().astype(np.float64), np.stack([rows.field(x).to_numpy().astype(np.float64) for x in columns], axis=1)
+        truth, span = pc.fill_null(rows.field("_truth"), -1).to_numpy(zero_copy_only=False), c["span_ms"].to_numpy(zero_copy_only=False).astype(np.float64)
+        of = c["gold"].flatten()
+        gold = whole.Gold(np.repeat(np.arange(len(size)), pc.fill_null(c["gold"].value_lengths(), 0).to_numpy(zero_copy_only=False)), *(of.field(x).to_numpy(zero_copy_only=False) for x in ("start_ms", "end_ms", "class_idx")))
+        counted = np.isin(truth, [k for k in range(states) if k not in ignored])
+        averaged, out = {}, []
+        for (smooth, median), settings in pairs.items():
+            if smooth not in averaged:
+                averaged = {smooth: whole.shares(places.average(p, smooth)) if smooth > 1 else p}
+            x = whole.shares(places.median(averaged[smooth], median, "edge")) if median > 1 else averaged[smooth]
+            stays = list(dict.fromkeys(stay for _, stay, _ in settings))
+            paths = decode.whole_paths(x, size, [decode.uniform_transitions(states, v) for v in stays], 1e-12, True)
+            for k, stay in enumerate(stays):
+                runs = whole.runs(places.key, paths[:, k], x, t)
+                for number, _, least in (v for v in settings if v[1] == stay):
+                    fixed = runs.repaired(least)
+                    right = int((counted & (np.repeat(fixed.label, fixed.n) == truth)).sum())
+                    found = whole.records(fixed, span)
+                    for gap in gaps:
+                        made = found.merged(gap)
+                        made = made.at(np.flatnonzero(~np.isin(made.label, ignored)))
+                        length, sure_ = made.end - made.start, made.confidence()
+                        at, value, true = gold.overlaps(made)
+                        hit = marks.of(np.minimum(length[at], true), sure_[at])
+                        out += zip(itertools.repeat(number), itertools.repeat(gap), where, marks.count(hit).tolist(), marks.total(hit, value).tolist(), marks.count(marks.of(length, sure_)).tolist(), itertools.repeat(right), itertools.repeat(int(counted.sum())))
+        number, gap, condition, tp, overlap, records, right, known = zip(*out, strict=True)
+        yield {"setting": number, "gap": gap, "least": [a for a, _ in condition], "sure": [b for _, b in condition], "tp": tp, "overlap": overlap, "records": records, "right": right, "known": known}
+
+    return scan.each(chunks.select("rows", "span_ms", "gold"), count, "setting long, gap double, least double, sure double, tp long, overlap long, records long, right long, known long")
+
+
+def scored(found: DataFrame, gold: DataFrame, hours: Column, lengths: tuple, *, ignored: tuple = ()) -> DataFrame:
+    """Summed counts of (setting, gap, least, sure) with fp, fn, f1, miou, records_per_hour and accuracy."""
+    wide = F.explode(F.array(*[F.lit(float(a)) for a in dict.fromkeys(lengths)])).alias("least")
+    golds = _kept(gold, ignored).select((F.col("end_ms") - F.col("start_ms")).alias("g"), wide).groupBy("least").agg(F.sum((F.col("g") >= F.col("least")).cast("long")).alias("golds"))
+    out = found.join(golds, "least", "left").na.fill(0, ["golds"])
     fp, fn = F.col("records") - F.col("tp"), F.col("golds") - F.col("tp")
-    return out.select(*by, "least", "sure", "tp", fp.alias("fp"), fn.alias("fn"), evaluate.ratio(2 * F.col("tp"), F.col("records") + F.col("golds")).alias("f1"), "miou", evaluate.ratio(F.col("records"), hours).alias("records_per_hour"))
+    miou = F.try_divide(F.col("overlap").cast("double"), F.lit(whole.FIXED) * F.col("tp"))
+    return out.select("setting", "gap", "least", "sure", "tp", fp.alias("fp"), fn.alias("fn"), evaluate.ratio(2 * F.col("tp"), F.col("records") + F.col("golds")).alias("f1"), miou.alias("miou"), evaluate.ratio(F.col("records"), hours).alias("records_per_hour"), evaluate.ratio(F.col("right"), F.col("known")).alias("accuracy"))
 
 
 def ranked(scored: DataFrame) -> list[Column]:
@@ -108,20 +203,36 @@ def two_stage(steps: DataFrame, gold: DataFrame, spans: DataFrame, key: str, ord
     ``steps`` has key, order, time, a column a class and ``truth``; ``gold`` key, gold_id, class_idx, start_ms, end_ms;
     ``spans`` key and span_ms. ``accuracy`` is the share of steps that a sequence setting gets right.
     """
-    runs = decoded_runs(steps, key, order, time, columns, truth, **grid)
-    found = storage.materialize(records(runs, key, spans), "records")
+    fields = {n: grid.get(n, default) for n, default in zip(SEQUENCE, (SMOOTH, MEDIAN, STAY, RUN), strict=True)}
+    numbers = dict(enumerate(itertools.product(*fields.values())))
+    names = [f"_c{k}" for k in range(len(columns))]
+    sound = ~F.greatest(*[F.coalesce(F.isnan(F.col(c).cast("double")), F.lit(True)) for c in columns], F.col(time).isNull())
+    packed = scan.packed(steps, key, order, {"_t": F.col(time), "_truth": F.col(truth), **{n: F.col(c) for n, c in zip(names, columns, strict=True)}}, sound)
+    true = _kept(gold, ignored).where("start_ms <= end_ms").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("start_ms").cast("double").alias("start_ms"), F.col("end_ms").cast("double").alias("end_ms"), "class_idx"))).alias("gold"))
+    chunks = storage.materialize(packed.join(spans.select(key, "span_ms"), key).join(true, key, "left"), "packed")
+    short, long = chunks.where("whole"), chunks.where("NOT whole").select(key, F.explode("rows").alias("_r")).select(key, F.col("_r._i").alias("_place"), *[F.col(f"_r.{n}").alias(n) for n in ("_t", "_truth", *names)])
+    found = None if long.isEmpty() else storage.materialize(records(decoded_runs(long, key, ["_place"], "_t", names, "_truth", **fields), key, spans), "records")
     hours = F.lit(float(spans.agg(F.sum("span_ms") / 3.6e6).first()[0] or 0.0))
-    classes = [k for k in range(len(columns)) if k not in ignored]
-    known = sum((F.get("hits", F.lit(k)) for k in classes), F.lit(0))
-    right = F.when(F.col("class_idx").isin(*classes), F.get("hits", F.col("class_idx"))).otherwise(0)
-    accuracy = found.groupBy("setting", *SEQUENCE).agg(evaluate.ratio(F.sum(right), F.sum(known)).alias("accuracy"))
-    plain = found.withColumn("confidence", F.get("sums", F.col("class_idx")) / F.col("n"))
-    one = storage.materialize(scores(plain, gold, key, ["setting"], hours, [(least, 0.0)], ignored=ignored).withColumns({"stage": F.lit(1), "gap": F.lit(0.0)}), "stage-one")
+
+    def stage(number: int, chosen: dict[int, tuple], gaps: tuple, lengths: tuple, sure: tuple) -> DataFrame:
+        parts = whole_counts(short, names, chosen, gaps, lengths, sure, ignored=ignored).withColumn("overlap", F.col("overlap").cast(T.DecimalType(30, 0)))
+        if found is not None:
+            some = found.where(F.col("setting").isin(*chosen))
+            made = some.withColumns({"confidence": F.get("sums", F.col("class_idx")) / F.col("n"), "gap": F.lit(0.0)}) if number == 1 else storage.materialize(merged(some, key, gaps), "merged")
+            classes = [k for k in range(len(columns)) if k not in ignored]
+            known = sum((F.get("hits", F.lit(k)) for k in classes), F.lit(0))
+            right = F.when(F.col("class_idx").isin(*classes), F.get("hits", F.col("class_idx"))).otherwise(0)
+            each = F.explode(F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("gap", "least", "sure"), c, strict=True)]) for c in itertools.product(gaps, lengths, sure)]))
+            steps_ = some.groupBy("setting").agg(F.sum(right).alias("right"), F.sum(known).alias("known")).select("setting", each.alias("_c"), "right", "known").select("setting", "_c.*", "right", "known")
+            parts = parts.unionByName(counts(made, gold, key, ["setting", "gap"], list(itertools.product(lengths, sure)), ignored=ignored), allowMissingColumns=True).unionByName(steps_, allowMissingColumns=True)
+        summed = parts.groupBy("setting", "gap", "least", "sure").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*COUNTS, "right", "known")])
+        return storage.materialize(scored(summed, gold, hours, lengths, ignored=ignored).withColumn("stage", F.lit(number)), f"stage-{number}")
+
+    one = stage(1, numbers, (0.0,), (least,), (0.0,))
     best = [r.setting for r in one.orderBy(*ranked(one), "setting").limit(kept).collect()]
-    again = storage.materialize(merged(found.where(F.col("setting").isin(*best)), key, gaps), "merged")
-    two = scores(again, gold, key, ["setting", "gap"], hours, [(a, b) for a in lengths for b in sure], ignored=ignored).withColumn("stage", F.lit(2))
-    every = one.unionByName(two).join(accuracy, "setting")
-    return every.select("stage", "setting", *SEQUENCE, "gap", "least", "sure", "tp", "fp", "fn", "f1", "miou", "records_per_hour", "accuracy")
+    every = one.unionByName(stage(2, {n: numbers[n] for n in best}, gaps, lengths, sure)) if best else one
+    value = lambda k: F.get(F.array(*[F.lit(f[k]) for f in numbers.values()]), F.col("setting").cast("int"))
+    return every.select("stage", "setting", *[value(k).alias(n) for k, n in enumerate(SEQUENCE)], "gap", "least", "sure", "tp", "fp", "fn", "f1", "miou", "records_per_hour", "accuracy")
 
 
 def best_of(scored: DataFrame) -> DataFrame:

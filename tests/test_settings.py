@@ -161,3 +161,40 @@ def test_policies_as_rows_equal_one_at_a_time(spark):
             line = lambda r: (r.k, r.start_ms, r.end_ms, r.class_idx, round(r.confidence, 9), round(r.duration_sec, 9))
             assert sorted(line(r) for r in found if r.ord == n) == sorted(line(r) for r in want), policy
     assert len({r.ord for r in found}) == len(policies)
+
+
+def test_steps_are_written_once_for_all_policies_and_longer_keys_end_alike(spark, monkeypatch):
+    from functools import partial
+
+    from pyspark.sql import functions as F
+
+    from tidelane import storage
+    from tidelane.config import FULL, RAW
+    from tidelane.plans import pipeline
+
+    rng = np.random.default_rng(5)
+    rows = [(k, 1000 * i, np.round(x, 3).tolist()) for k, n in (("a", 90), ("b", 70), ("c", 9), ("d", 1)) for i, x in enumerate(share(rng.dirichlet(np.ones(3), n) + 2 * np.eye(3)[np.repeat(rng.integers(0, 3, n), 6)[:n]]))]
+    steps = spark.createDataFrame(rows, "k string, t_ms long, probs array<double>")
+    short = {"min_duration": 4.0, "merge_gap": 3.0, "min_confidence": 0.3}
+    policies = [RAW, FULL.derive("a", **short), FULL.derive("b", smooth=4, median=4, self_stay=0.8, **short), FULL.derive("c", smooth=0, median=3, viterbi=False, **short), FULL.derive("d", median=0, self_stay=0.8, **short)]
+    written, write = [], storage.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        if "rows" in out.columns:
+            written.append(out.agg(F.sum(F.size("rows"))).first()[0])
+        return out
+
+    monkeypatch.setattr(storage, "materialize", counted)
+    found = []
+    for size in (scan.CHUNK, 64):
+        monkeypatch.setattr(scan, "packed", partial(PACKED, size=size))
+        out = pipeline.post_process_all(steps, "k", ["t_ms"], 3, policies).collect()
+        found.append({(r.ord, r.k, r.start_ms, r.class_idx): (r.end_ms, pytest.approx(r.confidence, abs=1e-9), r.duration_sec) for r in out})
+        if size == scan.CHUNK:
+            assert written == [len(rows)]
+    whole, cut = found
+    assert {r[0] for r in whole} == set(range(len(policies))) and {r[1] for r in whole} == {"a", "b", "c", "d"}
+    assert sorted(whole) == sorted(cut)
+    for name, (end, sure, long) in whole.items():
+        assert (cut[name][0], cut[name][2]) == (end, long) and cut[name][1].expected == sure, name

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelane import storage
 from tidelane.config import FULL, Policy
-from tidelane.operators import decode, evaluate, fusion, intervals, segments, sequence
+from tidelane.operators import decode, evaluate, fusion, intervals, scan, segments, sequence, whole
 
 
 def decoded(steps: DataFrame, key: str, order: list[str], classes: int, policy: Policy = FULL) -> DataFrame:
@@ -70,14 +75,12 @@ def refine(found: DataFrame, signal: DataFrame, key: str, *, reach_ms: int = 15_
     return out.select(key, *rest, F.col("_a").alias("start_ms"), F.col("_b").alias("end_ms"), ((F.col("_b") - F.col("_a")) / 1000.0).alias("duration_sec"))
 
 
-def post_process_all(steps: DataFrame, key: str, order: list[str], classes: int, policies: list[Policy], *, signal: DataFrame | None = None, pad_ms: int = 1500) -> DataFrame:
-    """The segments of ``post_process`` under each of ``policies``, with ``ord``, the policy's place in the list.
+SEGMENT = ["_unit", "class_idx", "start_ms", "end_ms", "confidence", "duration_sec"]
 
-    One plan: a column for each pair of smoothing widths, all transition settings of a pair decoded at once, and from the
-    runs on policies are rows, grouped by (ord, key), whose parameters are columns.
-    """
-    pairs = list(dict.fromkeys((p.smooth, p.median) for p in policies))
-    moves = list(dict.fromkeys((p.self_stay, p.enter, p.leave, p.cross) for p in policies if p.viterbi))
+
+def _long_segments(steps: DataFrame, key: str, order: list[str], classes: int, pairs: list[tuple], moves: list[tuple], ways: list[tuple], pad_ms: int) -> DataFrame:
+    """The segments of each way, by windows and scans: a column for each pair of smoothing widths, all transition settings of
+    a pair decoded at once."""
     df = steps.withColumns({f"_p{i}": F.element_at("probs", i + 1) for i in range(classes)})
     made = []
     for n, (smooth, median) in enumerate(pairs):
@@ -91,18 +94,63 @@ def post_process_all(steps: DataFrame, key: str, order: list[str], classes: int,
         df = decode.with_paths(df, "_unit", ["_i"], "smoothed", [decode.transitions(classes, *m) for m in moves])
     else:
         df = df.withColumn("paths", F.array().cast("array<int>"))
-    # Policies that share a path share its runs: one row for each path, then one for each policy of it.
-    ways = list(dict.fromkeys((pairs.index((p.smooth, p.median)), moves.index((p.self_stay, p.enter, p.leave, p.cross)) if p.viterbi else -1) for p in policies))
     paths = F.concat(F.array(fusion.argmax(F.col("smoothed"))), "paths")
     some = F.array(*[F.struct(F.lit(n).alias("way"), F.lit(pair).alias("pair"), F.get("_all", F.lit(move + 1)).alias("path")) for n, (pair, move) in enumerate(ways)])
     df = df.withColumn("_all", paths).withColumn("_w", F.explode(F.filter(some, lambda w: w["pair"] == F.col("_unit.pair"))))
     df = df.select(F.struct(F.col("_w.way"), F.col("_unit.key").alias("key")).alias("_unit"), "_i", "t_ms", F.col("_w.path").alias("path"), F.get("smoothed", F.col("_w.path")).alias("prob"))
-    found = segments.from_states(df, "_unit", ["_i"], "path", "prob", "t_ms", pad_ms).select("_unit", "class_idx", "start_ms", "end_ms", "confidence", "duration_sec")
+    return segments.from_states(df, "_unit", ["_i"], "path", "prob", "t_ms", pad_ms).select(*SEGMENT)
+
+
+def _whole_segments(chunks: DataFrame, key: str, classes: int, pairs: list[tuple], moves: list[tuple], ways: list[tuple], pad_ms: int) -> DataFrame:
+    """The same of chunks that are whole keys (key, rows), where they lie."""
+    matrices = [decode.transitions(classes, *m) for m in moves]
+
+    def cut(c: dict) -> Iterator[dict]:
+        size = scan.lengths(c["rows"])
+        places, rows = whole.Places(size), c["rows"].flatten()
+        t, p = rows.field("t_ms").to_numpy(), rows.field("probs").flatten().to_numpy().astype(np.float64).reshape(len(places.key), classes)
+        for n, (smooth, median) in enumerate(pairs):
+            x = places.average(p, smooth) if smooth > 1 else p
+            x = places.median(x, median) if median > 1 else x
+            used = [move for pair, move in ways if pair == n and move >= 0]
+            paths = decode.whole_paths(x, size, [matrices[m] for m in used]) if used else None
+            for way, (pair, move) in enumerate(ways):
+                if pair == n:
+                    found = whole.runs(places.key, x.argmax(axis=1) if move < 0 else paths[:, used.index(move)], x, t)
+                    at = np.flatnonzero(found.label > 0)
+                    confidence = found.sums[at, found.label[at]] / found.n[at]
+                    yield {"way": np.full(len(at), way), key: c[key].take(pa.array(found.key[at])), "class_idx": found.label[at], "start_ms": found.t0[at] - pad_ms, "end_ms": found.t1[at] + pad_ms, "confidence": confidence}
+
+    time = chunks.schema["rows"].dataType.elementType["t_ms"].dataType
+    schema = T.StructType([T.StructField("way", T.IntegerType()), chunks.schema[key], T.StructField("class_idx", T.IntegerType()), T.StructField("start_ms", time), T.StructField("end_ms", time), T.StructField("confidence", T.DoubleType())])
+    found = scan.each(chunks.select(key, "rows"), cut, schema).withColumn("_unit", F.struct("way", F.col(key).alias("key")))
+    return found.withColumn("duration_sec", (F.col("end_ms") - F.col("start_ms")) / 1000.0).select(*SEGMENT)
+
+
+def post_process_all(steps: DataFrame, key: str, order: list[str], classes: int, policies: list[Policy], *, signal: DataFrame | None = None, pad_ms: int = 1500) -> DataFrame:
+    """The segments of ``post_process`` under each of ``policies``, with ``ord``, the policy's place in the list.
+
+    Keys of one chunk are smoothed, decoded and cut into segments where they lie, in every way that a policy asks for; longer
+    ones by windows and scans. Segments are written once. From there on policies are rows, grouped by (ord, key), whose
+    parameters are columns.
+    """
+    pairs = list(dict.fromkeys((p.smooth, p.median) for p in policies))
+    moves = list(dict.fromkeys((p.self_stay, p.enter, p.leave, p.cross) for p in policies if p.viterbi))
+    # Policies that share a path share its segments: one row for each path, then one for each policy of it.
+    ways = list(dict.fromkeys((pairs.index((p.smooth, p.median)), moves.index((p.self_stay, p.enter, p.leave, p.cross)) if p.viterbi else -1) for p in policies))
+    probs = F.slice(F.transform("probs", lambda v: v.cast("double")), 1, classes)
+    sound = F.col("t_ms").isNotNull() & (F.size(probs) == classes) & F.forall(probs, lambda v: v.isNotNull() & ~F.isnan(v))
+    chunks = storage.materialize(scan.packed(steps, key, order, {"t_ms": F.col("t_ms"), "probs": probs}, sound), "packed")
+    found, long = _whole_segments(chunks.where("whole"), key, classes, pairs, moves, ways, pad_ms), chunks.where("NOT whole")
+    if not long.isEmpty():
+        rows = long.select(key, F.explode("rows").alias("_r")).select(key, F.col("_r._i").alias("_place"), "_r.t_ms", "_r.probs")
+        found = found.unionByName(_long_segments(rows, key, ["_place"], classes, pairs, moves, ways, pad_ms))
+    found = storage.materialize(found, "segments")
     rows = [F.struct(F.lit(n).alias("ord"), F.lit(ways.index((pairs.index((p.smooth, p.median)), moves.index((p.self_stay, p.enter, p.leave, p.cross)) if p.viterbi else -1))).alias("way"), F.lit(float(p.merge_gap)).alias("gap"), F.lit(p.refine and signal is not None).alias("refine"), F.lit(p.resolve).alias("resolve"), F.lit(float(p.min_duration)).alias("least"), F.lit(p.top_k).alias("top_k"), F.lit(float(p.min_confidence)).alias("sure")) for n, p in enumerate(policies)]
     found = found.withColumn("_c", F.explode(F.filter(F.array(*rows), lambda c: c["way"] == F.col("_unit.way"))))
     unit = F.struct("_c.ord", F.col("_unit.key").alias("key"), "_c.gap", "_c.refine", "_c.resolve", "_c.least", "_c.top_k", "_c.sure")
     found = found.withColumn("_unit", unit).drop("_c")
-    only = lambda name, f: f(found.where(name)).unionByName(found.where(~name).select("_unit", "class_idx", "start_ms", "end_ms", "confidence", "duration_sec"))
+    only = lambda name, f: f(found.where(name)).unionByName(found.where(~name).select(*SEGMENT))
     if any(p.merge_gap > 0 for p in policies):
         found = only(F.col("_unit.gap") > 0, lambda df: segments.merge_same_class(df, "_unit", F.col("_unit.gap") * 1000).drop("n_merged"))
     if signal is not None and any(p.refine for p in policies):

@@ -139,6 +139,13 @@ def test_longer_keys_are_cut_and_count_alike(spark, data, monkeypatch, gap):
         assert cut[name] == {c: v if v is None else pytest.approx(v, abs=1e-9) for c, v in row.items()}, name
 
 
+def test_pieces_of_runs_pass_over_missing_times_and_probabilities(spark):
+    rows = [("a", 0, None, 0, [0]), ("a", 1, 30, 1, [0]), ("a", 2, 20, None, [0]), ("a", 3, None, 1, [1]), ("b", 4, 7, 0, [1]), ("b", 5, 9, 1, [1])]
+    paths = spark.createDataFrame([((1, 1, k), i, t, truth, [0.75 if i % 4 else None, None if i == 3 else 0.25], p) for k, i, t, truth, p in rows], "_unit struct<smooth:int,median:int,key:string>, _i long, _t long, _truth int, probs array<double>, paths array<int>").coalesce(1)
+    found = sorted((r._unit.key, r.start_idx, r.end_idx, r._stay, r._label, r._n, r._sums, r.hits, r.t0, r.t1) for r in settings.cut_runs(paths, 2, 1).collect())
+    assert found == [("a", 0, 3, 0, 0, 3, [1.5, 0.75], [1, 1], 20, 30), ("a", 3, 4, 0, 1, 1, [0.75, None], [0, 1], None, None), ("b", 4, 6, 0, 1, 2, [0.75, 0.5], [1, 1], 7, 9)]
+
+
 def test_policies_as_rows_equal_one_at_a_time(spark):
     from tidelane.config import BASELINE, FULL, RAW
     from tidelane.plans import pipeline

@@ -51,7 +51,8 @@ def shares(x: np.ndarray) -> np.ndarray:
     return np.where(none[:, None], 1.0 / x.shape[1], x / np.where(none, 1.0, total)[:, None])
 
 
-def _sums(group: np.ndarray, values: np.ndarray, many: int) -> np.ndarray:
+def sums(group: np.ndarray, values: np.ndarray, many: int) -> np.ndarray:
+    """Of (row, class) by group, added in the order of rows."""
     return np.stack([np.bincount(group, values[:, k], many) for k in range(values.shape[1])], axis=1)
 
 
@@ -77,7 +78,7 @@ class Runs:
         cut = self.first()
         cut[1:] |= self.label[1:] != self.label[:-1]
         at = np.flatnonzero(cut)
-        return Runs(self.key[at], self.label[at], np.add.reduceat(self.n, at), _sums(np.cumsum(cut) - 1, self.sums, len(at)), np.minimum.reduceat(self.t0, at), np.maximum.reduceat(self.t1, at))
+        return Runs(self.key[at], self.label[at], np.add.reduceat(self.n, at), sums(np.cumsum(cut) - 1, self.sums, len(at)), np.minimum.reduceat(self.t0, at), np.maximum.reduceat(self.t1, at))
 
     def repaired(self, least: int, passes: int = 2) -> Runs:
         """``decode.repaired_runs``."""
@@ -142,7 +143,7 @@ class Records:
             linked, at = to[at[inside]] >= 0, after[inside]
         at = np.flatnonzero(head)
         ends = np.concatenate([at[1:], [many]]) - 1
-        return Records(self.key[at], self.label[at], self.start[at], self.end[ends], _sums(np.cumsum(head) - 1, self.sums, len(at)), np.add.reduceat(self.n, at))
+        return Records(self.key[at], self.label[at], self.start[at], self.end[ends], sums(np.cumsum(head) - 1, self.sums, len(at)), np.add.reduceat(self.n, at))
 
 
 def records(found: Runs, span: np.ndarray) -> Records:

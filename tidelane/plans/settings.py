@@ -80,18 +80,23 @@ def cut_runs(paths: DataFrame, states: int, count: int) -> DataFrame:
         new = np.concatenate([[True], np.diff(place) != 1])
         for v in codes:
             new[1:] |= np.diff(v) != 0
-        p = c["probs"].flatten().to_numpy(zero_copy_only=False).reshape(-1, states)
+        flat = c["probs"].flatten()
+        p, given = (v.to_numpy(zero_copy_only=False).reshape(-1, states) for v in (pc.fill_null(flat, 0.0), pc.is_valid(flat)))
         label = c["paths"].flatten().to_numpy().reshape(-1, count)
         truth = pc.fill_null(c["_truth"], -1).to_numpy(zero_copy_only=False)
         hit = (truth[:, None] == np.arange(states)).astype(np.int64)
+        known = pc.is_valid(c["_t"]).to_numpy(zero_copy_only=False)
+        times = pc.fill_null(c["_t"], 0).to_numpy(zero_copy_only=False)
+        low, high = (-np.inf, np.inf) if times.dtype.kind == "f" else (np.iinfo(times.dtype).min, np.iinfo(times.dtype).max)
         for k in range(count):
             head = new.copy()
             head[1:] |= label[1:, k] != label[:-1, k]
             at = np.flatnonzero(head)
-            first, last = pa.array(at), pa.array(np.append(at[1:], len(place)) - 1)
+            last, none = np.append(at[1:], len(place)) - 1, ~np.logical_or.reduceat(known, at)
+            sums = pa.array(whole.sums(np.cumsum(head) - 1, p, len(at)).ravel(), mask=~np.logical_or.reduceat(given, at, axis=0).ravel())
             yield {
-                "_unit": c["_unit"].take(first), "_stay": np.full(len(at), k), "_label": label[at, k], "_n": np.diff(np.append(at, len(place))), "_sums": list(np.add.reduceat(p, at, axis=0)), "hits": list(np.add.reduceat(hit, at, axis=0)),
-                "start_idx": place[at], "end_idx": place[last.to_numpy()] + 1, "t0": c["_t"].take(first), "t1": c["_t"].take(last),
+                "_unit": c["_unit"].take(pa.array(at)), "_stay": np.full(len(at), k), "_label": label[at, k], "_n": np.diff(np.append(at, len(place))), "_sums": pa.ListArray.from_arrays(np.arange(0, len(sums) + 1, states, dtype=np.int32), sums), "hits": list(np.add.reduceat(hit, at, axis=0)),
+                "start_idx": place[at], "end_idx": place[last] + 1, "t0": pa.array(np.minimum.reduceat(np.where(known, times, high), at), mask=none), "t1": pa.array(np.maximum.reduceat(np.where(known, times, low), at), mask=none),
             }
 
     return scan.each(paths, cut, whole_)

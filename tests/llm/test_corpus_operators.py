@@ -359,6 +359,40 @@ def test_top_k_refuses_what_no_long_holds(spark):
     assert [r.score for r in impact.top_k(edge, edge.where("vec_id = 0")).orderBy("rank").collect()] == [2**62, -(2**62)]
 
 
+def brute_top_k(v, queries, best=5):
+    """The rows of ``impact.top_k`` from {vec_id: integer vector}, in Python's integers."""
+    out = set()
+    for q in queries:
+        s = {i: sum(int(a) * int(b) for a, b in zip(v[q], w, strict=True)) for i, w in v.items() if i != q and len(w) == len(v[q])}
+        out |= {(q, k + 1, i, s[i]) for k, i in enumerate(sorted(s, key=lambda i: (-s[i], i))[:best])}
+    return out
+
+
+def test_top_k_sends_no_blocks_through_the_driver(spark):
+    """Every block meets every shard: broadcast, their copies would grow as the square of the input."""
+    v = {i: row for i, row in enumerate(np.random.default_rng(2).integers(-200, 200, (300, 8)).tolist())}
+    df = spark.createDataFrame([(i, [x / 256 for x in row]) for i, row in v.items()], "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        found = impact.top_k(df, df.where("vec_id % 10 = 0"), shard_rows=20, block_rows=4)
+        assert {tuple(r) for r in found.collect()} == brute_top_k(v, range(0, 300, 10))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan and "Join" not in plan
+
+
+def test_top_k_with_several_shards_a_task(spark):
+    """Components at the edges of 8, 16 and 32 bits, two lengths, copies; 150 shards in 75 tasks."""
+    r = np.random.default_rng(3)
+    edges = [-(2**31), 2**31 - 1, -(2**15), 2**15 - 1, -129, -128, 127, 128, -1, 0, 1]
+    v = {i: [int(x) for x in r.choice(edges if i % 10 else edges[2:], 4 if i % 3 else 6)] for i in range(300)}  # the queries narrower: so scores fit a long
+    v |= {200 + i: v[i] for i in range(20)}
+    df = spark.createDataFrame([(i, [x / 256 for x in row]) for i, row in v.items()], "vec_id long, embedding array<double>")
+    assert {tuple(x) for x in impact.top_k(df, df.where("vec_id % 10 = 0"), shard_rows=2, block_rows=3).collect()} == brute_top_k(v, range(0, 300, 10))
+
+
 @pytest.mark.parametrize("keep", [similar.keep_one, simhash.keep_one])
 def test_keep_one_of_odd_rows_and_clashing_names(spark, odd, empty, keep):
     wide = odd.withColumn("gone_id", F.lit(1)).withColumn("GONE_ID_", F.lit("x"))

@@ -9,7 +9,10 @@ be among its best, and those are scored exactly. A query whose bound never suffi
 block's queries with the level's plane: with dense vectors that is what fills the levels anyway.
 
 Vectors are dealt into shards and queries into blocks, both of bounded size; every block meets every shard, the number
-of meetings is the only product formed. Each meeting returns at most k rows a query.
+of meetings is the only product formed. Each meeting returns at most k rows a query. Nothing is joined, so no plan sends
+blocks through the driver: a task gets its shards, builds their indexes, and then streams all blocks past them, holding
+one at a time. With many shards a task holds several, so that fewer copies of the blocks are shuffled. Shards and blocks
+travel as the narrowest integers that hold their components.
 
 Defined cases: vectors that are null, empty or have a null or non-finite component, and rows without an id, take no
 part. Vectors of different lengths never meet. Repeated rows are each candidates; a query's own row is left out by its
@@ -29,6 +32,8 @@ from tidelane.llm import shared
 
 SCALE, EVERY, BEST = 256, 50, 5
 SHARD_ROWS, BLOCK_ROWS = 8192, 512
+#: A task holds several shards only where that leaves this many tasks, and together at most so many components.
+TASKS, HELD = 64, 2**22
 #: Impact levels: level i holds absolute values of at least LEVELS[i] (and below LEVELS[i - 1]), as shares of the largest.
 LEVELS = (0.5, 0.35, 0.25, 0.18, 0.12, 0.06, 0.0)
 #: A query goes on to lower impacts while more of a shard's vectors than this may still be among its best.
@@ -50,7 +55,7 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 def build(ids: np.ndarray, vectors: np.ndarray, levels: tuple[float, ...] = LEVELS) -> dict[str, np.ndarray]:
     """A shard's index: postings by falling impact, then dimension; segment ends; norms of what each level leaves."""
-    size = np.abs(vectors)
+    size = np.abs(vectors.astype(np.int64))
     top = size.max() if size.size else 0
     floors = np.array([np.ceil(x * top) for x in levels], np.int64)
     level = (size[:, :, None] < floors).sum(axis=2) if size.size else np.zeros(size.shape, np.int64)
@@ -116,34 +121,49 @@ def search(index: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndar
 
 
 def _blobs(frame):
-    """One row with the group's ids and vectors, as little-endian 64-bit integers."""
+    """One row with the group's ids, as little-endian 64-bit integers, and vectors, as the narrowest integers that hold them."""
     frame = frame.sort_values("vec_id", kind="stable")
-    return pd.DataFrame({"box": [int(frame["box"].iloc[0])], "width": [int(frame["width"].iloc[0])], "ids": [frame["vec_id"].to_numpy("<i8").tobytes()], "data": [np.stack(frame["v"].to_list()).astype("<i8").tobytes()]})
+    v = np.stack(frame["v"].to_list())
+    most = max(int(v.max()), -int(v.min()))
+    narrow = next(f"<i{n}" for n in (1, 2, 4, 8) if most < 2 ** (8 * n - 1))
+    return pd.DataFrame({"box": [int(frame["box"].iloc[0])], "width": [int(frame["width"].iloc[0])], "ids": [frame["vec_id"].to_numpy("<i8").tobytes()], "data": [v.astype(narrow).tobytes()]})
 
 
 BLOBS = "box long, width int, ids binary, data binary"
 
 
+def _arrays(width: int, ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a row of ``_blobs``."""
+    found = np.frombuffer(ids, "<i8")
+    return found, np.frombuffer(data, f"<i{len(data) // (len(found) * width)}").reshape(-1, width)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, *, scale: int = SCALE, best: int = BEST, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id and score of the ``best`` inner products of each query with all other vectors."""
     spark = vectors.sparkSession
     shared.prepare(spark)  # before the first Python function is built
     rows, asked = quantised(vectors, scale), quantised(queries, scale)
-    shards, blocks = (max(1, -(-x.count() // n)) for x, n in ((rows, shard_rows), (asked, block_rows)))
+    rows_in, widest = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    shards, blocks = (max(1, -(-x // n)) for x, n in ((rows_in, shard_rows), (asked.count(), block_rows)))
+    tasks = -(-shards // max(1, min(shards // TASKS, HELD // (shard_rows * widest))))
     boxed = lambda x, n: x.withColumn("box", F.pmod(F.xxhash64("vec_id"), F.lit(n))).withColumn("width", F.size("v")).groupBy("box", "width").applyInPandas(_blobs, BLOBS)
-    index = boxed(rows, shards)
-    block = boxed(asked, blocks).select("width", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("box"))
-    meet = index.join(block, ["box", "width"]).select("width", "ids", "data", "q_ids", "q_data")
+    index = boxed(rows, shards).select((F.col("box") % tasks).cast("int").alias("task"), F.lit(False).alias("is_block"), "width", "ids", "data")
+    block = boxed(asked, blocks).select(F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"), F.lit(True).alias("is_block"), "width", "ids", "data")
+    meet = index.unionByName(block).repartitionById(tasks, "task").sortWithinPartitions("width", "is_block").select("width", "is_block", "ids", "data")
 
     def run(batches):
         names = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-        kept, made = None, None
-        for width, ids, data, q_ids, q_data in shared.rows_of(batches):
-            if kept != ids:
-                kept, made = ids, build(np.frombuffer(ids, "<i8"), np.frombuffer(data, "<i8").reshape(-1, width))
-            found = search(made, np.frombuffer(q_ids, "<i8"), np.frombuffer(q_data, "<i8").reshape(-1, width), best)
-            columns = list(zip(*found, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], schema=names)
+        kept, made = None, []
+        for width, is_block, ids, data in shared.rows_of(batches):
+            if kept != width:
+                kept, made = width, []
+            if not is_block:
+                made.append(build(*_arrays(width, ids, data)))
+                continue
+            for shard in made:
+                found = search(shard, *_arrays(width, ids, data), best)
+                columns = list(zip(*found, strict=True)) or [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], schema=names)
 
     near = meet.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
